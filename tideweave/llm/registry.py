@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.llm import exact, similar, urls
+from tideweave.llm import exact, packing, pieces, similar, urls
 
-MODULES = (exact, similar, urls)
+MODULES = (packing, exact, pieces, similar, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
