@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.llm import exact, packing, pieces, similar, urls
+from tideweave.llm import exact, licenses, media, packing, pieces, privacy, similar, urls
 
-MODULES = (packing, exact, pieces, similar, urls)
+MODULES = (packing, exact, media, pieces, similar, licenses, privacy, urls)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
