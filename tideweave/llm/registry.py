@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.llm import exact, html, licenses, media, packing, pieces, privacy, similar, urls
+from tideweave.llm import exact, html, licenses, media, packing, pieces, privacy, quality, similar, urls
 
-MODULES = (packing, exact, media, pieces, html, similar, licenses, privacy, urls)
+MODULES = (packing, exact, media, pieces, html, similar, licenses, privacy, urls, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
