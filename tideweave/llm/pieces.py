@@ -33,6 +33,7 @@ KEPT_CHARS = 64
 #: Words of more symbols whose ties forbid simultaneous merges go to a heap.
 LONG_WORD = 256
 NONE = np.iinfo(np.int64).max
+Table = tuple[dict[str, str], dict[str, str]]
 
 
 def _each_byte(error: UnicodeError) -> tuple[str, int]:
@@ -79,7 +80,16 @@ class PieceModel:
         self.into = np.array(into, np.int64)[at]
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.symbol):
             raise ValueError("a piece holds a newline, or a space mark after another character")
-        self.words: dict[str, tuple[str, str]] = {}
+        # Words split after a newline, and after a letter before the ASCII signs
+        # and digits that no piece has after a letter.
+        joined = set("".join(c for p in self.symbol for c in re.findall(r"(?<=[a-zA-Z\u00c0-\u024f])[!-@\[-`{-~]", p)))
+        apart = "".join(re.escape(chr(c)) for c in range(33, 127) if not chr(c).isalpha() and chr(c) not in joined)
+        self.boundary = re.compile(rf"(?<=[a-zA-Z\u00c0-\u024f])(?=[{apart}])|(?<=\n)(?=.)" if apart else r"(?<=\n)(?=.)", re.S)
+        self.id_text = [f" {i}" for i in range(n)]
+        self.id_surface = [self.pieces[i].replace(MARK, " ") if self.is_piece[i] else None for i in range(n)]
+        # Of words and of parts inside words, two generations each: ids and surface.
+        self.words, self.old_words = ({}, {}), ({}, {})
+        self.inner, self.old_inner = ({}, {}), ({}, {})
 
     # ------------------------------------------------------------- merges
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +141,7 @@ class PieceModel:
         lengths = np.array([len(w) for w in words], np.int64)
         sym = np.array(flat, np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
-        out: list[list[int]] = [[] for _ in words]
+        ended, endings = [], []
         while len(sym):
             rank, into = self.look_up(sym[:-1], sym[1:])
             same = word[:-1] == word[1:]
@@ -151,23 +161,24 @@ class PieceModel:
                 hit, heaped = self._exact(sym, word, top, into, hit)
                 for w in heaped:
                     mine = word == w
-                    out[w] = self.by_heap(sym[mine].tolist())
-                    done |= mine
-                hit = hit[~done[hit]]
-            if done.any():
-                ids, at = np.unique(word[done], return_index=True)
-                for w, part in zip(ids.tolist(), np.split(sym[done], at[1:]), strict=True):
-                    if not out[w]:
-                        out[w] = part.tolist()
-            if not len(hit):
-                keep = ~done
-                sym, word = sym[keep], word[keep]
-                continue
+                    ready = self.by_heap(sym[mine].tolist())
+                    ended.append(np.full(len(ready), w))
+                    endings.append(np.array(ready, np.int64))
+                    word, sym = np.where(mine, -1, word), np.where(mine, -1, sym)
+                    hit = hit[~mine[hit]]
+            ended.append(word[done])
+            endings.append(sym[done])
             sym[hit] = into[hit]
-            keep = ~done
+            keep = ~done & (word >= 0)
             keep[hit + 1] = False
             sym, word = sym[keep], word[keep]
-        return out
+        if not ended:
+            return [[] for _ in words]
+        ended = np.concatenate(ended)
+        order = np.argsort(ended, kind="stable")
+        flat = np.concatenate(endings)[order].tolist()
+        ends = np.cumsum(np.bincount(ended, minlength=len(words))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _exact(
         self, sym: np.ndarray, word: np.ndarray, top: np.ndarray, into: np.ndarray, hit: np.ndarray
@@ -257,41 +268,76 @@ class PieceModel:
             for w in re.findall(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*|[^{MARK}\n]+", marked)
         ]
 
-    def encode_parts(self, texts: list[list[str]]) -> None:
-        """Have all parts of ``texts`` in the table of words."""
-        known = self.words
-        missing = {p for parts in texts for p in parts if p not in known}
-        if not missing:
-            return
-        if len(known) + len(missing) > KEPT_WORDS:
-            known.clear()
-            missing = {p for parts in texts for p in parts}
-        todo = list(missing)
-        for key, symbols in zip(todo, self.merge([self.full(p) for p in todo]), strict=True):
-            ids = self.ids_of(symbols)
-            known[key] = ("".join(f" {i}" for i in ids), self.surface(ids))
-
-    def forget_long(self) -> None:
-        for key in [k for k in self.words if len(k) > KEPT_CHARS]:
-            del self.words[key]
+    def _store(self, table: Table, keys: list[str], words: list[str]) -> None:
+        ids, surfaces = table
+        text_of, surface_of = self.id_text, self.id_surface
+        for key, symbols in zip(keys, self.merge(words), strict=True):
+            if min(symbols) >= 0:
+                ids[key] = "".join([text_of[s] for s in symbols])
+                surfaces[key] = "".join([surface_of[s] for s in symbols])
+            else:
+                got = self.ids_of(symbols)
+                ids[key] = "".join([text_of[i] for i in got])
+                surfaces[key] = self.surface(got)
 
     @staticmethod
-    def full(part: str) -> str:
-        return part if part[0] in (MARK, "\n") else MARK + part
+    def _revive(young: Table, old: Table, keys: set[str]) -> list[str]:
+        """Keys in neither generation; those of the old one become young."""
+        missing = []
+        for k in keys.difference(young[0]):
+            if k in old[0]:
+                young[0][k], young[1][k] = old[0][k], old[1][k]
+            else:
+                missing.append(k)
+        return missing
+
+    def encode_parts(self, keys: set[str]) -> None:
+        """Have all parts in the table of words."""
+        missing = self._revive(self.words, self.old_words, keys)
+        if not missing:
+            return
+        split = {k: self.boundary.split(k) for k in missing}
+        heads = {v[0] for v in split.values()}
+        inner = {x for v in split.values() for x in v[1:]}
+        new = self._revive(self.words, self.old_words, heads)
+        self._store(self.words, new, [self.full(k) for k in new])
+        new = self._revive(self.inner, self.old_inner, inner)
+        self._store(self.inner, new, new)
+        for words, parts in zip(self.words, self.inner, strict=True):
+            for k, v in split.items():
+                if len(v) > 1:
+                    words[k] = words[v[0]] + "".join([parts[x] for x in v[1:]])
+        self.long = [k for k in missing if len(k) > KEPT_CHARS]
+
+    def _forget(self) -> None:
+        """Drop long words; a full young generation becomes the old one."""
+        for k in self.long:
+            for table in self.words:
+                table.pop(k, None)
+        self.long = []
+        for young, old in (("words", "old_words"), ("inner", "old_inner")):
+            table = getattr(self, young)
+            if len(table[0]) > KEPT_WORDS // 2:
+                setattr(self, old, table)
+                setattr(self, young, ({}, {}))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """``(n_ids, ids joined by a space, decoded text)`` per text, end id included."""
         split = [self.parts(t) if t else [] for t in texts]
-        self.encode_parts(split)
-        known, out, end = self.words, [], f" {self.eos}"
+        out, end, self.long = [], f" {self.eos}", []
+        self.encode_parts(set().union(*split))
+        ids_of, surface_of = self.words[0].__getitem__, self.words[1].__getitem__
         for parts in split:
-            words = [known[p] for p in parts]
-            ids = "".join([w[0] for w in words]) + end
-            text = "".join([w[1] for w in words])
+            ids = "".join(map(ids_of, parts)) + end
+            text = "".join(map(surface_of, parts))
             out.append((ids.count(" "), ids[1:], text[1:]))
-        self.forget_long()
+        self._forget()
         return out
 
+    @staticmethod
+    def full(part: str) -> str:
+        return part if part[0] in (MARK, "\n") else MARK + part
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.encode_batch([text])[0][1].split(" ")]
 
