@@ -2,15 +2,548 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from tideweave.functions.ids import as_text
+from tideweave.model import ARRIVAL, TemporalGraph
+from tideweave.operators import bipartite, components, metrics, partitioning, sequential, summaries, transforms
+from tideweave.operators import triangles as tri
+from tideweave.operators.snapshots import Snapshot
+from tideweave.operators.state import GraphState
+from tideweave.plans.lineage import shared_dir
+from tideweave.sources import edges as sources
+from tideweave.sources import files
+from tideweave.streaming.runs import run_to_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+PARTS = 4
+
+#: The event graph in SQL, without loops and repeats, and per day.
+E = """e as (
+    select event_id as id, user_id as src, cast(json_extract_string(props, '$.k') as bigint) as dst,
+           ts, value, event_type as label
+    from events
+)"""
+U = "u as (select distinct least(src, dst) as a, greatest(src, dst) as b from e where src <> dst)"
+ENDS = """n as (
+    select id, src as vertex, dst as other, 0 as side, ts, value from e
+    union all select id, dst, src, 1, ts, value from e
+)"""
+T = """t as (
+    select x.a, x.b, y.b as c from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b
+)"""
+BOTH = "b as (select distinct src as a, dst as b from e union select dst, src from e)"
+REACH = "r(v, w) as (select a, a from b union select r.v, b.b from r join b on r.w = b.a)"
+HOPS = "h as (select unnest([0, 1, 2]) as i)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.event_edges(spark, sf_dir).drop("valid_to")
+
+
+def _ntz(*names: str) -> list:
+    return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
+
+
+# ------------------------------------------------------------------ edge-wise
+@query(f"with {E} select id as edge_id, label, src, dst, value, ts as valid_from from e")
+def edges_scan(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@query(f"with {E} select src, dst from e")
+def edges_projection(spark, sf_dir):
+    return _edges(spark, sf_dir).select("src", "dst")
+
+
+@query(f"with {E} select id as edge_id, src, dst, value from e where label = 'purchase' and value > 20")
+def filter_edges(spark, sf_dir):
+    graph = TemporalGraph(_edges(spark, sf_dir)).filter_edges("label = 'purchase' and value > 20")
+    return graph.edges.select("edge_id", "src", "dst", "value")
+
+
+@query(f"with {E} select id as edge_id, src, dst from e where src > 20 and dst > 20")
+def filter_vertices(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).filter_vertices(lambda v: v > 20).edges.select("edge_id", "src", "dst")
+
+
+@query(f"""with {E}, d as (select src as v, count(*) as n from e group by src having count(*) >= 60)
+    select id as edge_id, src, dst from e where src in (select v from d) and dst in (select v from d)""")
+def keep_vertices(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    busy = metrics.degrees(edges, "out").where("degree >= 60")
+    return transforms.keep_vertices(edges, busy).select("edge_id", "src", "dst")
+
+
+@query(f"with {E} select id as edge_id, src, dst, value + 1 as value from e")
+def map_edges(spark, sf_dir):
+    return transforms.map_values(_edges(spark, sf_dir), F.col("value") + 1).select("edge_id", "src", "dst", "value")
+
+
+@query(f"with {E} select id as edge_id, src, dst, value + 1 as first, (value + 1) * 2 as second from e")
+def map_edges_chained(spark, sf_dir):
+    graph = TemporalGraph(_edges(spark, sf_dir)).map_edges(lambda d: transforms.map_values(d, F.col("value") + 1))
+    graph = graph.map_edges(lambda d: d.withColumnsRenamed({"value": "first"}).withColumn("second", F.col("first") * 2))
+    return graph.edges.select("edge_id", "src", "dst", "first", "second")
+
+
+@query(f"with {E} select id as edge_id, label, dst as src, src as dst, value, ts as valid_from from e")
+def reverse_edges(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).reverse().edges
+
+
+@query(f"with {E} select id as edge_id, src, dst from e union all select id, dst, src from e")
+def undirected_edges(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).undirected().edges.select("edge_id", "src", "dst")
+
+
+@query(f"""with {E} select id as edge_id, src, dst, label from e where label = 'purchase'
+    union all select id, src, dst, label from e where value > 50""")
+def union_edges(spark, sf_dir):
+    graph = TemporalGraph(_edges(spark, sf_dir))
+    both = graph.filter_edges("label = 'purchase'").union(graph.filter_edges("value > 50"))
+    return both.edges.select("edge_id", "src", "dst", "label")
+
+
+@query(f"""with {E} select id as edge_id, src, dst from e
+    qualify row_number() over (partition by src, dst order by ts, id) = 1""")
+def distinct_edges(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).distinct().edges.select("edge_id", "src", "dst")
+
+
+@query("""select l_partkey as src, l_suppkey + 1000000 as dst, l_quantity as value, l_shipdate as valid_from
+    from lineitem""")
+def bipartite_edges(spark, sf_dir):
+    return sources.part_supplier_edges(spark, sf_dir).select("src", "dst", "value", "valid_from")
+
+
+# -------------------------------------------------------------------- metrics
+@query(f"with {E}, {ENDS} select vertex, min(ts) as valid_from from n group by vertex")
+def vertices(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).vertices()
+
+
+def _degrees_sql(where: str = "") -> str:
+    return f"""with {E}, {ENDS} select vertex, count(*) as degree, min(ts) as valid_from from n {where} group by vertex"""
+
+
+@query(_degrees_sql())
+def degrees(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).degrees()
+
+
+@query(_degrees_sql("where side = 1"))
+def in_degrees(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).degrees("in")
+
+
+@query(_degrees_sql("where side = 0"))
+def out_degrees(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).degrees("out")
+
+
+@query(f"""with {E}, {ENDS} select id as edge_id, vertex, side, count(*) over (
+    partition by vertex order by ts, id, side rows unbounded preceding) as degree from n""")
+def running_degrees(spark, sf_dir):
+    return TemporalGraph(_edges(spark, sf_dir)).running_degrees()
+
+
+@query(f"with {E} select id as edge_id, row_number() over (order by ts, id) as n_edges from e")
+def number_of_edges(spark, sf_dir):
+    return metrics.running_edge_count(_edges(spark, sf_dir))
+
+
+@query(f"""with {E}, {ENDS}, f as (
+        select *, row_number() over (partition by vertex order by ts, id, side) as k from n
+    ) select id as edge_id, vertex, row_number() over (order by ts, id, side) as n_vertices from f where k = 1""")
+def number_of_vertices(spark, sf_dir):
+    return metrics.running_vertex_count(_edges(spark, sf_dir))
+
+
+@query(f"with {E}, {ENDS} select count(distinct vertex) as n_vertices from n")
+def vertex_count(spark, sf_dir):
+    return metrics.vertex_count(_edges(spark, sf_dir))
+
+
+@query(f"""with {E}, {ENDS} select vertex, max(value) as largest, min(other) as nearest, count(distinct other) as others
+    from n group by vertex""")
+def vertex_aggregate(spark, sf_dir):
+    return metrics.vertex_aggregate(
+        _edges(spark, sf_dir),
+        F.max("value").alias("largest"),
+        F.min("other").alias("nearest"),
+        F.count_distinct("other").alias("others"),
+    )
+
+
+@query(f"""with {E}, l as (select *, lag(label) over (order by ts, id) as p, row_number() over (order by ts, id) as k from e)
+    select id as edge_id, ts as valid_from, label from l where k = 1 or label is distinct from p""")
+def global_aggregate_changes(spark, sf_dir):
+    rows = _edges(spark, sf_dir).select("edge_id", "valid_from", "label")
+    return metrics.changes_only(rows, "label", ARRIVAL)
+
+
+@query(f"""with {E} select src as vertex, string_agg(dst, ',' order by dst) as nbrs
+    from (select distinct src, dst from e) group by src""")
+def neighborhoods(spark, sf_dir):
+    return metrics.neighborhoods(_edges(spark, sf_dir)).select("vertex", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+@query(f"""with {E}, f as (
+        select src, dst, ts, id, row_number() over (partition by src, dst order by ts, id) as k from e
+    ) select e.id as edge_id, e.src, e.dst, string_agg(f.dst, ',' order by f.dst) as nbrs
+    from e join f on f.src = e.src and f.k = 1 and (f.ts, f.id) <= (e.ts, e.id) group by e.id, e.src, e.dst""")
+def running_neighborhoods(spark, sf_dir):
+    rows = metrics.running_neighborhoods(_edges(spark, sf_dir))
+    return rows.select("edge_id", "src", "dst", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+# ------------------------------------------------------------------- snapshots
+def _reduce_sql(where: str) -> str:
+    return f"""with {E}, {ENDS} select cast(date_trunc('day', ts) as timestamp) as window_start, vertex,
+        round(sum(value), 4) as total, max(value) as largest from n {where} group by 1, 2"""
+
+
+def _reduced(spark: SparkSession, sf_dir: str, direction: str) -> DataFrame:
+    snap = TemporalGraph(_edges(spark, sf_dir)).slice("1 day", direction=direction)
+    return snap.aggregate(F.round(F.sum("value"), 4).alias("total"), F.max("value").alias("largest")).drop("window_end")
+
+
+@query(_reduce_sql("where side = 0"))
+def snapshot_reduce_out(spark, sf_dir):
+    return _reduced(spark, sf_dir, "out")
+
+
+@query(_reduce_sql("where side = 1"))
+def snapshot_reduce_in(spark, sf_dir):
+    return _reduced(spark, sf_dir, "in")
+
+
+@query(_reduce_sql(""))
+def snapshot_reduce_all(spark, sf_dir):
+    return _reduced(spark, sf_dir, "all")
+
+
+@query(f"""with {E} select cast(date_trunc('day', ts) as timestamp) as window_start, src as vertex,
+    string_agg(dst, '>' order by ts, id) as walk from e group by 1, 2""")
+def snapshot_fold(spark, sf_dir):
+    snap = Snapshot(_edges(spark, sf_dir), "1 day")
+    walk = snap.fold(
+        F.lit(""),
+        lambda s, v, n, x: F.when(s == "", n.cast("string")).otherwise(F.concat(s, F.lit(">"), n.cast("string"))),
+        "walk",
+    )
+    return walk.drop("window_end")
+
+
+@query(f"""with {E}, {ENDS} select cast(date_trunc('day', ts) as timestamp) as window_start, vertex,
+    case when count(*) > 10 then 'big' else 'small' end as kind, count(distinct other) as others from n group by 1, 2""")
+def snapshot_apply(spark, sf_dir):
+    import pandas as pd
+
+    def kind(rows: pd.DataFrame) -> pd.DataFrame:
+        name = "big" if len(rows) > 10 else "small"
+        first = rows.iloc[0]
+        return pd.DataFrame([(first["window_start"], first["vertex"], name, rows["other"].nunique())], columns=["window_start", "vertex", "kind", "others"])
+
+    snap = Snapshot(_edges(spark, sf_dir), "1 day", direction="all")
+    return snap.apply(kind, "window_start timestamp_ntz, vertex long, kind string, others long")
+
+
+@query(f"""with {E}, {HOPS} select cast(date_trunc('day', ts) - i * interval 1 day as timestamp) as window_start,
+    src as vertex, count(*) as n, max(value) as largest from e, h group by 1, 2""")
+def sliding_snapshot(spark, sf_dir):
+    snap = Snapshot(_edges(spark, sf_dir), "3 days", "1 day")
+    return snap.aggregate(F.count("*").alias("n"), F.max("value").alias("largest")).drop("window_end")
+
+
+# ------------------------------------------------------------------- triangles
+@query(f"""with {E}, u as (
+        select distinct cast(date_trunc('day', ts) as timestamp) as w, least(src, dst) as a, greatest(src, dst) as b
+        from e where src <> dst
+    ) select x.w as window_start, count(*) as triangles from u x join u y on x.w = y.w and x.b = y.a
+    join u z on z.w = x.w and z.a = x.a and z.b = y.b group by x.w""")
+def window_triangles(spark, sf_dir):
+    edges = _edges(spark, sf_dir).withColumn("window_start", F.window("valid_from", "1 day")["start"])
+    return tri.triangle_count(edges, "window_start")
+
+
+@query(f"""with {E}, {HOPS}, u as (
+        select distinct cast(date_trunc('day', ts) - i * interval 1 day as timestamp) as w,
+            least(src, dst) as a, greatest(src, dst) as b from e, h where src <> dst
+    ) select x.w as window_start, count(*) as triangles from u x join u y on x.w = y.w and x.b = y.a
+    join u z on z.w = x.w and z.a = x.a and z.b = y.b group by x.w""")
+def sliding_window_triangles(spark, sf_dir):
+    edges = _edges(spark, sf_dir).withColumn("window_start", F.window("valid_from", "3 days", "1 day")["start"])
+    return tri.triangle_count(edges, "window_start")
+
+
+@query(f"with {E}, {U}, {T} select count(*) as triangles from t")
+def triangle_count(spark, sf_dir):
+    return tri.triangle_count(_edges(spark, sf_dir))
+
+
+@query(f"""with {E}, {U}, {T} select v as vertex, count(*) as triangles
+    from (select unnest([a, b, c, -1]) as v from t) group by v""")
+def triangles_per_vertex(spark, sf_dir):
+    return tri.triangles_per_vertex(_edges(spark, sf_dir))
+
+
+@query(f"with {E}, {U}, {T} select cast(a % 4 as integer) as partition_id, count(*) as triangles from t group by 1")
+def triangles_per_partition(spark, sf_dir):
+    return tri.triangles_per_partition(_edges(spark, sf_dir), partitioning.owner(F.col("vertex"), PARTS))
+
+
+_ESTIMATE = """a as (select distinct * from (select src as u, dst as v from e union all select dst, src from e){where}),
+    d as (select u, count(*) as d from a group by u),
+    s as (select x.u, x.v, count(*) as s from a x join a y on x.u = y.u join a z on z.u = y.v and z.v = x.v group by 1, 2)
+    select round(sum(coalesce(s, 0) * dv.d / (3.0 * (du.d + dv.d))), 6) as triangles
+    from a left join s using (u, v) join d du on du.u = a.u join d dv on dv.u = a.v"""
+
+
+@query(f"with {E}, " + _ESTIMATE.format(where=" where u <> v"))
+def estimate_triangles_expectation(spark, sf_dir):
+    return tri.estimate_expectation(_edges(spark, sf_dir))
+
+
+@query(f"with {E}, " + _ESTIMATE.format(where=""))
+def estimate_triangles_with_loops(spark, sf_dir):
+    return tri.estimate_expectation(_edges(spark, sf_dir), keep_loops=True)
+
+
+@query()
+def estimate_triangles_sampled(spark, sf_dir):
+    return tri.estimate_sampled(_edges(spark, sf_dir))
+
+
+# ------------------------------------------------- components, sides, matching
+@query(f"with recursive {E}, {BOTH}, {REACH} select v as vertex, min(w) as component from r group by v")
+def connected_components(spark, sf_dir):
+    return components.connected_components(_edges(spark, sf_dir))
+
+
+@query(f"""with recursive {E}, {BOTH}, {REACH}, c as (select v, min(w) as component from r group by v)
+    select component, count(*) as n_vertices from c group by component""")
+def component_sizes(spark, sf_dir):
+    labels = components.connected_components(_edges(spark, sf_dir))
+    return labels.groupBy("component").agg(F.count("*").alias("n_vertices"))
+
+
+_COVER = """b as (
+        select 2 * src as a, 2 * {dst} + 1 as b from e union select 2 * {dst} + 1, 2 * src from e
+        union select 2 * src + 1, 2 * {dst} from e union select 2 * {dst}, 2 * src + 1 from e
+    ), r(v, w) as (select a, a from b union select r.v, b.b from r join b on r.w = b.a),
+    m as (select v, min(w) as w from r group by v),
+    p as (select x.v // 2 as vertex, x.w as plus, y.w as minus from m x join m y on y.v = x.v + 1 where x.v % 2 = 0)"""
+
+
+@query(f"with recursive {E}, {_COVER.format(dst='dst')} select bool_and(plus <> minus) as bipartite from p")
+def bipartiteness(spark, sf_dir):
+    return bipartite.is_bipartite(_edges(spark, sf_dir))
+
+
+@query("select count(*) filter (where l_partkey >= 1000000) = 0 as bipartite from lineitem")
+def bipartiteness_of_parts(spark, sf_dir):
+    return bipartite.is_bipartite(sources.part_supplier_edges(spark, sf_dir))
+
+
+@query(f"""with recursive {E}, {_COVER.format(dst='(dst + 1000000)')}
+    select vertex, least(plus // 2, minus // 2) as component,
+        case when plus <> minus then plus % 2 = 0 end as side, plus <> minus as bipartite from p""")
+def bipartite_sides(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return bipartite.bipartite_sides(edges.withColumn("dst", F.col("dst") + sources.BIPARTITE_OFFSET))
+
+
+@query()
+def weighted_matching_events(spark, sf_dir):
+    return sequential.weighted_matching_events(_edges(spark, sf_dir), F.round(F.col("value") * 100))
+
+
+@query(f"""with {E}, d as (
+        select cast(date_trunc('day', ts) as timestamp) as window_start, count(*) as n, max(value) as largest from e group by 1
+    ) select window_start, cast(sum(n) over (order by window_start) as bigint) as n,
+        max(largest) over (order by window_start) as largest from d""")
+def summary_cumulative(spark, sf_dir):
+    per = summaries.windowed_summary(
+        _edges(spark, sf_dir), "1 day", F.count("*").alias("n"), F.max("value").alias("largest")
+    )
+    return summaries.cumulative_summary(per, {"n": F.sum, "largest": F.max})
+
+
+# ----------------------------------------------------------------- graph state
+def _state(spark: SparkSession, sf_dir: str, layout: str = "AL") -> GraphState:
+    return GraphState(_edges(spark, sf_dir), "3 days", "1 day", layout, PARTS)
+
+
+LIVE = "l as (select cast(date_trunc('day', ts) - i * interval 1 day + interval 3 day as timestamp) as fire, e.* from e, h)"
+AL = """al as (select distinct fire, src, dst, cast(src % 4 as integer) as partition_id from l)"""
+
+
+@query(f"with {E}, {HOPS}, {LIVE} select fire, src, dst, id as edge_id, cast(src % 4 as integer) as partition_id from l")
+def live_edges_el(spark, sf_dir):
+    return _state(spark, sf_dir, "EL").live().drop("valid_from")
+
+
+@query(f"""with {E}, {HOPS}, {LIVE} select fire, src, cast(src % 4 as integer) as partition_id,
+    string_agg(dst, ',' order by dst) as nbrs from l group by all""")
+def live_edges_sorted_el(spark, sf_dir):
+    return _state(spark, sf_dir, "sortedEL").state().withColumn("nbrs", as_text(F.col("nbrs")))
+
+
+@query(f"""with {E}, {HOPS}, {LIVE}, {AL} select fire, src, partition_id,
+    string_agg(dst, ',' order by dst) as nbrs from al group by all""")
+def live_edges_al(spark, sf_dir):
+    return _state(spark, sf_dir).state().withColumn("nbrs", as_text(F.col("nbrs")))
+
+
+@query(f"""with {E}, {HOPS}, {LIVE}, {AL} select partition_id, cast(fire - interval 3 day as timestamp) as window_start,
+    fire as window_end, count(*) as n_edges from al group by partition_id, fire""")
+def state_fires(spark, sf_dir):
+    return _state(spark, sf_dir).fires()
+
+
+@query(f"with {E}, {HOPS}, {LIVE}, {AL} select fire, partition_id, count(*) as n_entries from al group by all")
+def al_state_size(spark, sf_dir):
+    return _state(spark, sf_dir).size_per_partition()
+
+
+@query(f"""with {E}, {HOPS}, {LIVE}, {AL} select fire, src, string_agg(dst, ',' order by dst) as nbrs from al
+    where partition_id = 2 group by fire, src""")
+def al_partition_lookup(spark, sf_dir):
+    return _state(spark, sf_dir).partition(2).select("fire", "src", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+@query(f"""with {E} select src, string_agg(distinct dst, ',' order by dst) as nbrs from e where src in
+    (select dst from e) group by src""")
+def al_vertex_lookup(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    asked = edges.select(F.col("dst").alias("vertex"))
+    found = GraphState(edges, None).neighbours(asked)
+    return found.select("src", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+@query(f"""with {E} select q.src, q.dst, case when exists (select 1 from e where e.src = q.src and e.dst = q.dst) then true
+    when exists (select 1 from e where e.src = q.src) then false end as present
+    from (select distinct dst as src, src as dst from e) q""")
+def al_edge_contains(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    asked = transforms.reverse(edges).select("src", "dst").distinct()
+    return GraphState(edges, None).contains(asked)
+
+
+@query(f"with {E} select distinct src from e")
+def al_vertex_list(spark, sf_dir):
+    return GraphState(_edges(spark, sf_dir), None).live_vertices()
+
+
+@query(f"""with {E}, {HOPS}, l as (select cast(date_trunc('day', ts) - i * interval 1 day + interval 3 day as timestamp) as w,
+        e.* from e, h), u as (select distinct w, least(src, dst) as a, greatest(src, dst) as b from l where src <> dst)
+    select x.w as fire, count(*) as triangles from u x join u y on x.w = y.w and x.b = y.a
+    join u z on z.w = x.w and z.a = x.a and z.b = y.b group by x.w""")
+def state_triangles(spark, sf_dir):
+    return _state(spark, sf_dir).triangles()
+
+
+# ---------------------------------------------------------------- partitioning
+_DBH = f"""{ENDS}, d as (select vertex, count(*) as d from n group by vertex), p as (
+        select e.*, cast((case when x.d < y.d or (x.d = y.d and src <= dst) then src else dst end
+            * 2654435761 % 4294967296) % 4 as integer) as partition_id
+        from e join d x on x.vertex = src join d y on y.vertex = dst)"""
+
+
+@query(f"with {E}, {_DBH} select id as edge_id, src, dst, partition_id from p")
+def partition_dbh(spark, sf_dir):
+    return partitioning.dbh_partition(_edges(spark, sf_dir), PARTS).select("edge_id", "src", "dst", "partition_id")
+
+
+@query(f"""with {E}, {_DBH}, l as (select partition_id, count(*) as c from p group by 1),
+    k as (select v, count(*) as c from (select distinct partition_id, unnest([src, dst]) as v from p) group by v)
+    select cast((select sum(c) from l) as bigint) as edges, (select count(*) from k) as vertices,
+        (select max(c) from l) as max_load, (select min(c) from l) as min_load,
+        round((select avg(c) from k), 6) as replication""")
+def partition_quality(spark, sf_dir):
+    return partitioning.partition_quality(partitioning.dbh_partition(_edges(spark, sf_dir), PARTS))
+
+
+@query()
+def partition_fennel(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    adjacency = metrics.neighborhoods(edges, "all")
+    size = adjacency.agg(F.count("*").alias("n"), F.sum(F.size("nbrs")).alias("m")).first()
+    return sequential.fennel_partition(adjacency, PARTS, size["n"], (size["m"] or 0) // 2)
+
+
+@query()
+def partition_balanced(spark, sf_dir):
+    return sequential.balanced_partition(_edges(spark, sf_dir), PARTS)
+
+
+# ------------------------------------------------------------- files, adjacency
+def _adjacency_file(spark: SparkSession, sf_dir: str, make_undirected: bool = False) -> str:
+    path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
+    files.write_adjacency(files.adjacency_rows(_edges(spark, sf_dir), make_undirected), path)
+    return path
+
+
+@query(f"with {E} select src, string_agg(distinct dst, ',' order by dst) as nbrs from e group by src")
+def adjacency_scan(spark, sf_dir):
+    rows = sources.adjacency_list(spark, _adjacency_file(spark, sf_dir))
+    return rows.select("src", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+@query(f"with {E} select distinct src, dst from e")
+def explode_adjacency(spark, sf_dir):
+    rows = sources.adjacency_list(spark, _adjacency_file(spark, sf_dir))
+    return sources.explode_adjacency(rows).select("src", "dst")
+
+
+@query(f"""with {E}, {BOTH} select a as src, string_agg(b, ',' order by b) as nbrs from b group by a""")
+def el_to_al(spark, sf_dir):
+    root = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    files.write_edges(_edges(spark, sf_dir), f"{root}/el", " ")
+    files.el_to_al(spark, f"{root}/el", f"{root}/al", make_undirected=True)
+    return sources.adjacency_list(spark, f"{root}/al").select("src", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+# -------------------------------------------------------------------- streaming
+CLOSED = "where window_start + interval 1 day <= (select max(ts) - interval 1 day from events)"
+
+
+@query(f"""with {E}, d as (select cast(date_trunc('day', ts) as timestamp) as window_start, src as vertex,
+        count(*) as n, max(value) as largest from e group by 1, 2) select * from d {CLOSED}""")
+def stream_snapshot(spark, sf_dir):
+    edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    snap = Snapshot(edges, "1 day").aggregate(F.count("*").alias("n"), F.max("value").alias("largest"))
+    done, _ = run_to_table(snap.drop("window_end"), name="snapshot")
+    return done.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz")})
+
+
+@query(f"with {E}, {ENDS} select vertex, count(*) as degree from n group by vertex")
+def stream_degrees(spark, sf_dir):
+    edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    counts = transforms.endpoints(edges).groupBy("vertex").agg(F.count("*").alias("degree"))
+    done, _ = run_to_table(counts, "update", "degrees")
+    return done.groupBy("vertex").agg(F.max_by("degree", "batch_id").alias("degree"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
