@@ -28,14 +28,16 @@ def oriented(simple: DataFrame, *keys: str) -> DataFrame:
 
 
 def triangles(edges: DataFrame, *keys: str) -> DataFrame:
-    """``(*keys, a, b, c)`` with a < b < c, every triangle once per key."""
+    """``(*keys, a, b, c)`` with a < b < c, every triangle once per key.
+
+    Keys may have any names but those of the result and of ``oriented``.
+    """
     e = oriented(simple_edges(edges, *keys), *keys)
-    one = e.toDF(*keys, "u", "v")
-    two = e.toDF(*keys, "u", "w")
-    wedges = one.join(two, [*keys, "u"]).where("v < w")
-    pairs = e.select(*keys, F.least("lo", "hi").alias("v"), F.greatest("lo", "hi").alias("w"))
-    closed = wedges.join(pairs, [*keys, "v", "w"])
-    corners = F.array_sort(F.array("u", "v", "w"))
+    one, two = e.toDF(*keys, "__u", "__v"), e.toDF(*keys, "__u", "__w")
+    wedges = one.join(two, [*keys, "__u"]).where("__v < __w")
+    ends = e.select(*keys, F.least("lo", "hi").alias("__v"), F.greatest("lo", "hi").alias("__w"))
+    closed = wedges.join(ends, [*keys, "__v", "__w"])
+    corners = F.array_sort(F.array("__u", "__v", "__w"))
     return closed.select(*keys, *(corners[i].alias(n) for i, n in enumerate(("a", "b", "c"))))
 
 
