@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +13,15 @@ import pyarrow.compute as pc
 SLICE_BYTES = 8 << 20
 
 
+def give_back() -> None:
+    """Return freed memory to the system, as workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text of a slice stays within ``most`` bytes."""
     for batch in batches:
@@ -25,6 +36,8 @@ def sliced(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
                 start, held = i, 0
             held += size
         yield batch.slice(start, n - start)
+        del batch
+    give_back()
 
 
 def binaries(column: pa.Array) -> list[bytes]:

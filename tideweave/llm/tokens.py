@@ -55,16 +55,16 @@ class ByteBpe:
     """Encodes as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = Tokenizer.from_file(path)
         self.ranked = by_rank(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Only what can't be ranked needs the other library's tables as well.
+        self.tokenizer = None if self.ranked else Tokenizer.from_file(path)
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit words."""
-        if self.ranked is None or any(s in text for s in self.special):
+        if self.ranked is None:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
-            ids = self.ranked.encode_ordinary(text)
+            ids = self.ranked.encode(text, allowed_special="all", disallowed_special=())
         return np.array(ids, dtype=WORD).tobytes()
 
 
