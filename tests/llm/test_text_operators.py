@@ -1,0 +1,410 @@
+"""Operators on documents: exactness against plain versions, and odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from tideweave.llm import exact, licenses, packing, pieces, privacy, similar, tokens
+
+ODD = [
+    (1, "Hello  World", "en"),
+    (2, "hello  world", "en"),
+    (2, "hello  world", "en"),
+    (3, None, "en"),
+    (4, "", None),
+    (None, "hello  world", "de"),
+    (5, "ÄÖ hello\nThe MIT License, see CC BY 4.0.", "de"),
+    (6, "äÖ hello\nThe MIT License, see CC BY 4.0.", "de"),
+    (7, " \t\n ", "fr"),
+    (8, "x" * 50_000, "fr"),
+    (9, "one two three four five " * 2000, "en"),
+    (10, "<|endoftext|> \x00 日本語 🎉 ﬁ", "en"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string")
+    # Columns named like results and intermediate ones.
+    return df.withColumns({c: F.lit(7) for c in ("id", "fp", "body", "level", "size", "n_pii", "keep", "kept", "shard")})
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.where("false")
+
+
+def plain_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def corpus(seed, n=60):
+    rnd = random.Random(seed)
+    words = ["alpha", "beta", "Gamma", "delta.", "Epsilon", "zeta\n", "η"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(0, 60))) for _ in range(n // 2)]
+    texts += [rnd.choice(texts).upper() if rnd.random() < 0.5 else rnd.choice(texts) for _ in range(n // 2)]
+    return [(i, t, "en") for i, t in enumerate(texts)]
+
+
+# ------------------------------------------------------------------ exact dedup
+def check_exact(rows, got):
+    groups = defaultdict(list)
+    for i, t, *_ in rows:
+        groups[plain_lower(t)].append(i)
+    want = []
+    for i, t, *_ in rows:
+        g = groups[plain_lower(t)]
+        keep = max((x for x in g if x is not None), default=None)
+        sha = hashlib.sha256(plain_lower(t).encode()).hexdigest()
+        want.append((i, keep, len(g), i == keep, sha))
+    key = repr
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_exact_dedup(spark, odd, none):
+    check_exact(ODD, exact.exact_dedup(odd))
+    assert exact.exact_dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("max_rows", [1, 3, 1000])
+def test_exact_dedup_splits_heavy_groups(spark, max_rows):
+    """Long shared prefixes and a group of a third of all rows, over all levels."""
+    base = "same beginning " * 400
+    rows = [(i, base + "end", "en") for i in range(30)] + [(100 + i, base + str(i % 7), "en") for i in range(30)]
+    rows += [(200 + i, f"{i % 20} short", "en") for i in range(30)] + [(300, None, None), (301, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    check_exact(rows, exact.exact_dedup(df, max_rows=max_rows))
+
+
+@given(st.lists(st.binary(max_size=200), max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_msd_classes(bodies):
+    bodies = bodies + bodies[:3] + [b + b"\0" for b in bodies[:2]]
+    got = sorted(sorted(c) for c in exact.msd_classes(bodies))
+    want = defaultdict(list)
+    for i, b in enumerate(bodies):
+        want[b].append(i)
+    assert got == sorted(want.values())
+
+
+# --------------------------------------------------------------------- SimHash
+def plain_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", plain_lower(text))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] * bool(words)
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """Component of each of the (id, print) rows by all pairs."""
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, (_, a) in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j][1]).bit_count() <= 2:
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    groups = defaultdict(list)
+    for i, (one, _) in enumerate(prints):
+        groups[find(i)].append(one)
+    return [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(prints))]
+
+
+def test_simhash_components(spark, odd, none):
+    got = similar.simhash_components(odd).collect()
+    prints = [(i, plain_print(t)) for i, t, _ in ODD]
+    want = [(i, f"{p:016x}", c) for (i, p), c in zip(prints, plain_components(prints), strict=True)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert similar.simhash_components(none).count() == 0
+    kept = similar.keep_one_per_class(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, _, c in want})
+
+
+@pytest.mark.parametrize("max_cell", [4, 4096])
+def test_near_links_lose_nothing(spark, max_cell):
+    rnd = random.Random(3)
+    prints = set()
+    for _ in range(12):
+        base = rnd.getrandbits(64)
+        prints.add(base)
+        for _ in range(25):
+            x = base
+            for _ in range(rnd.randrange(1, 6)):
+                x ^= 1 << rnd.randrange(64)
+                prints.add(x)
+    prints |= {0, 1, 3, 7, (1 << 64) - 1, (1 << 63)}
+    rows = [(i, p) for i, p in enumerate(sorted(prints))]
+    fps = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for _, p in rows], "fp long")
+    links = similar.near_links(fps, max_cell).collect()
+    ids = {p: i for i, p in rows}
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = a % (1 << 64), b % (1 << 64)
+        assert (a ^ b).bit_count() <= 2
+        p, q = find(ids[a]), find(ids[b])
+        root[max(p, q)] = min(p, q)
+    assert [find(i) for i, _ in rows] == plain_components(rows)
+
+
+def test_spanning_links_linear_way():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (20, 30)).astype(np.uint64)
+    fps = np.unique(np.concatenate([base, (base[:, None] ^ flips).ravel()]))
+    slow, fast = similar.spanning_links(fps, 1 << 20), similar.spanning_links(fps, 1)
+
+    def classes(links):
+        rows = {int(f): int(f) for f in fps}
+
+        def find(x):
+            while rows[x] != x:
+                x = rows[x]
+            return x
+
+        for a, b in zip(*links, strict=True):
+            p, q = find(int(a)), find(int(b))
+            rows[max(p, q)] = min(p, q)
+        return {f: find(f) for f in rows}
+
+    assert classes(slow) == classes(fast) and len(slow[0]) == len(fast[0])
+
+
+@given(st.lists(st.lists(st.integers(0, (1 << 64) - 1), max_size=600), max_size=5))
+@settings(max_examples=20, deadline=None)
+def test_majority(runs):
+    flat = np.array([h for r in runs for h in r], dtype=np.uint64)
+    got = similar.majority(flat, np.array([len(r) for r in runs], dtype=np.int64)).tolist()
+    assert got == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r) > len(r)) for r in runs]
+
+
+# --------------------------------------------------------------------- packing
+@lru_cache
+def token_library():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@lru_cache
+def piece_library():
+    return sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    return token_library()
+
+
+def check_packed(rows, got, bpe):
+    left = defaultdict(list)
+    for r in got.itertuples():
+        left[None if pd.isna(r.doc_id) else r.doc_id].append((r.piece, r.start, r.length, r.ids_crc32))
+    want = defaultdict(list)
+    for i, t, *_ in rows:
+        ids = np.array([*bpe.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        cut, at = [len(ids) % 2048 or 2048] if len(ids) > 2048 else [len(ids)], 0
+        while sum(cut) < len(ids):
+            cut.append(2048)
+        for k, n in enumerate(cut):
+            want[i].append((k, at, n, zlib.crc32(ids[at : at + n].tobytes())))
+            at += n
+    assert {k: sorted(v) for k, v in left.items()} == {k: sorted(v) for k, v in want.items()}
+    for _, seq in got.sort_values("offset").groupby("sequence_id"):
+        assert seq.length.sum() <= 2048
+        assert (seq.offset == seq.length.cumsum() - seq.length).all()
+
+
+def test_packing(spark, odd, none, bpe):
+    got = packing.pack_documents(odd).toPandas()
+    check_packed(ODD, got, bpe)
+    assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 2048)
+    assert packing.pack_documents(none).count() == 0
+
+
+def test_packing_many_shards(spark):
+    rnd = random.Random(2)
+    rows = [(i, 0, 0, rnd.randrange(1, 2049), i) for i in range(1500)]
+    pieces_df = spark.createDataFrame(rows, packing.PIECES)
+    got = packing.pack(pieces_df, shard_pieces=200).toPandas()
+    assert len(got) == 1500 and sorted(got.doc_id) == list(range(1500))
+    fill = got.groupby("sequence_id").length.sum()
+    assert fill.max() <= 2048
+    assert len(fill) <= 1.03 * (got.length.sum() / 2048) + 8
+
+
+def test_crossover_keeps_all_pieces():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 2048, 400)
+    order = np.argsort(-sizes, kind="stable")
+    host = packing.dense(packing.best_fit(sizes, order, 2048))
+    donor = packing.dense(packing.best_fit(sizes, rng.permutation(400), 2048))
+    for _ in range(20):
+        child = packing.crossover(sizes, host, donor, 2048, rng)
+        assert len(child) == 400 and np.bincount(child, weights=sizes).max() <= 2048
+        assert set(child) == set(range(child.max() + 1))
+    best = packing.evolve(sizes, 1, 2048, 4, 6, [donor])
+    assert best.max() <= donor.max()
+
+
+CHARS = st.sampled_from(list("abehtT019 \n\t'.,!é日ﬁ\0▁") + ["  ", "'s", "the", " ing", "<|endoftext|>", "</s>", "🎉", "\xa0"])
+TEXTS = st.lists(CHARS, max_size=40).map("".join)
+
+
+@given(TEXTS)
+@settings(max_examples=300, deadline=None)
+def test_tokens_equal_library(text):
+    own, lib = tokens.byte_bpe(), token_library()
+    assert own.ranked is not None
+    want = np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert own.encode(text) == want
+
+
+# --------------------------------------------------------------- SentencePiece
+@pytest.fixture(scope="module")
+def sp():
+    return piece_library()
+
+
+def test_pieces_odd(spark, odd, none, sp):
+    got = pieces.piece_digests(odd).collect()
+    want = []
+    for i, t, _ in ODD:
+        ids = sp.encode(t or "", add_eos=True)
+        text = " ".join(map(str, ids)).encode()
+        want.append((i, len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert pieces.piece_digests(none).count() == 0
+    first = pieces.encode_pieces(odd.where("doc_id = 1")).first()
+    assert first.decoded == "Hello  World"
+
+
+@given(TEXTS)
+@settings(max_examples=300, deadline=None)
+def test_pieces_equal_library(text):
+    own, lib = pieces.piece_model(), piece_library()
+    ids = lib.encode(text, add_eos=True)
+    n, joined, decoded = own.encode_batch([text])[0]
+    assert (n, joined, decoded) == (len(ids), " ".join(map(str, ids)), lib.decode(ids))
+    assert own.decode(ids) == lib.decode(ids)
+
+
+@given(st.lists(st.sampled_from([0, 1, 2, 13, 68, 233, 258, 259, 260, 264, 300, 28705, 29142]), max_size=10))
+@settings(max_examples=300, deadline=None)
+def test_decode_any_ids(ids):
+    assert pieces.piece_model().decode(ids) == piece_library().decode(ids)
+
+
+@pytest.mark.parametrize("text", ["a" * 20_000, " " * 3000, "ab" * 4000, "\n" * 2000, "x" * 300 + " " * 300 + "y", "é" * 500])
+def test_long_words(sp, text):
+    ids = sp.encode(text, add_eos=True)
+    assert pieces.piece_model().encode(text) == ids
+
+
+# --------------------------------------------------------------------- licenses
+def test_licenses(spark, odd, none):
+    got = {repr(r.doc_id) + str(r.n_words): r for r in licenses.license_scan(odd).collect()}
+    for i, t, _ in ODD:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", plain_lower(t))
+        places, labels = [], set()
+        for phrase, label in licenses.PHRASES.items():
+            p = phrase.split()
+            at = [k for k in range(len(words)) if words[k : k + len(p)] == p]
+            places += at
+            labels |= {label} if at else set()
+        r = got[repr(i) + str(len(words))]
+        assert (r.n_base, r.first_word, r.last_word) == (len(places), min(places, default=None), max(places, default=None))
+        assert r.base_labels == ",".join(sorted(labels)) and set(labels) <= set(r.labels.split(","))
+        assert r.score == (1.0 if places else 0.0)
+    assert licenses.license_scan(none).count() == 0
+
+
+def test_containment_join_is_exact(spark):
+    rnd = random.Random(9)
+    vocab = [f"w{k}" for k in range(40)]
+    templates = [(f"t{k}", " ".join(rnd.sample(vocab, rnd.randrange(3, 12)))) for k in range(15)]
+    texts = []
+    for _ in range(60):
+        lines = []
+        for _ in range(4):
+            base = rnd.choice(templates)[1].split()
+            lines.append(" ".join(rnd.sample(base, rnd.randrange(1, len(base) + 1)) + rnd.sample(vocab, 3)))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df, templates=templates, phrases={"no such": "x"}).collect()}
+    for i, text in enumerate(texts):
+        best, labels = 0.0, set()
+        for line in text.split("\n"):
+            for label, template in templates:
+                t = set(template.split())
+                share = len(t & set(line.split())) / len(t)
+                if share >= 0.8 - 1e-12:
+                    labels.add(label)
+                    best = max(best, share)
+        assert got[i].labels == ",".join(sorted(labels)) and got[i].score == pytest.approx(best)
+
+
+# -------------------------------------------------------------------------- PII
+def test_feistel_is_a_permutation():
+    for n in (2, 3, 10, 97, 1000):
+        f = privacy.Feistel("key", "t", n)
+        assert sorted(map(f, range(n))) == list(range(n)) and all(f(x) != x for x in range(n))
+        assert all(f.backward(f.forward(x)) == x for x in range(n))
+
+
+def test_formats_stay_valid():
+    seen = {}
+    rnd = random.Random(1)
+    for _ in range(200):
+        body = "4" + "".join(rnd.choice("0123456789") for _ in range(14))
+        number = body + str(-privacy.luhn_sum(body + "0") % 10)
+        new = privacy.card("k", number)
+        assert new != number and len(new) == 16 and privacy.luhn_sum(new) % 10 == 0
+        assert seen.setdefault(new, number) == number
+    assert privacy.card("k", "4111111111111112") is None
+    assert re.fullmatch(r"\d{4}-\d{2}-\d{2}", privacy.date("k", "2024-02-29")) and privacy.date("k", "2023-02-29") is None
+    assert privacy.ssn("k", "666-12-1234") is None and privacy.ssn("k", "123-45-6789") != "123-45-6789"
+    new = privacy.iban("k", "DE89 3704 0044 0532 0130 00")
+    assert new.startswith("DE") and privacy.iban("k", new) is not None
+    assert privacy.address("k", "999.1.1.1") is None
+
+
+def test_values_stay_linked(spark, none):
+    text = "Mail a.b@x.org or a.b@x.org, card 4111 1111 1111 1111, +1 (743) 555-3824, 10.0.0.1, token = \"0a1b2c3d4e\"."
+    rows = [(1, text), (2, "again 4111 1111 1111 1111 there"), (3, None), (4, ""), (5, "Version 2.0 of 12 items, 1234567890123456.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_pii", F.lit(3))
+    got = {r.doc_id: r for r in privacy.pseudonymise_texts(df).collect()}
+    assert got[1].n_pii == 6 and got[1].pii_kinds == "card,email,ip,phone,secret"
+    for value in ("a.b@x.org", "4111 1111 1111 1111", "(743) 555-3824", "10.0.0.1", "0a1b2c3d4e"):
+        assert value not in got[1].text
+    a = re.findall(r"[\w.]+@x\.org", got[1].text)
+    assert a[0] == a[1]
+    card = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[2].text)[0]
+    assert card in got[1].text
+    assert got[3].text is None and got[4].text == "" and got[5].text == rows[4][1] and got[5].n_pii == 0
+    assert privacy.pseudonymise_texts(none).count() == 0
+    long = "é" * 200_000 + "@" + "a" * 200_000
+    assert privacy.pseudonymise(long)[1] == []

@@ -227,11 +227,11 @@ def fit_quality(
     picked = picked.select("id", "y", *(f"__{c}" for c in TEXT))
     kind = dict(docs.dtypes)[id_col]
     got = picked.mapInArrow(run, f"id {kind}, y int, x binary").limit(2 * (max_labelled + max_pool)).toPandas()
+    if not len(got):
+        return CoTrained()
     got = got.sort_values(["id", "x"], kind="stable")
     x = np.array([np.frombuffer(b, np.float32) for b in got["x"]], np.float64).reshape(len(got), -1)
     y = got["y"].to_numpy()
-    if not len(got):
-        return CoTrained()
     a, b = x[:, :n_content], x[:, n_content:]
     return co_train(a[y >= 0], b[y >= 0], y[y >= 0].astype(float), a[y < 0], b[y < 0])
 

@@ -306,7 +306,7 @@ def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     classes = simhash_components(df, id_col, text_col, width)
     gone = classes.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.col(id_col).alias("__gone")).distinct()
+    gone = stash(gone.select(F.col(id_col).alias("__gone")).distinct(), "sim-gone")
     return df.join(gone, df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
 
 
