@@ -78,9 +78,9 @@ def filter_edges(spark, sf_dir):
     return graph.edges.select("edge_id", "src", "dst", "value")
 
 
-@query(f"with {E} select id as edge_id, src, dst from e where src > 20 and dst > 20")
+@query(f"with {E} select id as edge_id, src, dst from e where src > 5 and dst > 5")
 def filter_vertices(spark, sf_dir):
-    return TemporalGraph(_edges(spark, sf_dir)).filter_vertices(lambda v: v > 20).edges.select("edge_id", "src", "dst")
+    return TemporalGraph(_edges(spark, sf_dir)).filter_vertices(lambda v: v > 5).edges.select("edge_id", "src", "dst")
 
 
 @query(f"""with {E}, d as (select src as v, count(*) as n from e group by src having count(*) >= 60)
