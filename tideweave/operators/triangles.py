@@ -70,16 +70,28 @@ def closing_probability(shared: Column, du: Column, dv: Column) -> Column:
 
 
 def sampled_edges(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
-    """``(u, v, du, dv, lam)`` for every directed edge of the symmetric graph."""
-    both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e"))
+    """``(u, v, du, dv, lam)`` for every directed edge of the symmetric graph.
+
+    Shared neighbours are counted from the triangles on each edge, so wedges
+    of hubs are never enumerated.  A loop makes a vertex its own neighbour: it
+    adds one for either endpoint that has one.
+    """
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = edges.select(F.explode(F.array(there, back)).alias("e"))
     adj = both.select(F.col("e.src").alias("u"), F.col("e.dst").alias("v")).distinct()
     adj = adj if keep_loops else adj.where("u <> v")
-    degree = adj.groupBy("u").agg(F.count("*").cast("double").alias("du"))
-    middle = adj.toDF("u", "w").join(adj.toDF("w", "v"), "w")  # paths u - w - v, as w is a neighbour of both
-    shared = middle.join(adj, ["u", "v"]).groupBy("u", "v").agg(F.count("*").cast("double").alias("shared"))
-    rows = adj.join(shared, ["u", "v"], "left").join(degree, "u").join(degree.toDF("v", "dv"), "v")
-    lam = closing_probability(F.coalesce("shared", F.lit(0.0)), F.col("du"), F.col("dv"))
-    return rows.select("u", "v", "du", "dv", lam.alias("lam"))
+    degree = adj.groupBy("u").agg(
+        F.count("*").cast("double").alias("du"), F.max((F.col("u") == F.col("v")).cast("double")).alias("lu")
+    )
+    sides = F.array(*(F.struct(F.col(x).alias("lo"), F.col(y).alias("hi")) for x, y in ("ab", "ac", "bc")))
+    per_edge = triangles(edges).select(F.explode(sides).alias("e")).groupBy("e.lo", "e.hi")
+    per_edge = per_edge.agg(F.count("*").cast("double").alias("t"))
+    rows = adj.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).join(per_edge, ["lo", "hi"], "left")
+    rows = rows.join(degree, "u").join(degree.toDF("v", "dv", "lv"), "v")
+    shared = F.when(F.col("u") == F.col("v"), F.col("du")).otherwise(
+        F.coalesce("t", F.lit(0.0)) + F.col("lu") + F.col("lv")
+    )
+    return rows.select("u", "v", "du", "dv", closing_probability(shared, F.col("du"), F.col("dv")).alias("lam"))
 
 
 def estimate_expectation(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
