@@ -55,10 +55,8 @@ def running_edge_count(edges: DataFrame) -> DataFrame:
 
 def first_sightings(edges: DataFrame) -> DataFrame:
     """One row per vertex: its first edge."""
-    ends = endpoints(edges)
-    w = Window.partitionBy("vertex").orderBy(*ARRIVAL, "side")
-    first = ends.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return first.select("vertex", "side", "edge_id", "valid_from")
+    first = endpoints(edges).groupBy("vertex").agg(F.min(F.struct(*ARRIVAL, "side")).alias("f"))
+    return first.select("vertex", "f.side", "f.edge_id", "f.valid_from")
 
 
 def running_vertex_count(edges: DataFrame) -> DataFrame:

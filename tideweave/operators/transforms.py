@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideweave.model import ARRIVAL
@@ -64,8 +64,10 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     """The first arrival of every (src, dst); on a stream within the watermark."""
     if edges.isStreaming:
         return edges.dropDuplicatesWithinWatermark(["src", "dst"])
-    w = Window.partitionBy("src", "dst").orderBy(*ARRIVAL)
-    return edges.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    # An aggregate rather than a window: a pair's repeats are combined before the shuffle.
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    first = edges.groupBy("src", "dst").agg(F.min_by(F.struct(*rest), F.struct(*ARRIVAL)).alias("__e"))
+    return first.select(*(F.col(f"__e.{c}") if c in rest else F.col(c) for c in edges.columns))
 
 
 def simple_edges(edges: DataFrame, *keys: str) -> DataFrame:
