@@ -48,10 +48,11 @@ NAMES = re.compile(r"(?:\s|^)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|
 HIDDEN = re.compile(r"(?:\s|^)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Words in class, id or role names, and what they say about the element.
 AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|replies|reply|disqus|discussion|respond|share|sharing|social|related|recommend\w*|subscribe|newsletter|"
-    r"signup|login|search|pagination|pager|tags?|meta|copyright|legal|disclaimer|contentinfo|complementary)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|ads?\d+|adsbygoogle|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|gdpr|notices?|"
+    r"alerts?|popups?|modal|overlay|nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|widgets?|footer|foot|"
+    r"header|masthead|topbar|toolbar|comments?|commentlist|replies|reply|disqus|discussion|respond|share|sharing|social|"
+    r"related|recommend\w*|subscribe|newsletter|signup|login|search|form|pagination|pager|tags?|meta|copyright|legal|"
+    r"disclaimer|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
 TOWARDS = re.compile(
@@ -60,6 +61,7 @@ TOWARDS = re.compile(
 AWAY_TAGS = frozenset("nav footer aside form header menu button select dialog search fieldset".split())
 TOWARDS_TAGS = frozenset(("article", "main"))
 SPACE = re.compile(r"\s+")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 #: The classifier: log-odds of its features.
 WEIGHTS = {
@@ -166,6 +168,7 @@ def page_blocks(html: str) -> list[tuple[Block, str]]:
         top = stack[-1] if stack else ("", 0, False, False, False, False, False)
         attrs = m[3]
         names = " ".join(filter(None, (x for g in NAMES.findall(attrs) for x in g))) if "=" in attrs else ""
+        names = CAMEL.sub("-", names)
         unseen = top[2] or name in UNSEEN or (bool(attrs) and HIDDEN.search(attrs) is not None)
         away = top[3] or name in AWAY_TAGS or bool(names and name not in ("body", "html", "article", "main") and AWAY.search(names))
         if name == "header" and top[4] and not top[3]:
