@@ -1,7 +1,8 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks: runs of text between block-level tags, each with
-the path of elements it stands in.  A classifier gives every block the log-odds
+the path of elements it stands in.  A classifier, fitted on blocks that
+landmarks (article, navigation, ...) tell apart, gives every block the log-odds
 of being content; they become capacities from the source or to the sink.
 Neighbouring blocks and blocks close in the tree are joined by smoothness edges.
 The minimum cut separates content from boilerplate.
@@ -15,11 +16,13 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.llm.batches import sliced, strings
+from tideweave.llm.quality import Logistic
 
 #: Elements that end a block, that are never text, that hold none.
 BLOCKS = frozenset(
@@ -63,20 +66,14 @@ TOWARDS_TAGS = frozenset(("article", "main"))
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: The classifier: log-odds of its features.
-WEIGHTS = {
-    "away": -9.0,
-    "towards": 6.0,
-    "named_towards": 2.5,
-    "paragraph": 1.0,
-    "heading": 0.5,
-    "list_item": -0.3,
-    "length": 0.35,
-    "links": -4.0,
-    "sentence": 0.8,
-    "no_context": -0.5,
-    "copyright": -3.0,
-}
+#: Log-odds of landmarks: elements and names that say where a block stands.
+LANDMARKS = {"away": -9.0, "towards": 6.0, "named": 2.5, "none": -0.5}
+#: Log-odds of a block's own features where there is nothing to fit them on.
+DEFAULT_WEIGHTS = (0.35, -4.0, 0.8, 1.0, 0.5, -0.3, -3.0, 0.0, 0.0)
+DEFAULT_BIAS = 0.0
+#: Pages that the classifier is fitted on at most, and how much it may say.
+MAX_PAGES = 400
+MOST_ODDS = 3.0
 SMOOTHNESS = 1.0
 SCALE = 1000
 
@@ -188,30 +185,53 @@ def page_blocks(html: str) -> list[tuple[Block, str]]:
     return out
 
 
-def log_odds(block: Block, text: str) -> float:
-    """The classifier's log-odds that a block is content."""
-    w = WEIGHTS
-    score = w["length"] * math.log1p(len(text) / 20)
-    score += w["links"] * min(1.0, block.linked / max(1, len(text)))
-    if block.away:
-        score += w["away"]
-    if block.towards:
-        score += w["towards"]
-    elif block.named:
-        score += w["named_towards"]
-    else:
-        score += w["no_context"]
-    if block.tag in ("p", "blockquote", "pre"):
-        score += w["paragraph"]
-    elif block.tag[:1] == "h" and block.tag[1:].isdigit():
-        score += w["heading"]
-    elif block.tag == "li":
-        score += w["list_item"]
-    if text[-1] in ".!?:;\"'”»…":
-        score += w["sentence"]
-    if text[0] == "©":
-        score += w["copyright"]
-    return score
+def block_features(block: Block, text: str) -> tuple[float, ...]:
+    """Length, links, sentence end, kind of element, copyright sign, commas, capitals."""
+    n, tag = len(text), block.tag
+    return (
+        math.log1p(n / 20),
+        min(1.0, block.linked / max(1, n)),
+        float(text[-1] in ".!?:;\"'”»…"),
+        float(tag in ("p", "blockquote", "pre")),
+        float(tag[:1] == "h" and tag[1:].isdigit()),
+        float(tag == "li"),
+        float(text[0] == "©"),
+        min(1.0, 20 * text.count(",") / n),
+        sum(map(str.isupper, text[:200])) / min(n, 200),
+    )
+
+
+class BlockClassifier:
+    """Log-odds that a block is content: its landmarks' and its features'."""
+
+    def __init__(self, weights: tuple[float, ...] = DEFAULT_WEIGHTS, bias: float = DEFAULT_BIAS) -> None:
+        self.weights, self.bias = weights, bias
+
+    def odds(self, block: Block, text: str) -> float:
+        own = self.bias + sum(w * x for w, x in zip(self.weights, block_features(block, text), strict=True))
+        score = max(-MOST_ODDS, min(MOST_ODDS, own))
+        if block.away:
+            score += LANDMARKS["away"]
+        return score + LANDMARKS["towards" if block.towards else "named" if block.named else "none"]
+
+
+def fit_classifier(pages: list[str]) -> BlockClassifier:
+    """Logistic regression on blocks whose landmarks tell what they are.
+
+    Classes weigh alike; with fewer than 20 blocks of either the default stays.
+    """
+    rows, labels = [], []
+    for page in pages:
+        for block, text in page_blocks(page):
+            if block.away or block.towards:
+                rows.append(block_features(block, text))
+                labels.append(float(not block.away))
+    y = np.array(labels)
+    if min(y.sum(), len(y) - y.sum()) < 20:
+        return BlockClassifier()
+    model = Logistic.fit(np.array(rows), y, ridge=1e-2)
+    prior = float(np.log(y.mean() / (1 - y.mean())))
+    return BlockClassifier(tuple(float(w) for w in model.weights), model.bias - prior)
 
 
 def tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
@@ -306,29 +326,46 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
                     break
 
 
-def main_text(html: str) -> str:
+def main_text(html: str, classifier: BlockClassifier | None = None) -> str:
     """The page's content blocks in order, joined by newlines."""
     blocks = page_blocks(html)
     if not blocks:
         return ""
-    odds = [log_odds(b, text) for b, text in blocks]
+    classifier = classifier or BlockClassifier()
+    odds = [classifier.odds(b, text) for b, text in blocks]
     kept = minimum_cut(odds, smoothness_edges([b.path for b, _ in blocks]))
     return "\n".join(text for (_, text), keep in zip(blocks, kept, strict=True) if keep)
 
 
-def extract_pages(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def sampled_pages(df: DataFrame, html_col: str, id_col: str, most: int) -> list[str]:
+    """At most ``most`` pages, those with the smallest hashed ids."""
+    ids = df.select(F.col(f"`{id_col}`").alias("__id")).where(F.col("__id").isNotNull()).distinct()
+    chosen = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(most))  # bounded by ``most``
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(html_col).cast("string").alias("h")).join(chosen, "__id")
+    return sorted(r["h"] or "" for r in rows.select("h").limit(most).collect())
+
+
+def extract_pages(
+    df: DataFrame,
+    html_col: str = "html",
+    keep: tuple[str, ...] = ("page_id", "url"),
+    classifier: BlockClassifier | None = None,
+    max_pages: int = MAX_PAGES,
+) -> DataFrame:
     """``keep``, ``text`` and ``n_chars`` of every row of ``df``.
 
-    Null or empty html gives an empty text; repeated rows each get a row; an
-    empty table gives an empty result; columns of ``df`` other than ``keep``
-    are not carried along.
+    Without a ``classifier`` one is fitted on at most ``max_pages`` pages,
+    sampled by the hash of the first column kept.  Null or empty html gives an
+    empty text; repeated rows each get a row; an empty table gives an empty
+    result; columns of ``df`` other than ``keep`` are not carried along.
     """
+    model = classifier or fit_classifier(sampled_pages(df, html_col, keep[0], max_pages))
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=len(keep)):
-            texts = [main_text(h) for h in strings(part.column(len(keep)))]
+            texts = [main_text(h, model) for h in strings(part.column(len(keep)))]
             columns = [*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
 
