@@ -88,3 +88,39 @@ def test_id_functions(spark):
     assert row.h == "000000ff" + "0" * 16 and row.v == 255
     arrays = df.select(shared_neighbours(F.array(F.lit(1), F.lit(2)), F.array(F.lit(2), F.lit(3))).alias("n"))
     assert arrays.first().n == 1
+
+
+@events_only
+def test_stream_matching_equals_batch(spark):
+    from tideweave.operators import sequential
+    from tideweave.streaming.matching import stream_matching
+
+    weight = F.round(F.col("value") * 100)
+    stream = sources.stream_event_edges(spark, f"{SF}/events.parquet")
+    done, checkpoint = run_to_table(stream_matching(stream, weight))
+    batch = sequential.weighted_matching_events(sources.event_edges(spark, SF), weight)
+    key = ["seq", "op", "src", "dst", "weight"]
+    assert sorted(map(tuple, done.select(key).collect())) == sorted(map(tuple, batch.select(key).collect()))
+    final = sequential.matching_of(batch).collect()
+    assert read_state(spark, checkpoint, "edges").count() == sum(len({r.src, r.dst}) for r in final)
+
+
+def test_throttled_source(spark, tmp_path):
+    from tideweave.sources.throttled import throttled_adjacency
+
+    path = tmp_path / "al.txt"
+    path.write_text("".join(f"{i}:[{i + 1}, {i + 2}]\n" for i in range(25)) + "# end\n")
+    sizes = []
+    query = (
+        throttled_adjacency(spark, str(path), 10)
+        .writeStream.foreachBatch(lambda df, k: sizes.append(sorted(map(tuple, df.select("src", "nbrs").collect()))))
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .start()
+    )
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    rows = [r for batch in sizes for r in batch]
+    assert len([s for s in sizes if s]) >= 3 and max(map(len, sizes)) <= 10
+    assert rows == [(i, [i + 1, i + 2]) for i in range(25)]

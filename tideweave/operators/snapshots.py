@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,28 @@ class Snapshot:
             F.col("w.start").alias("window_start"), "vertex", "other", "value", "valid_from", "edge_id"
         )
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            return fn(rows.sort_values(["valid_from", "edge_id", "other"], kind="stable"))
-
-        return flat.groupBy("window_start", "vertex").applyInPandas(run, schema)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: pd.DataFrame | None = None
+            for rows in batches:
+                rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+                if not len(rows):
+                    continue
+                cuts = _starts(rows)
+                held = rows.iloc[cuts[-1] :]
+                done = [fn(rows.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                if done:
+                    yield pd.concat(done, ignore_index=True)
+            if held is not None and len(held):
+                yield fn(held)
+
+        # A group's rows are adjacent in a partition and in order of arrival.
+        keys = ["window_start", "vertex"]
+        ordered = flat.repartition(*keys).sortWithinPartitions(*keys, "valid_from", "edge_id", "other")
+        return ordered.mapInPandas(run, schema)
+
+
+def _starts(rows: pd.DataFrame) -> list[int]:
+    """Where each (window, vertex) group of sorted rows starts."""
+    window, vertex = rows["window_start"].to_numpy(), rows["vertex"].to_numpy()
+    changed = (window[1:] != window[:-1]) | (vertex[1:] != vertex[:-1])
+    return [0, *(np.flatnonzero(changed) + 1).tolist()]
