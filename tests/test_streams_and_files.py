@@ -124,3 +124,15 @@ def test_throttled_source(spark, tmp_path):
     rows = [r for batch in sizes for r in batch]
     assert len([s for s in sizes if s]) >= 3 and max(map(len, sizes)) <= 10
     assert rows == [(i, [i + 1, i + 2]) for i in range(25)]
+
+
+def test_numbered_edges(spark, tmp_path):
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for p in range(3):
+        (folder / f"part-{p}.csv").write_text("".join(f"{100 * p + i},{i}\n" for i in range(5)))
+    rows = sources.numbered_edges(spark, str(folder)).collect()
+    assert sorted(r.edge_id for r in rows) == list(range(15))
+    for r in rows:  # consecutive within a file
+        same = [x for x in rows if x.src // 100 == r.src // 100]
+        assert r.edge_id - min(x.edge_id for x in same) == r.src % 100

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions.ids import as_text
+from tideweave.functions.properties import from_json_text, get_property, set_property
 from tideweave.model import ARRIVAL, TemporalGraph
 from tideweave.operators import bipartite, components, metrics, partitioning, sequential, summaries, transforms
 from tideweave.operators import triangles as tri
 from tideweave.operators.snapshots import Snapshot
-from tideweave.operators.state import GraphState
+from tideweave.operators.state import GraphState, inserted_in_batches
 from tideweave.plans.lineage import shared_dir
 from tideweave.sources import edges as sources
 from tideweave.sources import files
@@ -121,6 +122,29 @@ def union_edges(spark, sf_dir):
     return both.edges.select("edge_id", "src", "dst", "label")
 
 
+@query("""select event_id as edge_id, event_type as kind, json_extract_string(props, '$.k') as k, 'seen' as state
+    from events""")
+def edge_properties(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    made = events.select(F.col("event_id").alias("edge_id"), from_json_text(F.col("props")).alias("properties"), "event_type")
+    made = made.withColumn("properties", set_property(F.col("properties"), "kind", F.col("event_type")))
+    made = made.withColumn("properties", set_property(F.col("properties"), "state", F.lit("seen")))
+    names = ("kind", "k", "state")
+    return made.select("edge_id", *(get_property(F.col("properties"), n).alias(n) for n in names))
+
+
+@query(f"""with {E} select id as edge_id, src + dst as total from e where value > 50""")
+def map_rows_in_python(spark, sf_dir):
+    import pandas as pd
+
+    def total(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["value"] > 50]
+        return pd.DataFrame({"edge_id": rows["edge_id"], "total": rows["src"] + rows["dst"]})
+
+    edges = _edges(spark, sf_dir).select("edge_id", "src", "dst", "value")
+    return transforms.map_rows(edges, total, "edge_id long, total long")
+
+
 @query(f"""with {E} select id as edge_id, src, dst from e
     qualify row_number() over (partition by src, dst order by ts, id) = 1""")
 def distinct_edges(spark, sf_dir):
@@ -448,6 +472,28 @@ def al_edge_contains(spark, sf_dir):
     return GraphState(edges, None).contains(asked)
 
 
+@query(f"""with {E} select src, string_agg(distinct dst, ',' order by dst) as nbrs,
+    (select count(distinct src) from e) as n_live from e where src in (select dst from e) group by src""")
+def al_vertex_lookup_total(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    found = GraphState(edges, None).neighbours_with_total(edges.select(F.col("dst").alias("vertex")))
+    return found.select("src", as_text(F.col("nbrs")).alias("nbrs"), "n_live")
+
+
+@query(f"with {E} select distinct x.src, x.dst from e x join e y on x.src = y.dst and x.dst = y.src")
+def al_edge_lookup(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return GraphState(edges, None).edge(transforms.reverse(edges))
+
+
+@query(f"""with {E}, p as (select *, cast(src % 4 as integer) as partition_id from e), k as (
+        select *, (row_number() over (partition by partition_id order by ts, id) - 1) // 100 as batch from p
+    ) select id as edge_id, partition_id, batch, min(ts) over (partition by partition_id, batch) as valid_from from k""")
+def state_insert_batches(spark, sf_dir):
+    rows = inserted_in_batches(_edges(spark, sf_dir), 100, PARTS)
+    return rows.select("edge_id", "partition_id", "batch", "valid_from")
+
+
 @query(f"with {E} select distinct src from e")
 def al_vertex_list(spark, sf_dir):
     return GraphState(_edges(spark, sf_dir), None).live_vertices()
@@ -490,6 +536,12 @@ def partition_fennel(spark, sf_dir):
     return sequential.fennel_partition(adjacency, PARTS, size["n"], (size["m"] or 0) // 2)
 
 
+@query()
+def vertex_partitioned_edges(spark, sf_dir):
+    placement = partition_fennel(spark, sf_dir)
+    return partitioning.by_vertex(_edges(spark, sf_dir).select("edge_id", "src", "dst"), placement)
+
+
 @query()
 def partition_balanced(spark, sf_dir):
     return sequential.balanced_partition(_edges(spark, sf_dir), PARTS)

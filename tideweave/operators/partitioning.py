@@ -29,6 +29,11 @@ def dbh_partition(edges: DataFrame, parts: int) -> DataFrame:
     return placed.select(*edges.columns, shard.alias("partition_id"))
 
 
+def by_vertex(edges: DataFrame, placement: DataFrame) -> DataFrame:
+    """Edges with the partition of their source; ``placement`` is ``(vertex, partition_id)``."""
+    return edges.join(placement.withColumnRenamed("vertex", "src"), "src").select(*edges.columns, "partition_id")
+
+
 def partition_quality(placed: DataFrame) -> DataFrame:
     """``(edges, vertices, max_load, min_load, replication)`` of placed edges.
 

@@ -13,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideweave.model import ARRIVAL
 from tideweave.operators.partitioning import owner
 from tideweave.operators.triangles import triangle_count
 
@@ -97,6 +98,17 @@ class GraphState:
         found = live.join(asked, "src", "left_semi")
         return found.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("nbrs"))
 
+    def neighbours_with_total(self, vertices: DataFrame, between: Column | None = None) -> DataFrame:
+        """:meth:`neighbours`, each row with ``n_live``, the number of live sources."""
+        total = self.live_vertices(between).agg(F.count("*").alias("n_live")).withColumn("__k", F.lit(1))
+        found = self.neighbours(vertices, between).withColumn("__k", F.lit(1))
+        return found.join(total, "__k").drop("__k")  # the total is a single row
+
+    def edge(self, pairs: DataFrame, between: Column | None = None) -> DataFrame:
+        """The asked ``(src, dst)`` that are live edges; others have no row."""
+        live = self.live() if between is None else self.live().where(between)
+        return pairs.select("src", "dst").distinct().join(live.select("src", "dst"), ["src", "dst"], "left_semi")
+
     def live_vertices(self, between: Column | None = None) -> DataFrame:
         """Distinct live sources."""
         live = self.live() if between is None else self.live().where(between)
@@ -112,3 +124,17 @@ class GraphState:
         met = met.join(sources, F.col("src") == F.col("s0"), "left")
         present = F.when(F.col("hit"), F.lit(True)).when(F.col("s0").isNotNull(), F.lit(False))
         return met.select("src", "dst", present.alias("present"))
+
+
+def inserted_in_batches(edges: DataFrame, batch_size: int, parts: int) -> DataFrame:
+    """Edges whose effective time is that of their batch's first edge.
+
+    A batch is ``batch_size`` successive edges of one owner partition; the
+    result's ``valid_from`` is the batch's, ``batch`` its number.
+    """
+    own = owner(F.col("src"), parts)
+    order = Window.partitionBy("partition_id").orderBy(*ARRIVAL)
+    rows = edges.withColumn("partition_id", own)
+    rows = rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch_size).cast("long"))
+    first = rows.groupBy("partition_id", "batch").agg(F.min("valid_from").alias("valid_from"))
+    return rows.drop("valid_from").join(first, ["partition_id", "batch"])

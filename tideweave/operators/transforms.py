@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tideweave.model import ARRIVAL
 
@@ -15,6 +17,16 @@ def map_edges(edges: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFra
     return fn(edges)
 
 
+def map_rows(edges: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: StructType | str) -> DataFrame:
+    """A Python function from batches of edges to batches of rows (map, filter, flat map)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield fn(rows)
+
+    return edges.mapInPandas(run, schema)
+
+
 def map_values(edges: DataFrame, value: Column) -> DataFrame:
     """The edges with another value; its type may change."""
     return edges.withColumn("value", value)

@@ -6,7 +6,7 @@ column that the input lacks is null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideweave.model import edges_of
@@ -25,6 +25,25 @@ def edge_list(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     return edges_of(_lines(spark, path).select(parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst")))
 
 
+def numbered_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """:func:`edge_list` with the edge's number in the file as id, and as time in ms.
+
+    Lines are numbered without a sort: their place in a file part plus the
+    number of lines in the parts before, of which there is one row each.
+    """
+    parts = F.split(F.trim("value"), sep)
+    rows = _lines(spark, path).select(
+        F.monotonically_increasing_id().alias("m"), parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst")
+    )
+    rows = rows.withColumns({"p": F.shiftright("m", 33), "k": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("p", F.coalesce(before, F.lit(0)).alias("first"))
+    number = (F.col("k") + F.col("first")).alias("edge_id")
+    rows = rows.join(starts, "p").select(number, "src", "dst")
+    return edges_of(rows.withColumn("valid_from", F.timestamp_millis("edge_id").cast("timestamp_ntz")))
+
+
 def weighted_edge_list(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
     """Lines ``src dst weight time``: weight as value, time as year or epoch seconds."""
     parts = F.split(F.trim("value"), sep)
