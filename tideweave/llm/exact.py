@@ -16,7 +16,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.llm.batches import binaries, sliced
@@ -68,71 +68,76 @@ def normalised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return kept.mapInArrow(run, "id long, body binary")
 
 
-def _keyed(rows: DataFrame, level: int) -> DataFrame:
+def _key(node: Column, level: int) -> Column:
+    """A group's key: the node it splits, whether its texts have ended, its digit."""
     start = digit_end(level - 1) if level else 0
-    size = F.octet_length("body")
-    return rows.withColumns(
-        {
-            "digit": F.substring("body", start + 1, digit_end(level) - start),
-            "ended": size <= digit_end(level),
-        }
-    )
+    tag = F.when(F.octet_length("body") <= digit_end(level), F.lit("$")).otherwise(F.lit("+"))
+    digit = F.substring("body", start + 1, digit_end(level) - start)
+    return F.concat(F.concat(node, tag).cast("binary"), digit)
 
 
 def _descend(rows: DataFrame, heavy: list[tuple[DataFrame, bool]]) -> DataFrame:
-    """Rows with ``level``, ``node``, ``digit`` of the deepest group they reach.
+    """``(id, body, level, key, keep, size)``: the deepest group a row reaches.
 
     ``size`` is set where that group is a heavy one whose texts have ended.
     """
-    out = _keyed(rows.withColumns({"level": F.lit(0), "node": F.lit(0).cast("long")}), 0)
-    out = out.withColumns({"keep": F.lit(None).cast("long"), "size": F.lit(None).cast("long")})
+    none = F.lit(None).cast("long")
+    out = rows.select("id", "body", F.lit(0).alias("level"), _key(F.lit("0"), 0).alias("key"), none.alias("keep"), none.alias("size"))
     for level, (table, small) in enumerate(heavy):
-        side = table.select(
-            F.lit(level).alias("h_level"),
-            F.col("node").alias("h_node"),
-            F.col("digit").alias("h_digit"),
-            F.col("ended").alias("h_ended"),
-            "child",
-            F.col("keep").alias("h_keep"),
-            F.col("size").alias("h_size"),
-        )
+        side = table.select(F.col("key").alias("h_key"), "child", F.col("keep").alias("h_keep"), F.col("ended_size"))
         side = F.broadcast(side) if small else side
-        met = (
-            (F.col("level") == F.col("h_level"))
-            & (F.col("node") == F.col("h_node"))
-            & (F.col("digit") == F.col("h_digit"))
-            & (F.col("ended") == F.col("h_ended"))
-        )
-        out = out.join(side, met, "left")
-        deeper = F.col("child").isNotNull() & ~F.col("h_ended")
-        start, end = digit_end(level), digit_end(level + 1)
-        out = out.select(
+        deeper = F.col("child").isNotNull()
+        out = out.join(side, F.col("key") == F.col("h_key"), "left").select(
             "id",
             "body",
             F.when(deeper, F.lit(level + 1)).otherwise(F.col("level")).alias("level"),
-            F.when(deeper, F.col("child")).otherwise(F.col("node")).alias("node"),
-            F.when(deeper, F.substring("body", start + 1, end - start)).otherwise(F.col("digit")).alias("digit"),
-            F.when(deeper, F.octet_length("body") <= end).otherwise(F.col("ended")).alias("ended"),
-            F.when(F.col("h_ended"), F.col("h_keep")).otherwise(F.col("keep")).alias("keep"),
-            F.when(F.col("h_ended"), F.col("h_size")).otherwise(F.col("size")).alias("size"),
+            F.when(deeper, _key(F.col("child"), level + 1)).otherwise(F.col("key")).alias("key"),
+            F.when(F.col("ended_size").isNotNull(), F.col("h_keep")).otherwise(F.col("keep")).alias("keep"),
+            F.coalesce("ended_size", "size").alias("size"),
+        )
+    return out
+
+
+def _inside(rows: DataFrame, heavy: list[tuple[DataFrame, bool]]) -> DataFrame:
+    """``(id, body, key)`` of the rows inside the heavy groups of all levels."""
+    out = rows.select("id", "body", _key(F.lit("0"), 0).alias("key"))
+    for level, (table, small) in enumerate(heavy):
+        side = table.where("child is not null").select(F.col("key").alias("h_key"), "child")
+        side = F.broadcast(side) if small else side
+        out = out.join(side, F.col("key") == F.col("h_key")).select(
+            "id", "body", _key(F.col("child"), level + 1).alias("key")
         )
     return out
 
 
 def heavy_groups(rows: DataFrame, max_rows: int, max_bytes: int) -> list[tuple[DataFrame, bool]]:
-    """Per level the groups too large for one task, and whether the table is small."""
+    """Per level the groups too large for one task, and whether the table is small.
+
+    A group whose texts go on gets a ``child``, one whose texts have ended an
+    ``ended_size``.
+    """
     heavy: list[tuple[DataFrame, bool]] = []
     while True:
         level = len(heavy)
-        live = _descend(rows, heavy).where((F.col("level") == level) & F.col("size").isNull())
-        counts = live.groupBy("node", "digit", "ended").agg(
-            F.count("*").alias("size"), F.max("id").alias("keep"), F.sum(F.octet_length("body")).alias("bytes")
+        length = F.octet_length("body")
+        counts = _inside(rows, heavy).groupBy("key").agg(
+            F.count("*").alias("n"),
+            F.max("id").alias("keep"),
+            F.sum(length).alias("bytes"),
+            F.max((length <= digit_end(level)).cast("int")).alias("ended"),
         )
-        large = (F.col("size") > max_rows) | ((F.col("bytes") > max_bytes) & (F.col("size") > 1))
-        table = stash(counts.where(large).withColumn("child", F.monotonically_increasing_id()), "radix-heavy")
-        width, going = table.agg(
-            F.sum(F.octet_length("digit") + 64), F.count(F.when(~F.col("ended"), 1))
-        ).first()
+        large = (F.col("n") > max_rows) | ((F.col("bytes") > max_bytes) & (F.col("n") > 1))
+        child = F.concat(F.lit(f"{level + 1}."), F.monotonically_increasing_id().cast("string"))
+        table = stash(
+            counts.where(large).select(
+                "key",
+                "keep",
+                F.when(F.col("ended") == 0, child).alias("child"),
+                F.when(F.col("ended") == 1, F.col("n")).alias("ended_size"),
+            ),
+            "radix-heavy",
+        )
+        width, going = table.agg(F.sum(F.octet_length("key") + 64), F.count("child")).first()
         if width is None:
             return heavy
         heavy.append((table, width <= BROADCAST_BYTES))
@@ -144,18 +149,20 @@ def _finish(rows: DataFrame) -> DataFrame:
     """Split the light groups; a group's rows are adjacent in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, bodies = None, [], []
+        key, start, ids, bodies = None, 0, [], []
         out: list[list] = [[], [], [], [], []]
 
+        def add(*row) -> None:
+            for col, value in zip(out, row, strict=True):
+                col.append(value)
+
         def solve() -> None:
-            level = key[0]
-            for members in msd_classes(bodies, digit_end(level - 1) if level else 0):
+            for members in msd_classes(bodies, start):
                 known = [ids[i] for i in members if ids[i] is not None]
                 keep = max(known) if known else None
                 sha = hashlib.sha256(bodies[members[0]]).hexdigest()
                 for i in members:
-                    for col, value in zip(out, (ids[i], keep, len(members), ids[i] == keep, sha), strict=True):
-                        col.append(value)
+                    add(ids[i], keep, len(members), ids[i] == keep, sha)
 
         def flush() -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
@@ -165,19 +172,17 @@ def _finish(rows: DataFrame) -> DataFrame:
                 c.clear()
             return batch
 
-        for part in sliced(batches, column=4):
-            levels, nodes, digits, own = (part.column(i).to_pylist() for i in range(4))
-            texts, keeps, sizes, shas = (part.column(i).to_pylist() for i in range(4, 8))
-            for at in zip(levels, nodes, digits, own, texts, keeps, sizes, shas, strict=True):
-                level, node, digit, one, body, keep, size, sha = at
+        for part in sliced(batches, column=3):
+            columns = (c.to_pylist() for c in part.columns)
+            for level, now, one, body, keep, size, sha in zip(*columns, strict=True):
                 if size is not None:
-                    for col, value in zip(out, (one, keep, size, one == keep, sha), strict=True):
-                        col.append(value)
+                    add(one, keep, size, one == keep, sha)
                     continue
-                if key != (level, node, digit):
+                if key != now:
                     if ids:
                         solve()
-                    key, ids, bodies = (level, node, digit), [], []
+                    key, ids, bodies = now, [], []
+                    start = digit_end(level - 1) if level else 0
                 ids.append(one)
                 bodies.append(body)
             if len(out[0]) >= 4096:
@@ -191,16 +196,14 @@ def _finish(rows: DataFrame) -> DataFrame:
     ready = rows.select(
         "level",
         # Rows of finished classes carry no text and may go anywhere.
-        F.when(done, F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(F.col("node")).alias("node"),
-        F.when(done, F.lit(b"")).otherwise(F.col("digit")).alias("digit"),
+        F.when(done, F.xxhash64("id").cast("string").cast("binary")).otherwise(F.col("key")).alias("key"),
         "id",
-        F.when(done, F.lit(None).cast("binary")).otherwise(F.col("body")).alias("body"),
+        F.when(~done, F.col("body")).alias("body"),
         "keep",
         "size",
         F.when(done, F.sha2("body", 256)).alias("sha"),
     )
-    ready = ready.repartition("level", "node", "digit").sortWithinPartitions("level", "node", "digit")
-    return ready.mapInArrow(run, OUT)
+    return ready.repartition("key").sortWithinPartitions("key").mapInArrow(run, OUT)
 
 
 def exact_dedup(
@@ -223,6 +226,17 @@ def exact_dedup(
     return out.withColumnRenamed("id", id_col)
 
 
+def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of equal texts the one with the largest id.
+
+    Ids name documents: repeated rows of the id that stays are kept as they
+    are, and rows with a null id always stay, as nothing names them.
+    """
+    classes = exact_dedup(df, id_col, text_col)
+    gone = stash(classes.where(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("__gone")), "exact-gone")
+    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality class of every document."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

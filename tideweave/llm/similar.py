@@ -301,13 +301,12 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """The rows of ``df`` that stay: of each class the one with the smallest id.
 
-    A row whose id is null is kept if no row of its class has an id; repeated
-    rows of the id that stays are kept as they are.
+    Ids name documents: repeated rows of the id that stays are kept as they
+    are, and rows with a null id always stay, as nothing names them.
     """
     classes = simhash_components(df, id_col, text_col, width)
-    gone = classes.where(F.col("component_id").isNotNull() & ~F.col(id_col).eqNullSafe(F.col("component_id")))
-    gone = stash(gone.select(F.col(id_col).alias("__gone")).distinct(), "sim-gone")
-    return df.join(gone, df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct()
+    return df.join(stash(gone, "sim-gone"), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
