@@ -58,10 +58,6 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.event_edges(spark, sf_dir).drop("valid_to")
 
 
-def _ntz(*names: str) -> list:
-    return [F.col(n).cast("timestamp_ntz").alias(n) for n in names]
-
-
 # ------------------------------------------------------------------ edge-wise
 @query(f"with {E} select id as edge_id, label, src, dst, value, ts as valid_from from e")
 def edges_scan(spark, sf_dir):
@@ -284,7 +280,8 @@ def snapshot_apply(spark, sf_dir):
     def kind(rows: pd.DataFrame) -> pd.DataFrame:
         name = "big" if len(rows) > 10 else "small"
         first = rows.iloc[0]
-        return pd.DataFrame([(first["window_start"], first["vertex"], name, rows["other"].nunique())], columns=["window_start", "vertex", "kind", "others"])
+        row = (first["window_start"], first["vertex"], name, rows["other"].nunique())
+        return pd.DataFrame([row], columns=["window_start", "vertex", "kind", "others"])
 
     snap = Snapshot(_edges(spark, sf_dir), "1 day", direction="all")
     return snap.apply(kind, "window_start timestamp_ntz, vertex long, kind string, others long")
