@@ -4,15 +4,38 @@ from __future__ import annotations
 
 import ctypes
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one slice holds at most, unless a single row is longer.
 SLICE_BYTES = 8 << 20
 
 
+#: The session's limit on bytes of an Arrow batch, its default, and ours.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_DEFAULT = ("64m", "64mb", "67108864", "67108864b")
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on Arrow batches, unless the user has set one.
+
+    A batch lies in both the executor's and the worker's memory outside the
+    heap, often twice while it grows.
+    """
+    if spark.conf.get(BATCH_LIMIT, "64m").lower() in BATCH_DEFAULT:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with bounded batches."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def give_back() -> None:
     """Return freed memory to the system, as workers are kept between tasks."""
     pa.default_memory_pool().release_unused()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import binaries, sliced
+from tideweave.llm.batches import arrow_map, binaries, sliced
 from tideweave.plans.lineage import stash
 
 FIRST_DIGIT = 64
@@ -65,7 +65,7 @@ def normalised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), bodies], names=["id", "body"])
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "id long, body binary")
+    return arrow_map(kept, run, "id long, body binary")
 
 
 def _key(node: Column, level: int) -> Column:
@@ -203,7 +203,7 @@ def _finish(rows: DataFrame) -> DataFrame:
         "size",
         F.when(done, F.sha2("body", 256)).alias("sha"),
     )
-    return ready.repartition("key").sortWithinPartitions("key").mapInArrow(run, OUT)
+    return arrow_map(ready.repartition("key").sortWithinPartitions("key"), run, OUT)
 
 
 def exact_dedup(

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import sliced, strings
+from tideweave.llm.batches import arrow_map, sliced, strings
 from tideweave.llm.quality import Logistic
 
 #: Elements that end a block, that are never text, that hold none.
@@ -370,7 +370,7 @@ def extract_pages(
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "text", "n_chars"])
 
     picked = df.select(*(F.col(f"`{c}`") for c in keep), F.col(html_col).cast("string").alias("__html"))
-    return picked.mapInArrow(run, schema + ", text string, n_chars long")
+    return arrow_map(picked, run, schema + ", text string, n_chars long")
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

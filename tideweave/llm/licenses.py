@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import binaries, sliced
+from tideweave.llm.batches import arrow_map, binaries, sliced
 
 THRESHOLD = 0.8
 #: Phrases whose places are counted, and their labels.
@@ -112,7 +112,7 @@ def word_counts(df: DataFrame, text_col: str, words: set[str]) -> dict[str, int]
             [pa.array(found, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
         )
 
-    each = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    each = arrow_map(df.select(F.col(text_col).cast("string").alias("text")), run, "word string, n long")
     return {r["word"]: r["n"] for r in each.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -181,7 +181,7 @@ def license_scan(
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, OUT).withColumnRenamed("id", id_col)
+    return arrow_map(kept, run, OUT).withColumnRenamed("id", id_col)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tideweave.llm.batches import binaries, sliced
+from tideweave.llm.batches import arrow_map, binaries, sliced
 from tideweave.plans.lineage import shared_dir
 
 BLOCK = 512
@@ -176,7 +176,7 @@ def write_archives(
             yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["value"])
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = kept.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows = arrow_map(kept, run, "value binary").select(F.col("value").cast("string").alias("value"))
     rows.write.option("lineSep", "\0").option("compression", "none").text(path)
 
 
@@ -331,7 +331,7 @@ def media_features(members: DataFrame) -> DataFrame:
             names = [f.split()[0] for f in FEATURES.split(", ")]
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=names)
 
-    return members.select("name", "media").mapInArrow(run, FEATURES)
+    return arrow_map(members.select("name", "media"), run, FEATURES)
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: str) -> DataFrame:

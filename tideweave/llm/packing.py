@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import sliced, strings
+from tideweave.llm.batches import arrow_map, bound_batches, sliced, strings
 from tideweave.llm.tokens import byte_bpe
 from tideweave.plans.lineage import stash
 
@@ -66,7 +66,7 @@ def tokenised_pieces(
             )
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, PIECES)
+    return arrow_map(kept, run, PIECES)
 
 
 # ------------------------------------------------------------------ chromosomes
@@ -251,8 +251,10 @@ def pack(
                 items["doc_id"] = items["doc_id"].astype("Int64")
                 yield items[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    sizes = lists.select("shard", F.col("items.length").alias("sizes")).mapInArrow(sizes_of, "shard long, sizes binary")
+    sizes = lists.select("shard", F.col("items.length").alias("sizes"))
+    sizes = arrow_map(sizes, sizes_of, "shard long, sizes binary")
     best = _islands(sizes, capacity, islands, epochs, population, generations)
+    bound_batches(lists.sparkSession)
     joined = lists.withColumnRenamed("items", "items_").join(best, "shard")
     packed = joined.mapInPandas(laid, PIECES + ", sequence_id long, offset long")
     return full.unionByName(packed)

@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import sliced, strings
+from tideweave.llm.batches import arrow_map, sliced, strings
 
 MARK = "▁"
 #: Words kept per worker, and the longest one that is kept.
@@ -368,7 +368,7 @@ def encode_pieces(
             )
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "id long, ids string, decoded string")
+    return arrow_map(kept, run, "id long, ids string, decoded string")
 
 
 def piece_digests(
@@ -396,7 +396,7 @@ def piece_digests(
             )
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = kept.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = arrow_map(kept, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import sliced, strings
+from tideweave.llm.batches import arrow_map, sliced, strings
 
 ROUNDS = 8
 KEY = "tideweave-pseudonyms"
@@ -304,7 +304,7 @@ def pseudonymise_texts(df: DataFrame, text_col: str = "text", key: str = KEY) ->
             columns.append(pa.array([",".join(sorted(set(k))) for k in kinds], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "n_pii", "pii_kinds"])
 
-    return df.select(*(F.col(f"`{f.name}`") for f in own)).mapInArrow(run, schema + ", n_pii long, pii_kinds string")
+    return arrow_map(df.select(*(F.col(f"`{f.name}`") for f in own)), run, schema + ", n_pii long, pii_kinds string")
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import binaries, sliced
+from tideweave.llm.batches import arrow_map, binaries, sliced
 
 MAX_LABELLED = 6000
 MAX_POOL = 4000
@@ -226,7 +226,7 @@ def fit_quality(
     picked = docs.select(F.col(id_col).alias("id"), *_inputs(docs)).join(wanted, "id")
     picked = picked.select("id", "y", *(f"__{c}" for c in TEXT))
     kind = dict(docs.dtypes)[id_col]
-    got = picked.mapInArrow(run, f"id {kind}, y int, x binary").limit(2 * (max_labelled + max_pool)).toPandas()
+    got = arrow_map(picked, run, f"id {kind}, y int, x binary").limit(2 * (max_labelled + max_pool)).toPandas()
     if not len(got):
         return CoTrained()
     got = got.sort_values(["id", "x"], kind="stable")
@@ -253,8 +253,7 @@ def score_quality(
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     picked = docs.select(*(F.col(f"`{c}`") for c in keep), *_inputs(docs))
-    return picked.mapInArrow(
-        run, schema + ", p_content double, p_metadata double, score double, accepted boolean"
+    return arrow_map(picked, run, schema + ", p_content double, p_metadata double, score double, accepted boolean"
     )
 
 

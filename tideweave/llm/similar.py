@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.llm.batches import binaries, sliced
+from tideweave.llm.batches import arrow_map, binaries, sliced
 from tideweave.operators.components import connected_components
 from tideweave.plans.lineage import stash
 
@@ -95,7 +95,7 @@ def simhash(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["id", "fp"])
 
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return kept.mapInArrow(run, "id long, fp long")
+    return arrow_map(kept, run, "id long, fp long")
 
 
 # ----------------------------------------------------------------------- cells
@@ -248,7 +248,7 @@ def _links(cells: DataFrame) -> DataFrame:
 
     ordered = cells.select("cell", F.col("t").cast("long").alias("t"), "fp")
     ordered = ordered.repartition("cell", "t").sortWithinPartitions("cell", "t")
-    return ordered.mapInArrow(run, "src long, dst long")
+    return arrow_map(ordered, run, "src long, dst long")
 
 
 def near_links(fps: DataFrame, max_cell: int = 4096) -> DataFrame:
