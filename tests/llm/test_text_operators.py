@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from functools import lru_cache
 
+import corpus_pipeline
 import numpy as np
 import pandas as pd
 import public_tokenizers
@@ -207,6 +208,40 @@ def test_majority(runs):
     assert got == [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in r) > len(r)) for r in runs]
 
 
+def test_similar_texts_meet_jaccard(spark, odd, none):
+    rnd = random.Random(12)
+    rows = []
+    for _ in range(8):
+        base = [rnd.choice("abcdefghijklmnop") * rnd.randrange(1, 6) for _ in range(rnd.randrange(6, 120))]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(rnd.randrange(0, 4)):
+                copy[rnd.randrange(len(copy))] = f"w{rnd.randrange(1000)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(200, "same id, first text that is alone"), (200, rows[0][1]), (None, rows[0][1]), (201, ""), (202, None)]
+    sets = [frozenset(similar.shingle_hashes((t or "").encode(), 5)) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = defaultdict(list)
+    for i, (one, _) in enumerate(rows):
+        least[find(i)] += [one] if one is not None else []
+    want = [r for i, r in enumerate(rows) if r[0] is None or r[0] == min(least[find(i)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert similar.keep_one_per_similar(odd).columns == odd.columns
+    assert similar.keep_one_per_similar(none).count() == 0
+
+
 # --------------------------------------------------------------------- packing
 @lru_cache
 def token_library():

@@ -13,13 +13,14 @@ the remaining blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideweave.llm.batches import arrow_map, binaries, sliced
@@ -309,6 +310,160 @@ def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return df.join(stash(gone, "sim-gone"), F.col(id_col) == F.col("__gone"), "left_anti")
 
 
+# ------------------------------------------------------------- shingle sets
+SLOTS = 1 << 20
+CHUNKS = 64
+
+
+def shingle_set(raw: bytes, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(raw, width), dtype=np.uint64))
+
+
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """In how many texts the shingles of each of ``SLOTS`` hash slots stand."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int32)
+        for part in sliced(batches, column=0):
+            for raw in binaries(part.column(0)):
+                np.add.at(counts, (shingle_set(raw, width) % np.uint64(SLOTS)).astype(np.int64), 1)
+        if counts.any():
+            rows = [c.tobytes() for c in counts.reshape(CHUNKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows)], names=["chunk", "n"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(n, dtype=np.int32).astype(np.int64)
+        rows = [n.tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "n"])
+
+    each = arrow_map(texts, count, "chunk int, n binary").repartition("chunk")
+    out = np.zeros((CHUNKS, SLOTS // CHUNKS), dtype=np.int64)
+    for r in arrow_map(each, total, "chunk int, n binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["n"], dtype=np.int64)
+    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def _sketches(rows: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
+    """``(id, mark, node, n, keys)`` of rows ``(id, mark, text)``.
+
+    ``node`` hashes the shingle set, ``n`` is its size.  ``keys`` is the set's prefix in the order
+    of slot counts and hashes: two sets at the similarity share a key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, column=2):
+            nodes, sizes, keys = [], [], []
+            for raw in binaries(part.column(2)):
+                held = shingle_set(raw, width)
+                nodes.append(xxhash.xxh64_intdigest(held.tobytes(), 7))
+                sizes.append(len(held))
+                order = np.lexsort((held, counts[(held % np.uint64(SLOTS)).astype(np.int64)]))
+                prefix = len(held) - math.ceil(similarity * len(held) - 1e-9) + 1 if len(held) else 0
+                keys.append(held[order[:prefix]].view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            columns = [
+                part.column(0),
+                part.column(1),
+                pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
+                pa.array(sizes, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "node", "n", "keys"])
+
+    return arrow_map(rows, run, "id long, mark long, node long, n long, keys array<long>")
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(src, dst)`` that sizes and prefixes do not rule out.
+
+    Up to the lesser end of two prefixes all shared hashes are shared keys, so
+    a set's hashes beyond its prefix bound what more they can share.
+    """
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    held = sketches.select("node", "n", "keys").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(held.toDF("src", "m", "x"), "src").join(held.toDF("dst", "n", "y"), "dst")
+    sizes = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6
+    beyond = F.greatest(F.col("m") - F.size("x"), F.col("n") - F.size("y"))
+    most = F.size(F.array_intersect("x", "y")) + beyond
+    enough = most >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
+    return both.where(sizes).where(enough).select("src", "dst")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(src, dst)`` whose sets have at least the Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, column=2):
+            good = []
+            for a, b in zip(binaries(part.column(2)), binaries(part.column(3)), strict=True):
+                x, y = shingle_set(a, width), shingle_set(b, width)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (0, 1)], names=["src", "dst"])
+
+    pairs = stash(_plausible(pairs, sketches, similarity), "near-pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    marks = sketches.join(ends, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
+    texts = rows.join(marks, "mark").select("node", "text").dropDuplicates(["node"])
+    left, right = texts.toDF("src", "x"), texts.toDF("dst", "y")
+    return arrow_map(pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y"), run, "src long, dst long")
+
+
+def jaccard_links(rows: DataFrame, sketches: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(src, dst)`` between nodes, enough to connect all at the similarity.
+
+    Nodes that share a key are candidates.  First a key's neighbours in order
+    are verified, which joins large groups at a cost linear in their size; then
+    all candidates that are still in different components.
+    """
+    keyed = sketches.select("node", F.explode("keys").alias("key"))
+    shared = Window.partitionBy("key").orderBy("node")
+    after, before = F.lead("node").over(shared), F.lag("node").over(shared)
+    held = keyed.withColumns({"next": after, "prior": before}).where("next <> node or prior <> node")
+    held = stash(held.select("key", "node", F.when(F.col("next") != F.col("node"), F.col("next")).alias("next")), "near-keys")
+    chain = held.where("next is not null").select(F.col("node").alias("src"), F.col("next").alias("dst")).distinct()
+    chain = stash(chain, "near-chain")
+    links = stash(_verified(chain, rows, sketches, width, similarity), "near-links")
+    parts = connected_components(links).toDF("node", "part")
+    member = held.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    mixed = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
+    open_ = stash(member.join(mixed.where("low <> high and n > 2").select("key"), "key", "left_semi"), "near-open")
+    a, b = open_.toDF("key", "src", "p"), open_.toDF("key", "dst", "q")
+    rest = a.join(b, "key").where("src < dst and p <> q").select("src", "dst").distinct()
+    rest = stash(rest.join(chain, ["src", "dst"], "left_anti"), "near-rest")
+    return links.unionAll(_verified(rest, rows, sketches, width, similarity))
+
+
+def keep_one_per_similar(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """The rows of ``df`` that stay: of each class the one with the smallest id.
+
+    Classes are connected over pairs of texts whose sets of ``width``-word
+    shingles have at least the Jaccard ``similarity``; no such pair is missed.
+    Texts without words are one class.  Repeated rows of the id that stays are
+    kept, and rows with a null id always stay, as nothing names them; an id on
+    different texts loses only the rows whose class another id represents.
+    """
+    own = F.col(id_col).cast("long")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = df.select(own.alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    counts = slot_counts(rows.select("text"), width)
+    sketches = stash(_sketches(rows, counts, width, similarity), "near-sketches")
+    parts = connected_components(jaccard_links(rows, sketches, width, similarity)).toDF("node", "part")
+    classes = sketches.select("id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    keep = classes.groupBy("part").agg(F.min("id").alias("keep"))
+    gone = classes.join(keep, "part").where("id <> keep")
+    gone = stash(gone.select(F.col("id").alias("__gone"), F.col("mark").alias("__mark")).distinct(), "near-gone")
+    return df.join(gone, (own == F.col("__gone")) & (F.xxhash64(text) == F.col("__mark")), "left_anti")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class of every document."""
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
