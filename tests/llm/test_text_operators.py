@@ -406,6 +406,20 @@ def test_containment_join_is_exact(spark):
         assert got[i].labels == ",".join(sorted(labels)) and got[i].score == pytest.approx(best)
 
 
+def test_wrapped_notices(spark):
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        lines = [" * " + " ".join(words[i : i + 4]) for i in range(0, len(words), 4)]
+        rows.append((k, "Some words before.\n" + "\n".join(lines) + "\nAnd after."))
+    rows.append((99, "permission\n" + "to be\n" * 40 + "hereby granted free of charge"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df, phrases={"no such": "x"}).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k].labels.split(",") and got[k].score == 1.0
+    assert got[99].labels == "" and got[99].score == 0.0
+
+
 # -------------------------------------------------------------------------- PII
 def test_feistel_is_a_permutation():
     for n in (2, 3, 10, 97, 1000):

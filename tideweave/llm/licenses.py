@@ -1,6 +1,7 @@
 """License scans: phrase places and an exact set-similarity join of text blocks.
 
-A block is a line of a text.  It meets a template if it contains at least
+A block is a line of a text, or a run of words as long as the template, which
+may go over line ends as wrapped notices do.  It meets a template if it contains at least
 ``threshold`` of the template's distinct words.  Words are ordered by how many
 documents hold them (counted over all documents), rarest first.  A block that
 meets a template of ``n`` words shares at least ``need = ceil(threshold * n)``
@@ -14,7 +15,7 @@ documents are not shuffled.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,11 +57,22 @@ OUT = (
 )
 
 
+def in_order(run: list[bytes], order: list[bytes]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(order) + 1)
+    for w in run:
+        last = 0
+        for j, v in enumerate(order, 1):
+            last, row[j] = row[j], last + 1 if w == v else max(row[j], row[j - 1])
+    return row[-1]
+
+
 class Templates:
     """The templates with their words in global order, and their prefixes."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], threshold: float) -> None:
         self.items: list[tuple[str, list[bytes], int]] = []
+        self.orders: list[tuple[list[bytes], int]] = []
         self.by_word: dict[bytes, list[tuple[int, int]]] = {}
         for label, text in templates:
             words = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
@@ -69,6 +81,8 @@ class Templates:
                 continue
             k = len(self.items)
             self.items.append((label, [w.encode() for w in words], need))
+            order = [w.encode() for w in text.split()]
+            self.orders.append((order, math.ceil(threshold * len(order) - 1e-9)))
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.by_word.setdefault(w.encode(), []).append((k, at))
         self.prefix = frozenset(self.by_word)
@@ -90,6 +104,37 @@ class Templates:
             if shared >= need:
                 yield label, shared / len(words)
 
+    def meets_window(self, text: list[bytes], held: set[bytes]) -> Iterator[tuple[str, float]]:
+        """``(label, containment)`` of every template that a run of words meets.
+
+        A run is as long as the template and ignores line ends; as it may join
+        lines that have nothing to do with each other, the threshold must also
+        be met by words in the template's order.  Only templates that the words
+        of the whole text (``held``) meet are slid over it.
+        """
+        for k in {k for w in held & self.prefix for k, _ in self.by_word[w]}:
+            label, words, need = self.items[k]
+            if sum(w in held for w in words) < need:
+                continue
+            wanted, (order, least) = set(words), self.orders[k]
+            inside: Counter[bytes] = Counter()
+            run: deque[tuple[int, bytes]] = deque()
+            best = 0
+            for at, w in enumerate(text):
+                if w not in wanted:
+                    continue
+                while run and run[0][0] <= at - len(order):
+                    old = run.popleft()[1]
+                    inside[old] -= 1
+                    if not inside[old]:
+                        del inside[old]
+                run.append((at, w))
+                inside[w] += 1
+                if len(inside) >= max(need, best + 1) and in_order([w for _, w in run], order) >= least:
+                    best = len(inside)
+            if best >= need:
+                yield label, best / len(words)
+
 
 def template_words(templates: list[tuple[str, str]]) -> set[str]:
     return {w for _, text in templates for w in text.split()}
@@ -144,7 +189,7 @@ def license_scan(
 
     Whole texts; null is empty (no words, no labels, score 0, null positions).
     ``score`` is 1 if a phrase stands in the text, else the highest containment
-    of a template in one of its lines that reaches the threshold, else 0.
+    of a template in one of its blocks that reaches the threshold, else 0.
     Repeated rows and null ids pass through; an empty table gives an empty
     result; other columns of ``df`` are not read.
     """
@@ -162,6 +207,9 @@ def license_scan(
                 for label, share in index.meets(set(line.split())):
                     labels.add(label)
                     score = max(score, share)
+            for label, share in index.meets_window(words, set(words)):
+                labels.add(label)
+                score = max(score, share)
         return (
             len(words),
             len(places),
