@@ -461,3 +461,22 @@ def test_values_stay_linked(spark, none):
     assert privacy.pseudonymise_texts(none).count() == 0
     long = "é" * 200_000 + "@" + "a" * 200_000
     assert privacy.pseudonymise(long)[1] == []
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "4111 1111 1111 1111 123",
+        "4111111111111111 12/27",
+        "123 4111 1111 1111 1111",
+        "12345 4111 1111 1111 1111 99",
+        "4111-1111-1111-1111 123 5500 0055 5555 5559 12/27",
+        "123-45-6789 4111 1111 1111 1111",
+    ],
+)
+def test_cards_next_to_numbers(text):
+    new, kinds = privacy.pseudonymise(text)
+    assert "1111 1111 1111" not in new and "1111-1111" not in new and "11111111" not in new and "5555 5559" not in new
+    assert kinds.count("card") == text.count("4111") + text.count("5500")
+    alone = privacy.pseudonymise("4111 1111 1111 1111")[0]
+    assert re.sub("[ -]", "", alone) in re.sub("[ -]", "", new)

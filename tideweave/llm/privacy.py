@@ -247,13 +247,36 @@ KINDS: list[tuple[str, str, Callable[[str, str], str | None]]] = [
     ("phone", r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?!\w)", phone),
     ("phone", r"(?<![\w+])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)", phone),
     ("phone", r"(?<![\w+-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])", phone),
-    ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
+    ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,}(?![\w-])", card),
 ]
 PATTERNS = [(kind, re.compile(pattern), pseudonym) for kind, pattern, pseudonym in KINDS]
 #: Every kind holds a digit or an @; texts without either are left at once.
 HINT = re.compile(r"[0-9@]|(?i:token|secret|key|passw)")
 
 
+#: Lengths and first digits that issuers give out.
+ISSUED = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|6[0-9]{15}")
+
+
+def card_runs(start: int, found: str) -> list[tuple[int, int]]:
+    """Spans of 13 to 19 digits between group borders of a run of digit groups.
+
+    A card may stand next to its expiry, its code or any other number.  Spans
+    that an issuer gives out come first, then earlier and longer ones.
+    """
+    groups = list(re.finditer(r"[0-9]+", found))
+    spans = []
+    for i, first in enumerate(groups):
+        digits = ""
+        for last in groups[i:]:
+            digits += last[0]
+            if len(digits) > 19:
+                break
+            if len(digits) >= 13:
+                spans.append((ISSUED.fullmatch(digits) is None, first.start(), -last.end()))
+    return [(start + a, start - b) for _, a, b in sorted(spans)]
+
+
 def pseudonymise(text: str, key: str = KEY) -> tuple[str, list[str]]:
     """The text with its personal data replaced, and the kinds replaced."""
     if not HINT.search(text):
@@ -262,13 +285,14 @@ def pseudonymise(text: str, key: str = KEY) -> tuple[str, list[str]]:
     covered = bytearray(len(text))
     for kind, pattern, pseudonym in PATTERNS:
         for m in pattern.finditer(text):
-            start, end = m.span()
-            if covered.find(1, start, end) >= 0:
-                continue
-            new = pseudonym(key, m[0])
-            if new is not None and new != m[0]:
-                taken.append((start, end, kind, new))
-                covered[start:end] = b"\1" * (end - start)
+            for start, end in card_runs(m.start(), m[0]) if kind == "card" else (m.span(),):
+                if covered.find(1, start, end) >= 0:
+                    continue
+                found = text[start:end]
+                new = pseudonym(key, found)
+                if new is not None and new != found:
+                    taken.append((start, end, kind, new))
+                    covered[start:end] = b"\1" * (end - start)
     if not taken:
         return text, []
     taken.sort()
