@@ -4,7 +4,9 @@ import hashlib
 import io
 import os
 import random
+import re
 import tarfile
+import time
 import zlib
 
 import numpy as np
@@ -134,6 +136,118 @@ def test_minimum_cut(seed):
     assert cost == pytest.approx(brute_cut(odds, edges), abs=1e-6)
 
 
+def hidden(page, kinds=False):
+    """A page without landmark tags and names; ``kinds``: with plain elements only."""
+    page = re.sub(r"<(/?)(article|nav|footer|aside|header|main|section|form)\b", r"<\1div", page)
+    if kinds:
+        page = page.replace("<br><p>", "</p><p>")  # a paragraph that only the next one ends
+        page = re.sub(r"<(/?)(p|h1|li|ul)\b", r"<\1div", page)
+    return re.sub(r"\s(class|id|role)=(\"[^\"]*\"|[^\s>]+)", "", page)
+
+
+@tables_only
+def test_landmarks_may_be_hidden(spark):
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").orderBy("page_id").select("html").collect()
+    pages = [r.html or "" for r in rows]
+    model = html.fit_classifier(pages[::2])
+    assert max(map(abs, model.weights[html.TAG_FEATURES[0] :])) <= html.MOST_LANDMARK
+    alike = {0: 0, 1: 0}
+    flips = 0  # of one-word lines that the cut alone keeps
+    for page in pages[1::2]:
+        found = html.page_blocks(page)
+        want = "\n".join(t for b, t in found if b.towards and not (b.away_tag or b.away_name))
+        assert html.main_text(page, model) == want
+        for kinds in alike:
+            bare = hidden(page, bool(kinds))
+            alike[kinds] += html.main_text(bare, model) == want
+        blocks = html.page_blocks(hidden(page.replace("</article>", "<div>So</div></article>"), True))
+        odds = model.odds(blocks)
+        kept = html.minimum_cut(odds, html.smoothness_edges([b for b, _ in blocks]))
+        flips += sum(t == "So" and o < 0 and k for (_, t), k, o in zip(blocks, kept, odds, strict=True))
+    n = len(pages[1::2])
+    assert alike[0] >= 0.95 * n and alike[1] >= 0.75 * n and flips > 0
+
+
+def test_the_cut_flips_blocks():
+    """A short line amid paragraphs stays, a long teaser amid links goes."""
+    long = "A sentence that goes on for a while, as those of articles do, and says something. " * 3
+    page = f"<div><p>{long}</p><p>{long}</p><div>So.</div><p>{long}</p></div>"
+    blocks, model = html.page_blocks(page), html.BlockClassifier()
+    odds = model.odds(blocks)
+    assert odds[2] < 0 and "So." in html.main_text(page)
+    links = "".join(f"<li><a href=x>Item {k}</a></li>" for k in range(6))
+    page = f"<div><p>{long}</p><p>{long}</p></div><ul>{links}<li>A teaser, of some words. And more, that go on; a sentence.</li>{links}</ul>"
+    assert "teaser" not in html.main_text(page) and html.main_text(page).count("\n") == 1
+
+
+def plain_blocks(page):
+    """Texts of a small page of block elements, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Texts(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now = [], ""
+
+        def cut(self):
+            if self.now.split():
+                self.out.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html.BLOCKS:
+                self.cut()
+
+        handle_endtag = lambda self, tag: self.handle_starttag(tag, ())
+
+        def handle_data(self, data):
+            self.now += data
+
+    parser = Texts()
+    parser.feed(page)
+    parser.close()
+    parser.cut()
+    return parser.out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_extraction_equals_brute_force(seed):
+    """Blocks by another parser, the labelling by all labellings."""
+    rnd = random.Random(seed)
+
+    def tree(depth):
+        if depth == 0 or rnd.random() < 0.4:
+            text = " ".join(rnd.choice(["word", "a &amp; b", "longer sentence, here.", "<b>bold</b>", "&copy;"]) for _ in range(rnd.randrange(1, 12)))
+            tag = rnd.choice(["p", "div", "h2", "li", "div class=sidebar"])
+            return f"<{tag}>{text}</{tag.split()[0]}>"
+        tag = rnd.choice(["div", "section", "article", "nav", "ul", "div id=main"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rnd.randrange(1, 4))) + f"</{tag.split()[0]}>"
+
+    page = tree(3)
+    blocks, model = html.page_blocks(page), html.BlockClassifier()
+    assert [t for _, t in blocks] == plain_blocks(page)
+    blocks = blocks[:11]
+    odds, edges = model.odds(blocks), html.smoothness_edges([b for b, _ in blocks])
+    kept = html.minimum_cut(odds, edges)
+    cost = sum(max(0, x) if not s else max(0, -x) for x, s in zip(odds, kept, strict=True))
+    cost += sum(w for a, b, w in edges if kept[a] != kept[b])
+    assert cost == pytest.approx(brute_cut(odds, edges), abs=0.02)
+    if len(html.page_blocks(page)) <= 11:
+        assert html.main_text(page) == "\n".join(t for (_, t), k in zip(blocks, kept, strict=True) if k)
+
+
+def test_deep_and_broken_pages():
+    began = time.perf_counter()
+    deep = html.page_blocks("<div>a" * 20_000)
+    assert len(deep) == 20_000
+    html.main_text("<div>a" * 20_000)
+    html.page_blocks("<dt>x<ul>" + "<b>" * 5000 + "<dd>y" * 5000)
+    assert html.main_text("<a " + "\"'" * 50_000) == ""
+    assert time.perf_counter() - began < 20
+    assert [t for _, t in html.page_blocks('one <a href="x>link')] == ["one"]
+    assert [t for _, t in html.page_blocks("one <a title='>' b=\"<p>\">two</a> <i x\"y>three</i>")] == ["one two three"]
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "", ""), (1, "u", PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(0))

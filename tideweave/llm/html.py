@@ -1,18 +1,24 @@
 """Main text of web pages by minimum-cut labelling.
 
 A page is read into blocks: runs of text between block-level tags, each with
-the path of elements it stands in.  A classifier, fitted on blocks that
-landmarks (article, navigation, ...) tell apart, gives every block the log-odds
-of being content; they become capacities from the source or to the sink.
-Neighbouring blocks and blocks close in the tree are joined by smoothness edges.
-The minimum cut separates content from boilerplate.
+the element it stands in.  A classifier gives every block the log-odds of being
+content; they become capacities from the source or to the sink.  Neighbouring
+blocks and blocks close in the tree are joined by smoothness edges as strong as
+the odds of a middling block.  The minimum cut separates content from
+boilerplate.
+
+Landmarks (tags like article or nav, class and id names) are features like any
+other: what one may say is fitted and bounded.  The classifier is fitted on
+blocks that landmarks tell apart, once with all their landmarks and once each
+with names, tags or both hidden, so it also learns what the text itself says,
+and a page without any landmark is still told apart.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -46,7 +52,13 @@ CLOSES = {
 SCOPES = frozenset("ul ol dl table select body html div section article nav aside main menu".split())
 ENDS_P = BLOCKS - frozenset("body caption dd dt head html legend option optgroup tbody td tfoot th thead title tr".split())
 
-TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|/[^>]*(?:>|\Z))", re.S)
+#: A comment, declaration or tag.  Quotes count after an equals sign only; one
+#: that is never closed reaches to the end of the page, as in a browser.
+TAG = re.compile(
+    r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)"
+    r"((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+|(?=>)|\Z))*+)(>|\Z)|/[^>]*+(?:>|\Z))",
+    re.S,
+)
 NAMES = re.compile(r"(?:\s|^)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:\s|^)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 #: Words in class, id or role names, and what they say about the element.
@@ -64,25 +76,79 @@ TOWARDS = re.compile(
 AWAY_TAGS = frozenset("nav footer aside form header menu button select dialog search fieldset".split())
 TOWARDS_TAGS = frozenset(("article", "main"))
 SPACE = re.compile(r"\s+")
+OWN_HEADER = re.compile(r"article|entry|post", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-#: Log-odds of landmarks: elements and names that say where a block stands.
-LANDMARKS = {"away": -9.0, "towards": 6.0, "named": 2.5, "none": -0.5}
-#: Log-odds of a block's own features where there is nothing to fit them on.
-DEFAULT_WEIGHTS = (0.35, -4.0, 0.8, 1.0, 0.5, -0.3, -3.0, 0.0, 0.0)
-DEFAULT_BIAS = 0.0
-#: Pages that the classifier is fitted on at most, and how much it may say.
+#: Features of a block, and their log-odds where there is nothing to fit them on.
+FEATURES = {
+    "length": 0.6,
+    "linked": -3.0,
+    "sentence": 0.5,
+    "paragraph": 1.0,
+    "heading": 1.5,
+    "item": 0.0,
+    "copyright": -2.0,
+    "commas": 0.3,
+    "capitals": -0.5,
+    "company": 0.4,
+    "company share": 2.0,
+    "boilerplate tag": -5.0,
+    "boilerplate name": -5.0,
+    "article tag": 3.0,
+    "article name": 1.5,
+}
+DEFAULT_WEIGHTS = tuple(FEATURES.values())
+DEFAULT_BIAS = -3.0
+#: Which features tell the kind of element, and which are landmarks: tags, names.
+KIND_FEATURES, TAG_FEATURES, NAME_FEATURES = (3, 4, 5), (11, 13), (12, 14)
+#: Pages that the classifier is fitted on at most.
 MAX_PAGES = 400
-MOST_ODDS = 3.0
-SMOOTHNESS = 1.0
+#: What a landmark may say at most, and what the text may say.
+MOST_LANDMARK = 5.0
+MOST_TEXT = 2.5
+#: Capacity between neighbours under one parent, and its share where only one is in boilerplate by landmarks.
+SMOOTHNESS = 1.6
+CONTRAST = 0.2
 SCALE = 1000
 
 
+class Element:
+    """A block-level element: its parent, and how deep it lies."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Element | None) -> None:
+        self.parent = parent
+        self.depth = parent.depth + 1 if parent else 0
+
+
+class Open:
+    """An open element and what holds inside it."""
+
+    __slots__ = ("name", "element", "tag", "unseen", "away_tag", "away_name", "towards", "named", "link")
+
+    def __init__(
+        self,
+        name: str,
+        element: Element,
+        tag: str,
+        unseen: bool = False,
+        away_tag: bool = False,
+        away_name: bool = False,
+        towards: bool = False,
+        named: bool = False,
+        link: bool = False,
+    ) -> None:
+        self.name, self.element, self.tag, self.unseen = name, element, tag, unseen
+        self.away_tag, self.away_name, self.towards, self.named, self.link = away_tag, away_name, towards, named, link
+
+
 class Block:
-    __slots__ = ("path", "pieces", "linked", "tag", "away", "towards", "named")
+    __slots__ = ("element", "pieces", "linked", "tag", "away_tag", "away_name", "towards", "named")
 
-    def __init__(self, path: tuple[int, ...], tag: str, away: bool, towards: bool, named: bool) -> None:
-        self.path, self.tag, self.away, self.towards, self.named = path, tag, away, towards, named
+    def __init__(self, top: Open) -> None:
+        self.element, self.tag = top.element, top.tag
+        self.away_tag, self.away_name, self.towards, self.named = top.away_tag, top.away_name, top.towards, top.named
         self.pieces: list[str] = []
         self.linked = 0
 
@@ -90,10 +156,12 @@ class Block:
 def page_blocks(html: str) -> list[tuple[Block, str]]:
     """The blocks of a page in order, with their text."""
     out: list[tuple[Block, str]] = []
-    # Open elements: name, number, and what holds inside: unseen, away, towards, named, link.
-    stack: list[tuple[str, int, bool, bool, bool, bool, bool]] = []
-    count, at, block, n = 0, 0, None, len(html)
-    opened: Counter[str] = Counter()
+    root = Open("", Element(None), "")
+    stack: list[Open] = []
+    #: Where the open elements of each name stand in the stack, and the scopes.
+    opened: dict[str, list[int]] = {}
+    scopes: list[int] = [-1]
+    at, block, n = 0, None, len(html)
 
     def finish() -> None:
         nonlocal block
@@ -107,24 +175,24 @@ def page_blocks(html: str) -> list[tuple[Block, str]]:
         nonlocal block
         if not raw:
             return
-        top = stack[-1] if stack else ("", 0, False, False, False, False, False)
-        if top[2]:
+        top = stack[-1] if stack else root
+        if top.unseen:
             return
+        if block is not None and (block.away_tag, block.away_name) != (top.away_tag, top.away_name):
+            finish()
         if block is None:
             if raw.isspace():
                 return
-            holder = next((e for e in reversed(stack) if e[0] in BLOCKS), top)
-            block = Block(tuple(e[1] for e in stack if e[0] in BLOCKS), holder[0], top[3], top[4], top[5])
-        elif block.away != top[3]:
-            finish()
-            add(raw)
-            return
+            block = Block(top)
         block.pieces.append(raw)
-        if top[6]:
+        if top.link:
             block.linked += len(raw)
 
     def close(k: int) -> None:
-        opened.subtract(e[0] for e in stack[k:])
+        for e in stack[k:]:
+            opened[e.name].pop()
+        while scopes[-1] >= k:
+            scopes.pop()
         del stack[k:]
 
     while at < n:
@@ -143,38 +211,48 @@ def page_blocks(html: str) -> list[tuple[Block, str]]:
         if m[1]:
             if name in BLOCKS:
                 finish()
-            if opened[name]:
-                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            if opened.get(name):
+                close(opened[name][-1])
             continue
         if name == "br":
             add(" ")
             continue
         if name in BLOCKS:
             finish()
-            if name in ENDS_P and opened["p"]:
-                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"))
-            if any(opened[other] for other in CLOSES.get(name, ())):
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES[name]:
-                        close(i)
-                        break
-                    if stack[i][0] in SCOPES:
-                        break
+            if name in ENDS_P and opened.get("p"):
+                close(opened["p"][-1])
+            last = max((opened[x][-1] for x in CLOSES.get(name, ()) if opened.get(x)), default=-1)
+            if last > scopes[-1]:
+                close(last)
         if name in VOID or m[3].endswith("/"):
             continue
-        top = stack[-1] if stack else ("", 0, False, False, False, False, False)
+        top = stack[-1] if stack else root
         attrs = m[3]
         names = " ".join(filter(None, (x for g in NAMES.findall(attrs) for x in g))) if "=" in attrs else ""
         names = CAMEL.sub("-", names)
-        unseen = top[2] or name in UNSEEN or (bool(attrs) and HIDDEN.search(attrs) is not None)
-        away = top[3] or name in AWAY_TAGS or bool(names and name not in ("body", "html", "article", "main") and AWAY.search(names))
-        if name == "header" and top[4] and not top[3]:
-            away = bool(names and AWAY.search(names) and not re.search(r"article|entry|post", names, re.I))
-        towards = top[4] or name in TOWARDS_TAGS
-        named = top[5] or bool(names and TOWARDS.search(names))
-        count += 1
-        opened[name] += 1
-        stack.append((name, count, unseen, away, towards, named, top[6] or name == "a"))
+        unseen = top.unseen or name in UNSEEN or (bool(attrs) and HIDDEN.search(attrs) is not None)
+        away_name = bool(names) and name not in ("body", "html", "article", "main") and AWAY.search(names) is not None
+        away_tag = name in AWAY_TAGS
+        if name == "header" and top.towards and not (top.away_tag or top.away_name):
+            # An article's own header holds its title.
+            away_tag, away_name = False, away_name and not OWN_HEADER.search(names)
+        grouped = name in BLOCKS
+        opened.setdefault(name, []).append(len(stack))
+        if name in SCOPES:
+            scopes.append(len(stack))
+        stack.append(
+            Open(
+                name,
+                Element(top.element) if grouped else top.element,
+                name if grouped else top.tag,
+                unseen,
+                top.away_tag or away_tag,
+                top.away_name or away_name,
+                top.towards or name in TOWARDS_TAGS,
+                top.named or bool(names and TOWARDS.search(names)),
+                top.link or name == "a",
+            )
+        )
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(html, at)
             stop = end.start() if end else n
@@ -185,11 +263,21 @@ def page_blocks(html: str) -> list[tuple[Block, str]]:
     return out
 
 
-def block_features(block: Block, text: str) -> tuple[float, ...]:
-    """Length, links, sentence end, kind of element, copyright sign, commas, capitals."""
-    n, tag = len(text), block.tag
+def companies(blocks: list[tuple[Block, str]]) -> list[tuple[int, float]]:
+    """Characters outside links under each block's parent element, and their share of the page's."""
+    held: dict[int, int] = {}
+    parents = [id(b.element.parent or b.element) for b, _ in blocks]
+    for parent, (b, text) in zip(parents, blocks, strict=True):
+        held[parent] = held.get(parent, 0) + max(0, len(text) - b.linked)
+    total = max(1, sum(held.values()))
+    return [(held[p], held[p] / total) for p in parents]
+
+
+def block_features(block: Block, text: str, company: tuple[int, float]) -> tuple[float, ...]:
+    """The values of :data:`FEATURES`."""
+    n, tag, away = len(text), block.tag, block.away_tag or block.away_name
     return (
-        math.log1p(n / 20),
+        min(4.0, math.log1p(n / 20)),
         min(1.0, block.linked / max(1, n)),
         float(text[-1] in ".!?:;\"'”»…"),
         float(tag in ("p", "blockquote", "pre")),
@@ -197,64 +285,96 @@ def block_features(block: Block, text: str) -> tuple[float, ...]:
         float(tag == "li"),
         float(text[0] == "©"),
         min(1.0, 20 * text.count(",") / n),
-        sum(map(str.isupper, text[:200])) / min(n, 200),
+        sum(map(str.isupper, text)) / n,
+        min(4.0, math.log1p(company[0] / 100)),
+        company[1],
+        float(block.away_tag),
+        float(block.away_name),
+        float(block.towards and not away),
+        float(block.named and not away),
     )
 
 
 class BlockClassifier:
-    """Log-odds that a block is content: its landmarks' and its features'."""
+    """Log-odds that a block is content; text and landmarks are each bounded."""
 
     def __init__(self, weights: tuple[float, ...] = DEFAULT_WEIGHTS, bias: float = DEFAULT_BIAS) -> None:
-        self.weights, self.bias = weights, bias
+        cut = TAG_FEATURES[0]
+        bounded = (max(-MOST_LANDMARK, min(MOST_LANDMARK, w)) for w in weights[cut:])
+        self.weights, self.bias = (*weights[:cut], *bounded), bias
 
-    def odds(self, block: Block, text: str) -> float:
-        own = self.bias + sum(w * x for w, x in zip(self.weights, block_features(block, text), strict=True))
-        score = max(-MOST_ODDS, min(MOST_ODDS, own))
-        if block.away:
-            score += LANDMARKS["away"]
-        return score + LANDMARKS["towards" if block.towards else "named" if block.named else "none"]
+    def odds(self, blocks: list[tuple[Block, str]]) -> list[float]:
+        """Of every block of a page."""
+        out, w, cut = [], self.weights, TAG_FEATURES[0]
+        for (block, text), company in zip(blocks, companies(blocks), strict=True):
+            x = block_features(block, text, company)
+            own = self.bias + sum(a * b for a, b in zip(w[:cut], x[:cut], strict=True))
+            marks = sum(a * b for a, b in zip(w[cut:], x[cut:], strict=True))
+            out.append(max(-MOST_TEXT, min(MOST_TEXT, own)) + marks)
+        return out
 
 
 def fit_classifier(pages: list[str]) -> BlockClassifier:
     """Logistic regression on blocks whose landmarks tell what they are.
 
-    Classes weigh alike; with fewer than 20 blocks of either the default stays.
+    Every block is shown with all its landmarks, without names, without tags,
+    without either, and by its text alone.  Classes weigh alike; weights that the pages say
+    nothing about stay near the defaults, and with fewer than 20 blocks of
+    either class all do.
     """
     rows, labels = [], []
     for page in pages:
-        for block, text in page_blocks(page):
-            if block.away or block.towards:
-                rows.append(block_features(block, text))
-                labels.append(float(not block.away))
+        blocks = page_blocks(page)
+        for (block, text), company in zip(blocks, companies(blocks), strict=True):
+            away = block.away_tag or block.away_name
+            if away or block.towards:
+                rows.append(block_features(block, text, company))
+                labels.append(float(not away))
     y = np.array(labels)
     if min(y.sum(), len(y) - y.sum()) < 20:
         return BlockClassifier()
-    model = Logistic.fit(np.array(rows), y, ridge=1e-2)
-    prior = float(np.log(y.mean() / (1 - y.mean())))
-    return BlockClassifier(tuple(float(w) for w in model.weights), model.bias - prior)
+    x = np.array(rows)
+    shown = []
+    both = NAME_FEATURES + TAG_FEATURES
+    for hidden in ((), NAME_FEATURES, TAG_FEATURES, both, both + KIND_FEATURES):
+        one = x.copy()
+        one[:, list(hidden)] = 0.0
+        shown.append(one)
+    share = y.mean()
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
+    model = Logistic.fit(
+        np.vstack(shown), np.tile(y, len(shown)), ridge=2e-3, toward=np.array(DEFAULT_WEIGHTS), sample=np.tile(weight, len(shown))
+    )
+    return BlockClassifier(tuple(float(w) for w in model.weights), model.bias)
 
 
-def tree_distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Steps between two elements by their paths."""
-    shared = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        shared += 1
-    return len(a) + len(b) - 2 * shared
+def tree_distance(a: Element, b: Element) -> int:
+    """Steps between two elements; as many are taken."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
 
 
-def smoothness_edges(paths: list[tuple[int, ...]]) -> list[tuple[int, int, float]]:
+def smoothness_edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Adjacent blocks, and the next block under the same parent element."""
     edges, last = [], {}
-    for i, path in enumerate(paths):
-        joined = set()
+    away = [b.away_tag or b.away_name for b in blocks]
+
+    def join(i: int, j: int, weight: float) -> None:
+        edges.append((i, j, weight * SMOOTHNESS * (1.0 if away[i] == away[j] else CONTRAST)))
+
+    for i, block in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, SMOOTHNESS / (1 + tree_distance(paths[i - 1], path))))
-            joined.add(i - 1)
-        parent = path[:-1]
-        if parent in last and last[parent] not in joined:
-            edges.append((last[parent], i, SMOOTHNESS / 3))
+            # Two siblings are two steps apart.
+            join(i - 1, i, 1 / max(1, tree_distance(blocks[i - 1].element, block.element) - 1))
+        parent = id(block.element.parent or block.element)
+        if last.get(parent, i - 1) != i - 1:
+            join(last[parent], i, 0.5)
         last[parent] = i
     return edges
 
@@ -332,17 +452,18 @@ def main_text(html: str, classifier: BlockClassifier | None = None) -> str:
     if not blocks:
         return ""
     classifier = classifier or BlockClassifier()
-    odds = [classifier.odds(b, text) for b, text in blocks]
-    kept = minimum_cut(odds, smoothness_edges([b.path for b, _ in blocks]))
+    kept = minimum_cut(classifier.odds(blocks), smoothness_edges([b for b, _ in blocks]))
     return "\n".join(text for (_, text), keep in zip(blocks, kept, strict=True) if keep)
 
 
 def sampled_pages(df: DataFrame, html_col: str, id_col: str, most: int) -> list[str]:
-    """At most ``most`` pages, those with the smallest hashed ids."""
+    """At most ``most`` pages, those with the smallest hashed ids; one page per id."""
+    page = F.col(html_col).cast("string")
     ids = df.select(F.col(f"`{id_col}`").alias("__id")).where(F.col("__id").isNotNull()).distinct()
     chosen = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(most))  # bounded by ``most``
-    rows = df.select(F.col(f"`{id_col}`").alias("__id"), F.col(html_col).cast("string").alias("h")).join(chosen, "__id")
-    return sorted(r["h"] or "" for r in rows.select("h").limit(most).collect())
+    rows = df.select(F.col(f"`{id_col}`").alias("__id"), page.alias("h")).join(chosen, "__id")
+    one = rows.groupBy("__id").agg(F.min(F.struct(F.xxhash64("h").alias("k"), "h")).alias("r"))
+    return sorted(r["h"] or "" for r in one.select("r.h").collect())
 
 
 def extract_pages(

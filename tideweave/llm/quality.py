@@ -82,15 +82,28 @@ class Logistic:
     bias: float
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 12) -> Logistic:
+    def fit(
+        cls,
+        x: np.ndarray,
+        y: np.ndarray,
+        ridge: float = 1e-3,
+        steps: int = 12,
+        toward: np.ndarray | None = None,
+        sample: np.ndarray | None = None,
+    ) -> Logistic:
+        """``toward``: the weights that the ridge draws to; ``sample``: the rows' weights."""
         a = np.hstack([x, np.ones((len(x), 1))])
-        w = np.zeros(a.shape[1])
+        mean = np.zeros(a.shape[1])
+        if toward is not None:
+            mean[:-1] = toward
+        w = mean.copy()
+        each = np.ones(len(x)) if sample is None else sample
         penalty = np.full(len(w), ridge * len(x))
         penalty[-1] = 1e-6
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            grad = a.T @ (p - y) + penalty * w
-            hess = (a * (p * (1 - p) + 1e-6)[:, None]).T @ a + np.diag(penalty)
+            grad = a.T @ (each * (p - y)) + penalty * (w - mean)
+            hess = (a * (each * (p * (1 - p) + 1e-6))[:, None]).T @ a + np.diag(penalty)
             move = np.linalg.solve(hess, grad)
             w -= move
             if np.abs(move).max() < 1e-6:
