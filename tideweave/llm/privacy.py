@@ -6,6 +6,12 @@ Feistel network, so equal values stay linked across documents without a table
 of values and nothing has to be gathered.  The permutation used is
 ``P^-1(P(x) + 1)``: a bijection without fixed points, so no value stays as it
 was.
+
+Free text (local parts, secrets) is permuted symbol by symbol within each
+symbol's own alphabet, so its shape stays and no two values meet.  Long values
+are cut into chunks of bounded size; each chunk's network is keyed by the
+chunks next to it, forth and back, so the whole is one permutation and every
+symbol depends on all others.
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -24,6 +31,10 @@ from tideweave.llm.batches import arrow_map, sliced, strings
 
 ROUNDS = 8
 KEY = "tideweave-pseudonyms"
+#: Symbols that one network permutes at most.
+CHUNK = 32
+#: Code points among which an alphabet beyond ASCII is taken.
+PAGE = 128
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 LAST_DAY = datetime.date(2099, 12, 31).toordinal()
 
@@ -133,28 +144,39 @@ def ssn(key: str, found: str) -> str | None:
     return f"{area + 1 + (area >= 665):03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
+def iban_remainder(plain: str) -> int:
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def valid_iban(plain: str) -> bool:
+    """15 to 34 characters, check digits of 02 to 98 that leave a remainder of 1."""
+    return 15 <= len(plain) <= 34 and 2 <= int(plain[2:4]) <= 98 and iban_remainder(plain) == 1
+
+
 def iban(key: str, found: str) -> str | None:
     """Two letters, check digits with remainder 1, then letters and digits."""
     plain = found.replace(" ", "")
-    if not 15 <= len(plain) <= 34:
-        return None
-
-    def remainder(s: str) -> int:
-        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
-
-    if remainder(plain) != 1:
-        return None
     digits = re.sub(r"[^0-9]", "", plain[4:])
-    if not digits:
+    if not valid_iban(plain) or not digits:
         return None
     body = refill(plain[4:], permuted_digits(key, "iban", digits))
-    check = 98 - remainder(f"{plain[:2]}00{body}")
+    check = 98 - iban_remainder(f"{plain[:2]}00{body}")
     made = iter(f"{plain[:2]}{check:02d}{body}")
     return re.sub(r"[^ ]", lambda _: next(made), found)
 
 
+@lru_cache(maxsize=1)
+def late_days() -> tuple[list[int], dict[int, int]]:
+    """Days from the 13th of a month on, which ``m/d/y`` alone can write, and their ranks."""
+    days = [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+    return days, {d: i for i, d in enumerate(days)}
+
+
 def date(key: str, found: str) -> str | None:
-    """ISO, ``d.m.y`` and ``d/m/y`` (``m/d/y`` if only that is a date), 1900 to 2099."""
+    """ISO, ``d.m.y`` and ``d/m/y`` (``m/d/y`` if only that is a date), 1900 to 2099.
+
+    What was ``m/d/y`` becomes a date that is again only that.
+    """
     parts = re.split(r"[-./]", found)
     orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]
     for y, m, d in orders:
@@ -164,7 +186,11 @@ def date(key: str, found: str) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        moved = feistel(key, "date", LAST_DAY - FIRST_DAY + 1)(day - FIRST_DAY) + FIRST_DAY
+        if (y, m, d) == (2, 0, 1):
+            days, ranks = late_days()
+            moved = days[feistel(key, "date m/d", len(days))(ranks[day])]
+        else:
+            moved = feistel(key, "date", LAST_DAY - FIRST_DAY + 1)(day - FIRST_DAY) + FIRST_DAY
         new = datetime.date.fromordinal(moved)
         parts[y], parts[m], parts[d] = str(new.year), f"{new.month:02d}", f"{new.day:02d}"
         made = iter(parts)
@@ -172,43 +198,99 @@ def date(key: str, found: str) -> str | None:
     return None
 
 
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+@lru_cache(maxsize=4096)
+def _alphabet(page: int, category: str) -> tuple[str, dict[str, int]]:
+    """The characters of a category in a page of code points, and their ranks."""
+    letters = "".join(c for c in map(chr, range(page * PAGE, (page + 1) * PAGE)) if unicodedata.category(c) == category)
+    return letters, {c: i for i, c in enumerate(letters)}
+
+
+def alphabet(c: str) -> tuple[str, dict[str, int]] | None:
+    """The letters or digits that may stand in the character's place; none for other signs.
+
+    A letter is replaced by one of the same case and the same part of Unicode.
+    """
+    if not c.isalnum():
+        return None
+    return _alphabet(ord(c) // PAGE, unicodedata.category(c))
+
+
+class Chunks:
+    """A value's ranks in chunks of bounded size, and networks keyed by the neighbours."""
+
+    def __init__(self, key: str, name: str, radix: list[int]) -> None:
+        self.key, self.name = key, f"{name}:{len(radix)}"
+        self.radix = [radix[i : i + CHUNK] for i in range(0, len(radix), CHUNK)]
+        self.sizes = []
+        for chunk in self.radix:
+            n = 1
+            for r in chunk:
+                n *= r
+            self.sizes.append(n)
+
+    def ranks(self, digits: list[int]) -> list[int]:
+        out, at = [], 0
+        for chunk in self.radix:
+            rank = 0
+            for r in chunk:
+                rank = rank * r + digits[at]
+                at += 1
+            out.append(rank)
+        return out
+
+    def digits(self, ranks: list[int]) -> list[int]:
+        out: list[int] = []
+        for rank, chunk in zip(ranks, self.radix, strict=True):
+            part = []
+            for r in reversed(chunk):
+                rank, v = divmod(rank, r)
+                part.append(v)
+            out += reversed(part)
+        return out
+
+    def _pass(self, ranks: list[int], way: str, back: bool) -> list[int]:
+        """Every chunk permuted, keyed by a digest of the permuted ones before it."""
+        order = range(len(ranks)) if way == "forth" else range(len(ranks) - 1, -1, -1)
+        out, chain = list(ranks), b""
+        for i in order:
+            network = Feistel(self.key, f"{self.name}:{way}:{chain.hex()}", self.sizes[i])
+            out[i] = network.backward(ranks[i]) if back else network.forward(ranks[i])
+            made = ranks[i] if back else out[i]
+            chain = hashlib.blake2b(chain + made.to_bytes(-(-made.bit_length() // 8) or 1, "big"), digest_size=16).digest()
+        return out
+
+    def __call__(self, ranks: list[int]) -> list[int]:
+        """``P^-1(P(x) + 1)`` with one added to the first chunk that has a choice."""
+        if len(ranks) == 1:
+            return [feistel(self.key, self.name, self.sizes[0])(ranks[0])]
+        moved = self._pass(self._pass(ranks, "forth", False), "back", False)
+        i = next(i for i, n in enumerate(self.sizes) if n > 1)
+        moved[i] = (moved[i] + 1) % self.sizes[i]
+        return self._pass(self._pass(moved, "back", True), "forth", True)
 
 
 def permuted_text(key: str, name: str, value: str) -> str:
-    """Letters and digits permuted together; each keeps its kind and case.
+    """Letters and digits permuted together; each keeps its alphabet, other signs stay.
 
-    Letters outside a-z take part as they would in a-z (they become ASCII).
+    A bijection on the values of a shape, without fixed points where any
+    character has a choice.
     """
-    radix, rank = [], 0
-    for c in value:
-        if c.isalpha():
-            radix.append(26)
-            low = c.lower()
-            rank = rank * 26 + (LETTERS.index(low) if low in LETTERS else ord(low[0]) % 26)
-        elif c in "0123456789":
-            radix.append(10)
-            rank = rank * 10 + int(c)
-    n = 1
-    for r in radix:
-        n *= r
-    if n == 1:
+    places = [(i, a) for i, c in enumerate(value) if (a := alphabet(c)) is not None and len(a[0]) > 1]
+    if not places:
         return value
-    # Characters that became ASCII would collide: they get a network of their own.
-    odd = "".join(c for c in value if c.isalpha() and c.lower() not in LETTERS)
-    rank = feistel(key, f"{name}:{len(radix)}:{odd}", n)(rank)
-    made = []
-    for r in reversed(radix):
-        rank, v = divmod(rank, r)
-        made.append(LETTERS[v] if r == 26 else str(v))
-    it = reversed(made)
-    return "".join(
-        (lambda x: x.upper() if c.isupper() else x)(next(it)) if c.isalpha() or c in "0123456789" else c for c in value
-    )
+    chunks = Chunks(key, name, [len(a[0]) for _, a in places])
+    digits = chunks.digits(chunks(chunks.ranks([a[1][value[i]] for i, a in places])))
+    out = list(value)
+    for (i, a), v in zip(places, digits, strict=True):
+        out[i] = a[0][v]
+    return "".join(out)
 
 
 def email(key: str, found: str) -> str | None:
-    """The local part is permuted within its letters and digits, the domain stays."""
+    """The local part is permuted within its letters and digits, the domain stays.
+
+    A local part of signs alone has nothing to permute and stays.
+    """
     local, _, domain = found.partition("@")
     new = permuted_text(key, "email@" + domain.lower(), local)
     return None if new == local else f"{new}@{domain}"
@@ -217,12 +299,7 @@ def email(key: str, found: str) -> str | None:
 def secret(key: str, found: str) -> str | None:
     """The value of an assignment to a token, key, secret or password."""
     at = re.search(r"[=:]\s*[\"']?", found).end()
-    value = found[at:]
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
-        n = 16 ** len(value)
-        new = f"{feistel(key, 'hex', n)(int(value, 16)):x}".zfill(len(value))
-        return found[:at] + (new.upper() if value.upper() == value and not value.isdigit() else new)
-    return found[:at] + permuted_text(key, "secret", value)
+    return found[:at] + permuted_text(key, "secret", found[at:])
 
 
 def bare_key(key: str, found: str) -> str | None:
@@ -240,7 +317,7 @@ KINDS: list[tuple[str, str, Callable[[str, str], str | None]]] = [
         secret,
     ),
     ("key", r"\b(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9]{20,})\b", bare_key),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}\b", iban),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?!\w)(?: [A-Z0-9]++(?!\w))*+", iban),
     ("date", r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![\w-])", date),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", address),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
@@ -251,7 +328,7 @@ KINDS: list[tuple[str, str, Callable[[str, str], str | None]]] = [
 ]
 PATTERNS = [(kind, re.compile(pattern), pseudonym) for kind, pattern, pseudonym in KINDS]
 #: Every kind holds a digit or an @; texts without either are left at once.
-HINT = re.compile(r"[0-9@]|(?i:token|secret|key|passw)")
+HINT = re.compile(r"[0-9@]|AKIA|gh[pousr]_|sk[-_]|(?i:token|secret|key|passw)")
 
 
 #: Lengths and first digits that issuers give out.
@@ -272,11 +349,32 @@ def card_runs(start: int, found: str) -> list[tuple[int, int]]:
             digits += last[0]
             if len(digits) > 19:
                 break
-            if len(digits) >= 13:
+            if len(digits) >= 13 and luhn_sum(digits) % 10 == 0:
                 spans.append((ISSUED.fullmatch(digits) is None, first.start(), -last.end()))
     return [(start + a, start - b) for _, a, b in sorted(spans)]
 
 
+def iban_runs(start: int, found: str) -> list[tuple[int, int]]:
+    """Valid spans of whole groups; other groups may stand before or after them."""
+    groups = list(re.finditer(r"[A-Z0-9]+", found))
+    spans = []
+    for i, first in enumerate(groups):
+        if not re.match(r"[A-Z]{2}[0-9]{2}", first[0]):
+            continue
+        plain = ""
+        for last in groups[i:]:
+            plain += last[0]
+            if len(plain) > 34:
+                break
+            if valid_iban(plain):
+                spans.append((first.start(), -last.end()))
+    return [(start + a, start - b) for a, b in sorted(spans)]
+
+
+#: Kinds whose matches are runs of groups that may hold more than the value.
+RUNS = {"card": card_runs, "iban": iban_runs}
+
+
 def pseudonymise(text: str, key: str = KEY) -> tuple[str, list[str]]:
     """The text with its personal data replaced, and the kinds replaced."""
     if not HINT.search(text):
@@ -285,7 +383,7 @@ def pseudonymise(text: str, key: str = KEY) -> tuple[str, list[str]]:
     covered = bytearray(len(text))
     for kind, pattern, pseudonym in PATTERNS:
         for m in pattern.finditer(text):
-            for start, end in card_runs(m.start(), m[0]) if kind == "card" else (m.span(),):
+            for start, end in RUNS[kind](m.start(), m[0]) if kind in RUNS else (m.span(),):
                 if covered.find(1, start, end) >= 0:
                     continue
                 found = text[start:end]
