@@ -8,12 +8,11 @@ fingerprints that link share a grid cell on at least one of the six pairs of
 blocks.  Cells are joined on, the Manhattan bound filters inside a cell and the
 exact Hamming distance decides.  A cell yields a spanning forest of its links,
 never all its pairs; cells that stay large are refined by the same rule inside
-the remaining blocks.
+the bits that they leave open, as often as it takes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -137,22 +136,21 @@ def first_tables() -> list[list[int]]:
     return grid_masks(list(range(BITS)))
 
 
-def finer_tables() -> list[tuple[int, list[int]]]:
-    """``(parent table, bits)`` of the tables that refine a heavy cell."""
+def finer_tables(tables: list[list[int]]) -> list[tuple[int, list[int]]]:
+    """``(parent table, bits)`` of the tables that refine heavy cells of ``tables``."""
     every = set(range(BITS))
     return [
         (k, fixed + more)
-        for k, fixed in enumerate(first_tables())
+        for k, fixed in enumerate(tables)
         for more in grid_masks(sorted(every - set(fixed)))
     ]
 
 
-def spanning_links(fps: np.ndarray, quadratic: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+def spanning_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct sorted fingerprints.
 
-    Small cells compare all their members under the Manhattan bound first; a
-    larger one looks up each member's neighbours at one and two flipped bits,
-    which is linear in its size.
+    Members are compared under the Manhattan bound in blocks of rows, so memory
+    stays bounded whatever the cell's size; what passes is verified exactly.
     """
     n = len(fps)
     parent = np.arange(n)
@@ -164,57 +162,39 @@ def spanning_links(fps: np.ndarray, quadratic: int = 1024) -> tuple[np.ndarray,
         return x
 
     a, b = [], []
-
-    def link(left: np.ndarray, right: np.ndarray) -> None:
-        for x, y in zip(left.tolist(), right.tolist(), strict=True):
-            p, q = find(x), find(y)
+    vectors = embedding(fps)
+    rows = max(1, (1 << 18) // n)
+    for lo in range(0, n, rows):
+        # Pairs are taken once, so only columns from the block's first row on count.
+        x, y = np.nonzero(np.bitwise_count(vectors[lo : lo + rows, None] ^ vectors[None, lo:]) <= MAX_DIFFERING)
+        keep = x < y
+        x, y = x[keep] + lo, y[keep] + lo
+        exact = np.bitwise_count(fps[x] ^ fps[y]) <= MAX_DIFFERING
+        for i, j in zip(x[exact].tolist(), y[exact].tolist(), strict=True):
+            p, q = find(i), find(j)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                a.append(x)
-                b.append(y)
-
-    if n <= quadratic:
-        vectors = embedding(fps)
-        rows = max(1, (1 << 18) // n)
-        for lo in range(0, n, rows):
-            x, y = np.nonzero(np.bitwise_count(vectors[lo : lo + rows, None] ^ vectors[None, :]) <= MAX_DIFFERING)
-            x += lo
-            keep = x < y
-            x, y = x[keep], y[keep]
-            exact = np.bitwise_count(fps[x] ^ fps[y]) <= MAX_DIFFERING
-            link(x[exact], y[exact])
-    else:
-        one = [1 << i for i in range(BITS)]
-        flips = one + [p | q for p, q in combinations(one, 2)]
-        for flip in flips:
-            other = fps ^ np.uint64(flip)
-            at = np.searchsorted(fps, other)
-            at[at == n] = 0
-            x = np.flatnonzero((fps[at] == other) & (fps < other))
-            if len(x):
-                link(x, at[x])
+                a.append(i)
+                b.append(j)
     return fps[a], fps[b]
 
 
 def _cells(fps: DataFrame, tables: list[tuple[int, list[int]]], inside: bool = False) -> DataFrame:
     """Rows ``(cell, t, fp)``: the fingerprint's cell in each table.
 
-    ``inside``: ``fps`` has the table ``t`` whose heavy cell is refined.
+    ``inside``: ``fps`` has the table ``t`` whose heavy cell is refined, and
+    every table of that level has as many finer ones, in order.
     """
     vector = embedding_column(F.col("fp"))
-    rows = F.array(
-        *(
-            F.struct(
-                vector.bitwiseAND(F.lit(signed(mask_of(bits)))).alias("cell"),
-                F.lit(k).alias("t"),
-                F.lit(parent).alias("parent"),
-            )
-            for k, (parent, bits) in enumerate(tables)
-        )
-    )
-    if inside:
-        rows = F.filter(rows, lambda r: r["parent"] == F.col("t"))
-    return fps.select("fp", F.explode(rows).alias("r")).select("r.cell", "r.t", "fp")
+    masks = F.array(*(F.lit(signed(mask_of(bits))) for _, bits in tables))
+    if not inside:
+        rows = fps.select("fp", vector.alias("v"), F.posexplode(masks).alias("t", "mask"))
+    else:
+        each = len(tables) // (tables[-1][0] + 1)
+        own = F.slice(masks, F.col("t") * each + 1, each)
+        rows = fps.select("fp", vector.alias("v"), F.col("t").alias("u"), F.posexplode(own).alias("k", "mask"))
+        rows = rows.withColumn("t", F.col("u") * each + F.col("k"))
+    return rows.select(F.col("v").bitwiseAND(F.col("mask")).alias("cell"), "t", "fp")
 
 
 def _links(cells: DataFrame) -> DataFrame:
@@ -252,20 +232,27 @@ def _links(cells: DataFrame) -> DataFrame:
     return arrow_map(ordered, run, "src long, dst long")
 
 
-def near_links(fps: DataFrame, max_cell: int = 4096) -> DataFrame:
+def near_links(fps: DataFrame, max_cell: int = 1024) -> DataFrame:
     """``(src, dst)`` between distinct fingerprints, enough to connect all.
 
-    ``fps`` holds distinct fingerprints.  Cells of over ``max_cell`` members
-    are not solved but refined; what a refined cell still holds is solved in
-    time linear in its size.
+    ``fps`` holds distinct fingerprints.  A cell of over ``max_cell`` members is
+    refined inside the bits it leaves open, and so are the finer cells, until
+    none is larger or all bits of the embedding but four are fixed.
     """
-    first = _cells(fps.select("fp"), [(-1, bits) for bits in first_tables()])
-    heavy = stash(first.groupBy("cell", "t").count().where(F.col("count") > max_cell).drop("count"), "sim-heavy")
-    if heavy.isEmpty():
-        return _links(first)
-    light = first.join(heavy, ["cell", "t"], "left_anti")
-    rest = first.join(heavy, ["cell", "t"], "left_semi").select("t", "fp")
-    return _links(light).unionAll(_links(_cells(rest, finer_tables(), True)))
+    tables = first_tables()
+    cells, links = _cells(fps.select("fp"), [(-1, bits) for bits in tables]), None
+    while True:
+        heavy = None
+        if len(tables[0]) < BITS - 4:
+            heavy = stash(cells.groupBy("cell", "t").count().where(F.col("count") > max_cell).drop("count"), "sim-heavy")
+        done = heavy is None or heavy.isEmpty()
+        own = _links(cells if done else cells.join(heavy, ["cell", "t"], "left_anti"))
+        links = own if links is None else links.unionAll(own)
+        if done:
+            return links
+        rest = stash(cells.join(heavy, ["cell", "t"], "left_semi").select("t", "fp"), "sim-rest")
+        finer = finer_tables(tables)
+        cells, tables = _cells(rest, finer, True), [bits for _, bits in finer]
 
 
 def near_components(prints: DataFrame) -> DataFrame:
@@ -311,8 +298,14 @@ def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 # ------------------------------------------------------------- shingle sets
-SLOTS = 1 << 20
-CHUNKS = 64
+#: Smallest shingle hashes kept per text: two texts at a Jaccard similarity of
+#: 0.8 share none of them with a probability of 0.2 ** 16.
+KEYS = 16
+#: Keys of which two texts at the similarity share at least as many, but for a chance of 1e-6 or less.
+LEAST_SHARED = 4
+#: Members of a key of which all pairs are candidates, and of a chain.
+SMALL_GROUP = 6
+CHAIN = 4096
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -320,82 +313,44 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(raw, width), dtype=np.uint64))
 
 
-def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
-    """In how many texts the shingles of each of ``SLOTS`` hash slots stand."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, dtype=np.int32)
-        for part in sliced(batches, column=0):
-            for raw in binaries(part.column(0)):
-                np.add.at(counts, (shingle_set(raw, width) % np.uint64(SLOTS)).astype(np.int64), 1)
-        if counts.any():
-            rows = [c.tobytes() for c in counts.reshape(CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(rows)], names=["chunk", "n"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(n, dtype=np.int32).astype(np.int64)
-        rows = [n.tobytes() for n in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(rows, pa.binary())], names=["chunk", "n"])
-
-    each = arrow_map(texts, count, "chunk int, n binary").repartition("chunk")
-    out = np.zeros((CHUNKS, SLOTS // CHUNKS), dtype=np.int64)
-    for r in arrow_map(each, total, "chunk int, n binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["n"], dtype=np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
-
-
-def _sketches(rows: DataFrame, counts: np.ndarray, width: int, similarity: float) -> DataFrame:
-    """``(id, mark, node, n, keys)`` of rows ``(id, mark, text)``.
+def _sketches(rows: DataFrame, width: int) -> DataFrame:
+    """``(id, mark, fp, node, n, keys)`` of rows ``(id, mark, text)``.
 
-    ``node`` hashes the shingle set, ``n`` is its size.  ``keys`` is the set's prefix in the order
-    of slot counts and hashes: two sets at the similarity share a key.
+    ``fp`` is the fingerprint, ``node`` hashes the shingle set, ``n`` is its
+    size and ``keys`` its smallest hashes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=2):
-            nodes, sizes, keys = [], [], []
+            fps, nodes, sizes, keys = [], [], [], []
             for raw in binaries(part.column(2)):
-                held = shingle_set(raw, width)
+                hashes = np.array(shingle_hashes(raw, width), dtype=np.uint64)
+                fps.append(majority(hashes, np.array([len(hashes)]))[0])
+                held = np.unique(hashes)
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), 7))
                 sizes.append(len(held))
-                order = np.lexsort((held, counts[(held % np.uint64(SLOTS)).astype(np.int64)]))
-                prefix = len(held) - math.ceil(similarity * len(held) - 1e-9) + 1 if len(held) else 0
-                keys.append(held[order[:prefix]].view(np.int64))
+                keys.append(held[:KEYS].view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             columns = [
                 part.column(0),
                 part.column(1),
+                pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int64()),
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "fp", "node", "n", "keys"])
 
-    return arrow_map(rows, run, "id long, mark long, node long, n long, keys array<long>")
+    return arrow_map(rows, run, "id long, mark long, fp long, node long, n long, keys array<long>")
 
 
-def _plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(src, dst)`` that sizes and prefixes do not rule out.
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(src, dst)`` whose sets have at least the Jaccard similarity.
 
-    Up to the lesser end of two prefixes all shared hashes are shared keys, so
-    a set's hashes beyond its prefix bound what more they can share.
+    Pairs that sizes or the kept hashes rule out are dropped before any text is
+    moved; the rest is decided on the whole sets.
     """
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    held = sketches.select("node", "n", "keys").join(ends, "node", "left_semi").dropDuplicates(["node"])
-    both = pairs.join(held.toDF("src", "m", "x"), "src").join(held.toDF("dst", "n", "y"), "dst")
-    sizes = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6
-    beyond = F.greatest(F.col("m") - F.size("x"), F.col("n") - F.size("y"))
-    most = F.size(F.array_intersect("x", "y")) + beyond
-    enough = most >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
-    return both.where(sizes).where(enough).select("src", "dst")
-
-
-def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(src, dst)`` whose sets have at least the Jaccard similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=2):
@@ -407,37 +362,81 @@ def _verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, width: int
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (0, 1)], names=["src", "dst"])
 
-    pairs = stash(_plausible(pairs, sketches, similarity), "near-pairs")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    marks = sketches.join(ends, "node", "left_semi").groupBy("node").agg(F.min("mark").alias("mark"))
-    texts = rows.join(marks, "mark").select("node", "text").dropDuplicates(["node"])
-    left, right = texts.toDF("src", "x"), texts.toDF("dst", "y")
-    return arrow_map(pairs.join(left, "src").join(right, "dst").select("src", "dst", "x", "y"), run, "src long, dst long")
-
-
-def jaccard_links(rows: DataFrame, sketches: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(src, dst)`` between nodes, enough to connect all at the similarity.
-
-    Nodes that share a key are candidates.  First a key's neighbours in order
-    are verified, which joins large groups at a cost linear in their size; then
-    all candidates that are still in different components.
+    held = nodes.select("node", "n", "keys", "mark")
+    both = pairs.join(held.toDF("src", "m", "x", "ma"), "src").join(held.toDF("dst", "n", "y", "mb"), "dst")
+    sizes = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6
+    shared = F.size(F.array_intersect("x", "y"))
+    few = F.least("m", "n") <= KEYS  # the kept hashes are a whole set
+    both = both.where(sizes).where(few | (shared >= LEAST_SHARED)).select("src", "dst", "ma", "mb")
+    both = stash(both, "near-pairs")
+    marks = both.select(F.explode(F.array("ma", "mb")).alias("mark")).distinct()
+    texts = rows.select("mark", "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+    left, right = texts.toDF("ma", "x"), texts.toDF("mb", "y")
+    joined = both.join(left, "ma").join(right, "mb").select("src", "dst", "x", "y")
+    return arrow_map(joined, run, "src long, dst long")
+
+
+def _print_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates by SimHash: nodes of one fingerprint in a chain, and of linked fingerprints."""
+    chain = F.lead("node").over(Window.partitionBy("fp", F.pmod(F.xxhash64("node"), F.col("parts"))).orderBy("node"))
+    sizes = nodes.groupBy("fp").agg(F.min("node").alias("rep"), F.ceil(F.count("*") / CHAIN).alias("parts"))
+    sizes = stash(sizes, "near-prints")
+    held = nodes.select("node", "fp").join(sizes, "fp")
+    same = held.select(F.col("node").alias("src"), chain.alias("dst")).where("dst is not null")
+    to_rep = held.where("parts > 1 and node <> rep").select(F.col("rep").alias("src"), F.col("node").alias("dst"))
+    links = near_links(sizes.select("fp"))
+    rep = sizes.select("fp", "rep")
+    across = links.join(rep.toDF("src", "a"), "src").join(rep.toDF("dst", "b"), "dst")
+    return same.unionAll(to_rep).unionAll(across.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def _key_pairs(keyed: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
+    """Candidates among nodes that share a key and lie in different parts, each once.
+
+    ``keyed`` is ``(key, node, size)`` with the key's number of nodes.  All
+    pairs of a small group; of a larger one each node with the next in a
+    pseudo-random order, and from the second turn on also with the group's hub,
+    the node with most links so far.  Rows stay in proportion to ``keyed``.
     """
-    keyed = sketches.select("node", F.explode("keys").alias("key"))
-    shared = Window.partitionBy("key").orderBy("node")
-    after, before = F.lead("node").over(shared), F.lag("node").over(shared)
-    held = keyed.withColumns({"next": after, "prior": before}).where("next <> node or prior <> node")
-    held = stash(held.select("key", "node", F.when(F.col("next") != F.col("node"), F.col("next")).alias("next")), "near-keys")
-    chain = held.where("next is not null").select(F.col("node").alias("src"), F.col("next").alias("dst")).distinct()
-    chain = stash(chain, "near-chain")
-    links = stash(_verified(chain, rows, sketches, width, similarity), "near-links")
-    parts = connected_components(links).toDF("node", "part")
-    member = held.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed = member.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n"))
-    open_ = stash(member.join(mixed.where("low <> high and n > 2").select("key"), "key", "left_semi"), "near-open")
-    a, b = open_.toDF("key", "src", "p"), open_.toDF("key", "dst", "q")
-    rest = a.join(b, "key").where("src < dst and p <> q").select("src", "dst").distinct()
-    rest = stash(rest.join(chain, ["src", "dst"], "left_anti"), "near-rest")
-    return links.unionAll(_verified(rest, rows, sketches, width, similarity))
+    whole = keyed.join(parts, "node", "left").withColumns({"part": F.coalesce("part", "node"), "links": F.coalesce("links", F.lit(0))})
+    mixed = whole.groupBy("key").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("links", F.xxhash64("key", "node").alias("h"), "node")).alias("hub")
+    )
+    mixed = mixed.where("low <> high").select("key", F.col("hub.node").alias("hub"))
+    rows = stash(whole.join(mixed, "key"), f"near-open-{turn}")
+    group = [F.col("key"), F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("size") / CHAIN))]
+    order = Window.partitionBy(*group).orderBy(F.xxhash64("key", "node", F.lit(-turn)), "node")
+    here = F.struct("node", "part")
+    ahead = {f"o{k}": F.lead(here, k).over(order) for k in range(1, SMALL_GROUP)}
+    some = F.when(F.col("size") <= SMALL_GROUP, F.array(*ahead)).otherwise(F.array("o1"))
+    pairs = rows.withColumns(ahead).select("node", "part", F.explode(some).alias("o"))
+    pairs = pairs.where("o is not null and o.part <> part").select("node", F.col("o.node").alias("other"))
+    if turn > 1:
+        pairs = pairs.unionAll(rows.where(f"size > {SMALL_GROUP} and node <> hub").select("node", F.col("hub").alias("other")))
+    return pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
+
+
+def similar_links(nodes: DataFrame, rows: DataFrame, width: int, similarity: float, turns: int = 3) -> DataFrame:
+    """``(src, dst)`` between nodes that are similar, by SimHash and beyond its radius.
+
+    First the SimHash links, each verified on the whole sets.  Texts at the
+    similarity often lie further apart than the radius, so nodes that share one
+    of their smallest shingle hashes are compared too, while their parts still
+    differ: for ``turns`` turns, or until one finds no link.
+    """
+    links = stash(_verified(_print_pairs(nodes).distinct(), nodes, rows, width, similarity), "near-links")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keyed = stash(keyed.join(sizes, "key"), "near-keys")
+    for turn in range(1, turns + 1):
+        parts = connected_components(links).toDF("node", "part")
+        degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        pairs = _key_pairs(keyed, parts.join(degree, "node"), turn)
+        found = stash(_verified(pairs, nodes, rows, width, similarity), f"near-links-{turn}")
+        if found.isEmpty():
+            break
+        links = links.unionAll(found)
+    return links
 
 
 def keep_one_per_similar(
@@ -445,18 +444,23 @@ def keep_one_per_similar(
 ) -> DataFrame:
     """The rows of ``df`` that stay: of each class the one with the smallest id.
 
-    Classes are connected over pairs of texts whose sets of ``width``-word
-    shingles have at least the Jaccard ``similarity``; no such pair is missed.
-    Texts without words are one class.  Repeated rows of the id that stays are
-    kept, and rows with a null id always stay, as nothing names them; an id on
-    different texts loses only the rows whose class another id represents.
+    Classes are connected over pairs of texts that :func:`similar_links` finds;
+    each has at least the Jaccard ``similarity`` on sets of ``width``-word
+    shingles.  Texts without words are one class.  Repeated rows of the id that
+    stays are kept, and rows with a null id always stay, as nothing names them;
+    an id on different texts loses only the rows whose class another id
+    represents.  An empty table gives an empty result; columns are carried
+    along whatever their names.
     """
-    own = F.col(id_col).cast("long")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = F.col(f"`{id_col}`").cast("long")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(own.alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    counts = slot_counts(rows.select("text"), width)
-    sketches = stash(_sketches(rows, counts, width, similarity), "near-sketches")
-    parts = connected_components(jaccard_links(rows, sketches, width, similarity)).toDF("node", "part")
+    sketches = stash(_sketches(rows, width), "near-sketches")
+    nodes = sketches.groupBy("node").agg(
+        F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("mark").alias("mark"), F.first("keys").alias("keys")
+    )
+    nodes = stash(nodes, "near-nodes")
+    parts = connected_components(similar_links(nodes, rows, width, similarity)).toDF("node", "part")
     classes = sketches.select("id", "mark", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     keep = classes.groupBy("part").agg(F.min("id").alias("keep"))
     gone = classes.join(keep, "part").where("id <> keep")
