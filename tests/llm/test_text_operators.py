@@ -285,8 +285,53 @@ def test_crossover_keeps_all_pieces():
         child = packing.crossover(sizes, host, donor, 2048, rng)
         assert len(child) == 400 and np.bincount(child, weights=sizes).max() <= 2048
         assert set(child) == set(range(child.max() + 1))
-    best = packing.evolve(sizes, 1, 2048, 4, 6, [donor])
-    assert best.max() <= donor.max()
+    best, _ = packing.evolve(sizes, 1, 2048, 4, 6, [donor])
+    assert best.max() <= min(host.max(), donor.max())
+
+
+def test_generations_save_bins():
+    """Where best fit misses the bound, crossover betters it; on islands from random orders alone."""
+    sizes = np.random.default_rng(5).integers(500, 900, 1500)
+    greedy = packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), 2048).max() + 1
+    random_fit = packing.best_fit(sizes, np.random.default_rng(1).permutation(1500), 2048).max() + 1
+    best, turns = packing.evolve(sizes, 1, 2048, packing.POPULATION, packing.GENERATIONS, [])
+    assert turns == packing.GENERATIONS and best.max() + 1 < min(greedy, random_fit)
+
+
+def test_repeated_rows_spread_over_shards(spark):
+    rows = [(7, 0, 0, 700, 1)] * 3000 + [(None, 0, 0, 1, 2)] * 600
+    df = spark.createDataFrame(rows, packing.PIECES).repartition(3).withColumn("slot", F.monotonically_increasing_id())
+    sizes = [len(r["items"]) for r in packing._dealt(df, 36).collect()]
+    assert len(sizes) == 36 and sum(sizes) == 3600 and max(sizes) <= 103
+    got = packing.pack(df.drop("slot"), shard_pieces=100, generations=2).toPandas()
+    assert len(got) == 3600 and got.groupby("sequence_id").length.sum().max() <= 2048
+    assert got.sequence_id.nunique() <= 1503
+
+
+def test_packing_against_all_packings(spark):
+    """On a few pieces: as few sequences as any packing has."""
+    rnd = random.Random(8)
+    for turn in range(4):
+        sizes = [rnd.randrange(300, 1400) for _ in range(8)]
+
+        def fewest(left, rooms, best):
+            if len(rooms) >= best:
+                return best
+            if not left:
+                return len(rooms)
+            for k in {r: i for i, r in enumerate(rooms) if r >= left[0]}.values():
+                best = fewest(left[1:], rooms[:k] + [rooms[k] - left[0]] + rooms[k + 1 :], best)
+            return fewest(left[1:], [*rooms, 2048 - left[0]], best)
+
+        df = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(sizes)], packing.PIECES)
+        assert packing.pack(df).select("sequence_id").distinct().count() == fewest(sorted(sizes, reverse=True), [], 9)
+
+
+def test_long_runs_of_one_character(bpe):
+    encoder = tokens.byte_bpe()
+    for text in (" " * 1_000_000, "\n" * 1_000_000 + "a", "a" * 1_000_000):
+        want = np.array(bpe.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode(text) == want
 
 
 CHARS = st.sampled_from(list("abehtT019 \n\t'.,!é日ﬁ\0▁") + ["  ", "'s", "the", " ing", "<|endoftext|>", "</s>", "🎉", "\xa0"])

@@ -2,13 +2,14 @@
 
 Where the file's merges make ids in order (a merge's rank is its id), tiktoken
 gives the same ids from the same vocabulary in a fraction of the time; any
-other file is left to the tokenizers library itself.
+other file is left to the tokenizers library itself, and so is a text that
+tiktoken gives up on (very long runs of white space).
 """
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -55,16 +56,23 @@ class ByteBpe:
     """Encodes as ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str) -> None:
-        self.ranked = by_rank(path)
-        # Only what can't be ranked needs the other library's tables as well.
-        self.tokenizer = None if self.ranked else Tokenizer.from_file(path)
+        self.path, self.ranked = path, by_rank(path)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own encoder; only made where it is needed."""
+        return Tokenizer.from_file(self.path)
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit words."""
-        if self.ranked is None:
+        ids = None
+        if self.ranked is not None:
+            try:
+                ids = self.ranked.encode(text, allowed_special="all", disallowed_special=())
+            except ValueError:  # its pattern's backtracking has a limit
+                ids = None
+        if ids is None:
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.ranked.encode(text, allowed_special="all", disallowed_special=())
         return np.array(ids, dtype=WORD).tobytes()
 
 
