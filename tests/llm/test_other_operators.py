@@ -295,6 +295,16 @@ def test_filter_urls(spark):
     assert urls.filter_urls(df.where("false"), table).count() == 0
 
 
+def test_long_hosts_end(spark):
+    deep = "a." * 20_000
+    rows = [(0, f"http://{deep}example.net/en/x"), (1, f"http://{deep}com/"), (2, "http://" + "." * 50_000), (3, "http://net" + "/x" * 50_000)]
+    table = spark.createDataFrame([*urls.RULES, ("block", "a.a.a.com", "")], "action string, host string, path string")
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), table).collect()}
+    assert got == {0: ("example.net/en/", "allow"), 1: ("a.a.a.com", "block"), 2: (None, "allow"), 3: ("net/", "block")}
+    assert time.perf_counter() - began < 30
+
+
 # ---------------------------------------------------------------------- quality
 def test_co_training_learns_from_the_other_view():
     rng = np.random.default_rng(0)

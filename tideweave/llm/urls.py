@@ -1,8 +1,9 @@
 """URL filters by host-suffix and path-prefix expressions, in SQL functions only.
 
 Every distinct (host, path) is expanded into ``suffix + prefix`` expressions;
-the prefixes have the lengths that the rules' paths have.  Expressions are
-joined with the rules on a 32-bit prefix of a digest, the full SHA-256 digests
+the suffixes have as many labels as the rules' hosts have and the prefixes the
+lengths of the rules' paths, so a url has at most as many expressions as there
+are such pairs, however long it is.  Expressions are joined with the rules on a 32-bit prefix of a digest, the full SHA-256 digests
 then confirm the match, and the longest rule wins.
 """
 
@@ -43,13 +44,20 @@ def _digests(df: DataFrame, suffix: Column, prefix: Column) -> DataFrame:
     return df.withColumns({"digest": digest, "short": F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")})
 
 
+def _labels(host: Column) -> Column:
+    """How many labels a host has."""
+    return F.length(host) - F.length(F.translate(host, ".", "")) + 1
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """The winning rule of each distinct ``(host, path)`` that any rule fits.
 
     A rule fits its host and all subdomains of it if the path starts with the
     rule's path, compared as characters.  The longest rule (host and path
     together) wins, then the longer host, then ``block``.  Rules with a null
-    part are ignored; repeated rules count once.
+    part are ignored; repeated rules count once.  The forms that reach the
+    driver are at most the labels of the deepest host times the lengths of the
+    rules' paths, not a row per rule.
     """
     clean = rules.dropna(subset=["action", "host", "path"]).dropDuplicates(["action", "host", "path"])
     rule = _digests(clean.select("action", "host", "path"), F.col("host"), F.col("path")).select(
@@ -63,19 +71,15 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
             "action",
         ).alias("hit"),
     )
-    # Distinct lengths of rule paths: at most the longest path's length of them.
-    sizes = clean.agg(F.array_sort(F.collect_set(F.length("path")))).first()[0]
-    lengths = F.array(*(F.lit(n) for n in sizes)).cast("array<int>")
+    # Distinct pairs (labels of the host, length of the path): what a rule may look like.
+    forms = clean.select(_labels(F.col("host")).alias("labels"), F.length("path").alias("n")).distinct().collect()
     pairs = urls.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    usable = F.filter(lengths, lambda n: n <= F.length("path"))
-    wide = pairs.select("host", "path", F.explode(suffixes).alias("suffix"), usable.alias("usable"))
-    wide = wide.select("host", "path", "suffix", F.explode("usable").alias("n"))
-    wide = _digests(wide, F.col("suffix"), F.expr("left(path, n)")).select("host", "path", "short", "digest")
+    shapes = F.array(*(F.struct(F.lit(r["labels"]).alias("labels"), F.lit(r["n"]).alias("n")) for r in sorted(forms)))
+    shapes = shapes if forms else F.array().cast("array<struct<labels:int,n:int>>")
+    fits = F.filter(shapes, lambda r: (r["labels"] <= F.col("has")) & (r["n"] <= F.length("path")))
+    wide = pairs.withColumn("has", _labels(F.col("host"))).select("host", "path", F.explode(fits).alias("r"))
+    suffix = F.expr("substring_index(host, '.', -r.labels)")
+    wide = _digests(wide, suffix, F.expr("left(path, r.n)")).select("host", "path", "short", "digest")
     met = wide.join(rule, "short").where("digest = rule_digest")
     return met.groupBy("host", "path").agg(F.max("hit").alias("hit")).select("host", "path", "hit.rule", "hit.action")
 
