@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from tideweave.operators import bipartite, components, metrics, partitioning, se
 from tideweave.operators import triangles as tri
 from tideweave.operators.snapshots import Snapshot
 from tideweave.operators.state import GraphState, inserted_in_batches
-from tideweave.plans.lineage import shared_dir
+from tideweave.plans.lineage import made_path
 from tideweave.sources import edges as sources
 from tideweave.sources import files
 from tideweave.streaming.runs import run_to_table
@@ -546,7 +545,7 @@ def partition_balanced(spark, sf_dir):
 
 # ------------------------------------------------------------- files, adjacency
 def _adjacency_file(spark: SparkSession, sf_dir: str, make_undirected: bool = False) -> str:
-    path = f"{shared_dir(spark)}/adjacency-{uuid.uuid4().hex}"
+    path = made_path(spark, "adjacency")
     files.write_adjacency(files.adjacency_rows(_edges(spark, sf_dir), make_undirected), path)
     return path
 
@@ -565,7 +564,7 @@ def explode_adjacency(spark, sf_dir):
 
 @query(f"""with {E}, {BOTH} select a as src, string_agg(b, ',' order by b) as nbrs from b group by a""")
 def el_to_al(spark, sf_dir):
-    root = f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}"
+    root = made_path(spark, "edges")
     files.write_edges(_edges(spark, sf_dir), f"{root}/el", " ")
     files.el_to_al(spark, f"{root}/el", f"{root}/al", make_undirected=True)
     return sources.adjacency_list(spark, f"{root}/al").select("src", as_text(F.col("nbrs")).alias("nbrs"))

@@ -44,12 +44,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         live = nxt
     if not maps:
         return live.select(F.col("a").alias("vertex"), F.col("b").alias("component"))
-    roots = maps.pop().toDF("vertex", "root")
-    while maps:
+    roots = maps[-1].toDF("vertex", "root")
+    for hop in reversed(maps[:-1]):
         deeper = roots.toDF("up", "root")
-        roots = (
-            maps.pop().join(deeper, "up", "left").select("vertex", F.coalesce("root", "up").alias("root"))
-        )
+        roots = hop.join(deeper, "up", "left").select("vertex", F.coalesce("root", "up").alias("root"))
     roots = stash(roots, "cc-roots")
+    for table in (live, *maps):
+        drop_stash(table)
     smallest = roots.groupBy("root").agg(F.min("vertex").alias("component"))
     return roots.join(smallest, "root").select("vertex", "component")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tideweave.operators.components import connected_components
-from tideweave.plans.lineage import drop_stash, shared_dir, stash
+from tideweave.plans.lineage import drop_stash, made_path, stash
 
 
 class StreamingComponents:
@@ -32,7 +30,7 @@ class StreamingComponents:
 
     def run(self, edges: DataFrame) -> DataFrame:
         """All available edges of the stream; ``(vertex, component)``."""
-        checkpoint = f"{shared_dir(self.spark)}/cc-{uuid.uuid4().hex}"
+        checkpoint = made_path(self.spark, "cc")
         query = edges.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         query.trigger(availableNow=True).start().awaitTermination()
         return self.labels

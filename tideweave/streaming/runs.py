@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from tideweave.plans.lineage import shared_dir
+from tideweave.plans.lineage import made_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -18,7 +16,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
     with the column ``batch_id``.
     """
     spark = stream.sparkSession
-    root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    root = made_path(spark, name)
     out, checkpoint = f"{root}/out", f"{root}/checkpoint"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
