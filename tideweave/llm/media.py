@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tideweave.llm.batches import arrow_map, binaries, sliced
-from tideweave.plans.lineage import shared_dir
+from tideweave.plans.lineage import made_path
 
 BLOCK = 512
 #: Samples of an image row; a payload is a positive multiple of it.
@@ -34,7 +34,9 @@ ROW = 576
 PNG = b"\x89PNG\r\n\x1a\n"
 ROW_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
+#: Bytes of a range at least; they grow so that a read has so many ranges at most.
 RANGE_BYTES = 16 << 20
+MAX_RANGES = 100_000
 RETRIES = 3
 MEMBERS = "archive string, offset long, name string, media binary, error string"
 FEATURES = (
@@ -194,7 +196,8 @@ class ArchiveReader(DataSourceReader):
     """Options: ``path``, ``mark``, ``rangeBytes``, ``retries``, ``mode``.
 
     ``mode`` is ``FAILFAST`` (a member that stays unreadable fails the task) or
-    ``PERMISSIVE`` (it yields a row with ``error`` set and no media).
+    ``PERMISSIVE`` (it yields a row with ``error`` set and no media).  A header
+    that stays unreadable is treated alike; reading goes on at the next header.
     """
 
     #: Where tests put faults: called with path, offset and attempt.
@@ -202,19 +205,23 @@ class ArchiveReader(DataSourceReader):
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path, self.mark = options["path"], options["mark"]
-        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", 0)))
         self.retries = int(options.get("retries", RETRIES))
         self.permissive = options.get("mode", "FAILFAST").upper() == "PERMISSIVE"
 
     def partitions(self) -> list[InputPartition]:
         """Byte ranges of the folder's files; file names and sizes are all that is read."""
         store, root = open_store(self.path)
-        files = store.get_file_info(fs.FileSelector(root, recursive=True))
+        files = [
+            f
+            for f in store.get_file_info(fs.FileSelector(root, recursive=True))
+            if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))
+        ]
+        step = self.range_bytes or max(RANGE_BYTES, -(-sum(f.size for f in files) // MAX_RANGES))
         out: list[InputPartition] = []
         for f in sorted(files, key=lambda f: f.path):
-            if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", ".")):
-                for start in range(0, f.size, self.range_bytes):
-                    out.append(ByteRange(f.path, start, min(f.size, start + self.range_bytes), f.size))
+            for start in range(0, f.size, step):
+                out.append(ByteRange(f.path, start, min(f.size, start + step), f.size))
         return out or [ByteRange("", 0, 0, 0)]
 
     def member(self, store: fs.FileSystem, path: str, offset: int, size: int) -> tuple[bytes | None, str | None]:
@@ -238,30 +245,59 @@ class ArchiveReader(DataSourceReader):
             raise RuntimeError(f"{path} at {offset}: {said}")
         return None, said
 
-    def headers(self, f, part: ByteRange) -> Iterator[tuple[int, str, int]]:
-        """``(offset, name, size)`` of the members whose header starts in the range."""
+    def headers(self, store: fs.FileSystem, part: ByteRange) -> Iterator[tuple[int, str, int | None]]:
+        """``(offset, name, size)`` of the members whose header starts in the range.
+
+        Where a block that should be a header is not one, the size is None.
+        """
         at, synced = -(-part.start // BLOCK) * BLOCK, False
-        while at < part.end:
-            if synced or at == 0:
-                got = parse_header(f.read_at(BLOCK, at), self.mark)
-                if got is None:
-                    return  # the end of the archive
-            else:
-                window = f.read_at(min(1 << 20, part.end - at + BLOCK), at)
-                got = None
-                for k in range(0, len(window) - BLOCK + 1, BLOCK):
-                    if window[k + 257 : k + 262] == b"ustar" and (got := parse_header(window[k : k + BLOCK], self.mark)):
-                        at += k
-                        break
-                if got is None:
-                    at += max(BLOCK, len(window) // BLOCK * BLOCK)
-                    continue
-                if at >= part.end:
-                    return
-            synced = True
-            name, size = got
-            yield at, name, size
-            at += BLOCK + -(-size // BLOCK) * BLOCK
+        with store.open_input_file(part.path) as f:
+            while at < part.end:
+                if synced or at == 0:
+                    got = self._header(store, f, part.path, at)
+                    if got is None:
+                        return  # the end of the archive
+                    if got[1] is None:
+                        yield at, *got
+                        at, synced = at + BLOCK, False
+                        continue
+                else:
+                    window = f.read_at(min(1 << 20, part.end - at + BLOCK), at)
+                    got = None
+                    for k in range(0, len(window) - BLOCK + 1, BLOCK):
+                        if window[k + 257 : k + 262] == b"ustar" and (got := parse_header(window[k : k + BLOCK], self.mark)):
+                            at += k
+                            break
+                    if got is None:
+                        at += max(BLOCK, len(window) // BLOCK * BLOCK)
+                        continue
+                    if at >= part.end:
+                        return
+                synced = True
+                name, size = got
+                yield at, name, size
+                at += BLOCK + -(-size // BLOCK) * BLOCK
+
+    def _header(self, store: fs.FileSystem, f, path: str, at: int) -> tuple[str, int | None] | None:
+        """The header at an offset, read again where it does not parse; None at the end."""
+        for attempt in range(self.retries + 1):
+            try:
+                if attempt == 0:
+                    block = f.read_at(BLOCK, at)
+                else:
+                    with store.open_input_file(path) as again:
+                        block = again.read_at(BLOCK, at)
+                if not block.strip(b"\0"):
+                    return None
+                got = parse_header(block, self.mark)
+                if got is not None:
+                    return got
+            except OSError:
+                pass
+            time.sleep(min(1.0, 0.05 * 2**attempt))
+        if not self.permissive:
+            raise RuntimeError(f"{path} at {at}: no header of a member")
+        return "", None
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.size:
@@ -276,14 +312,16 @@ class ArchiveReader(DataSourceReader):
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
             )
 
-        with store.open_input_file(partition.path) as f:
-            for offset, name, size in self.headers(f, partition):
-                media, error = self.member(store, partition.path, offset, size)
-                rows.append((partition.path, offset, name, media, error))
-                held += size
-                if held >= BATCH_BYTES:
-                    yield batch()
-                    rows, held = [], 0
+        for offset, name, size in self.headers(store, partition):
+            if size is None:
+                rows.append((partition.path, offset, None, None, "no header of a member"))
+                continue
+            media, error = self.member(store, partition.path, offset, size)
+            rows.append((partition.path, offset, name, media, error))
+            held += size
+            if held >= BATCH_BYTES:
+                yield batch()
+                rows, held = [], 0
         if rows:
             yield batch()
 
@@ -342,7 +380,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are not read.  The archives lie in the folder that all executors share.
     """
     spark, mark = df.sparkSession, uuid.uuid4().hex[:31]
-    path = f"{shared_dir(spark)}/media-{mark}"
+    path = made_path(spark, "media")
     write_archives(df, path, mark, id_col, text_col)
     out = media_features(read_archives(spark, path, mark, **options))
     one = F.when(F.col("name") != "null", F.col("name").cast("long")).alias(id_col)

@@ -401,15 +401,17 @@ def pseudonymise(text: str, key: str = KEY) -> tuple[str, list[str]]:
     return "".join([*out, text[at:]]), [kind for _, _, kind, _ in taken]
 
 
-def pseudonymise_texts(df: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise_texts(df: DataFrame, text_col: str = "text", key: str = KEY, prefix: str = "") -> DataFrame:
     """``df`` with its texts pseudonymised, ``n_pii`` and ``pii_kinds`` added.
 
+    ``prefix`` stands before these two names.
     Whole texts; a null text stays null.  ``pii_kinds`` lists the kinds
     replaced, distinct, sorted and comma-joined (empty if none).  Columns of
     ``df`` that are named like the added ones are replaced; repeated rows each
     get a row; an empty table gives an empty result.
     """
-    own = [f for f in df.schema.fields if f.name.lower() not in ("n_pii", "pii_kinds")]
+    added = [f"{prefix}n_pii", f"{prefix}pii_kinds"]
+    own = [f for f in df.schema.fields if f.name.lower() not in added]
     at = [f.name for f in own].index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
 
@@ -424,9 +426,9 @@ def pseudonymise_texts(df: DataFrame, text_col: str = "text", key: str = KEY) ->
             columns = [new if i == at else c for i, c in enumerate(part.columns)]
             columns.append(pa.array([len(k) for k in kinds], pa.int64()))
             columns.append(pa.array([",".join(sorted(set(k))) for k in kinds], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "n_pii", "pii_kinds"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *added])
 
-    return arrow_map(df.select(*(F.col(f"`{f.name}`") for f in own)), run, schema + ", n_pii long, pii_kinds string")
+    return arrow_map(df.select(*(F.col(f"`{f.name}`") for f in own)), run, f"{schema}, `{added[0]}` long, `{added[1]}` string")
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,13 +250,17 @@ def fit_quality(
 
 
 def score_quality(
-    docs: DataFrame, model: CoTrained, keep: list[str], threshold: float = THRESHOLD
+    docs: DataFrame, model: CoTrained, keep: list[str], threshold: float = THRESHOLD, prefix: str = ""
 ) -> DataFrame:
-    """``keep`` with ``p_content``, ``p_metadata``, ``score`` and ``accepted``."""
+    """``keep`` with ``p_content``, ``p_metadata``, ``score`` and ``accepted``.
+
+    ``prefix`` stands before these four names, for tables that have columns
+    named like them.
+    """
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in keep)
     n = len(keep)
-    names = ["p_content", "p_metadata", "score", "accepted"]
+    names = [prefix + c for c in ("p_content", "p_metadata", "score", "accepted")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=n):
@@ -266,8 +270,8 @@ def score_quality(
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
     picked = docs.select(*(F.col(f"`{c}`") for c in keep), *_inputs(docs))
-    return arrow_map(picked, run, schema + ", p_content double, p_metadata double, score double, accepted boolean"
-    )
+    added = ", ".join(f"`{c}` {kind}" for c, kind in zip(names, ("double", "double", "double", "boolean"), strict=True))
+    return arrow_map(picked, run, f"{schema}, {added}")
 
 
 def quality_scores(
