@@ -431,6 +431,53 @@ def test_containment_join_is_exact(spark):
         assert got[i].labels == ",".join(sorted(labels)) and got[i].score == pytest.approx(best)
 
 
+def longest_common(a, b):
+    rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+    return rows[-1][-1]
+
+
+def test_windows_equal_brute_force(spark):
+    """Every line and every run of words as long as a template, one by one."""
+    rnd = random.Random(13)
+    vocab = [f"w{k}" for k in range(25)]
+    templates = [(f"t{k}", " ".join(rnd.choice(vocab) for _ in range(rnd.randrange(4, 12)))) for k in range(10)]
+    texts = []
+    for _ in range(80):
+        words = []
+        for _ in range(3):
+            base = rnd.choice(templates)[1].split()
+            words += [w for w in base if rnd.random() < 0.9] + [rnd.choice(vocab + ["x"]) for _ in range(rnd.randrange(6))]
+        texts.append("".join(w + rnd.choice([" ", " ", " ", "\n * "]) for w in words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_scan(df, templates=templates, phrases={"no such": "x"}).collect()}
+    for i, text in enumerate(texts):
+        words, best, labels = text.replace("*", " ").split(), 0.0, set()
+        lines = [line.split() for line in text.replace("*", " ").split("\n")]
+        for label, template in templates:
+            order = template.split()
+            t, n = set(order), len(order)
+            shares = [len(t & set(line)) / len(t) for line in lines]
+            for k in range(len(words)):
+                run = words[k : k + n]
+                if longest_common(run, order) >= 0.8 * n - 1e-9:
+                    shares.append(len(t & set(run)) / len(t))
+            if max(shares) >= 0.8 - 1e-9:
+                labels.add(label)
+                best = max(best, max(shares))
+        assert got[i].labels == ",".join(sorted(labels)) and got[i].score == pytest.approx(best)
+    assert len({got[i].labels for i in got}) > 5
+
+
+def test_templates_are_told_apart():
+    """No template meets one of another label."""
+    index = licenses.Templates(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    for label, text in licenses.TEMPLATES:
+        assert {found for found, _ in index.meets({w.encode() for w in text.split()})} == {label}
+
+
 def test_wrapped_notices(spark):
     rows = []
     for k, (_, text) in enumerate(licenses.TEMPLATES):
