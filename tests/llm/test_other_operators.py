@@ -317,16 +317,52 @@ def test_long_hosts_end(spark):
 def test_co_training_learns_from_the_other_view():
     rng = np.random.default_rng(0)
     y = (rng.random(400) < 0.7).astype(float)
-    pool = (rng.random(300) < 0.7).astype(float)
-    view = lambda t: np.c_[3 * t + rng.normal(0, 0.7, len(t)), rng.normal(0, 1, len(t))]
-    model = quality.co_train(view(y), view(y), y, view(pool), view(pool))
+    pool = (rng.random(600) < 0.7).astype(float)
+
+    def rows(t):
+        content = np.c_[3 * t + rng.normal(0, 0.7, len(t)), rng.normal(0, 1, (len(t), quality.N_CONTENT - 1)) * 0.01]
+        sources = np.where(rng.random(len(t)) < 0.95, t, 1 - t) * 5 + rng.integers(0, 5, len(t))
+        return np.c_[content, np.zeros(len(t)), sources, 8 + 4 * t + rng.normal(0, 1, len(t))]
+
+    x, more = rows(y), rows(pool)
+    choose = lambda models, quota, taken: quality.surest(models, np.arange(600), more, quota, taken)
+    model = quality.co_train(x, y, choose)
     test = (rng.random(500) < 0.7).astype(float)
-    a, b, both = model.score(view(test), view(test))
+    t = rows(test)
+    a, b, both = model.score(t[:, : quality.N_CONTENT], quality.metadata_features(t[:, quality.N_CONTENT :]))
     right = lambda p: ((p > 0.5) == (test == 1)).mean()
     assert model.exchanged > 50 and right(both) > 0.97 and right(both) >= max(right(a), right(b)) - 0.01
     assert abs(both.mean() - test.mean()) < 0.05
-    alone = quality.co_train(view(y), view(y), np.ones(400), view(pool), view(pool))
-    assert alone.content is None and alone.score(view(y), view(y))[2].min() == 1.0
+    alone = quality.co_train(x, np.ones(400), choose)
+    assert alone.content is None and alone.score(t[:, : quality.N_CONTENT], t)[2].min() == 1.0
+
+
+@tables_only
+def test_quality_equals_brute_force(spark):
+    """The pool searched in one array, features taken one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs.collect()
+    y_of = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    x = np.array(
+        [[*quality.content_features((r.text or "").encode()), *quality.metadata_codes(r.lang, r.source, r.n_chars)] for r in rows]
+    )
+    half = x.astype(np.float16)
+    keys = np.array([quality.xxhash.xxh64_intdigest(r.tobytes(), 3) >> 1 for r in half])
+    known = sorted((r.doc_id, i) for i, r in enumerate(rows) if r.doc_id in y_of)
+    at = [i for _, i in known]
+    free = [i for i, r in enumerate(rows) if r.doc_id not in y_of]
+    half = half.astype(np.float64)
+    model = quality.co_train(
+        half[at],
+        np.array([float(y_of[rows[i].doc_id]) for i in at]),
+        lambda models, quota, taken: quality.surest(models, keys[free], half[free], quota, taken),
+    )
+    want = model.score(x[:, : quality.N_CONTENT], quality.metadata_features(x[:, quality.N_CONTENT :]))[2]
+    got = {r.doc_id: r for r in quality.op10_quality_cotraining(spark, SF).collect()}
+    assert model.exchanged > 0 and len(got) == len(rows)
+    for r, p in zip(rows, want, strict=True):
+        assert got[r.doc_id].score == pytest.approx(p, abs=1e-6) and got[r.doc_id].accepted == (got[r.doc_id].score >= 0.5)
 
 
 @tables_only

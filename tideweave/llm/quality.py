@@ -1,31 +1,34 @@
 """Quality classifier by co-training of two views.
 
 One classifier sees the text's content (how kinds of characters follow each
-other, its words), the other the document's metadata (language, source, length,
-layout).  Over some rounds each labels the unlabelled documents it is surest of
-for the other.  Both are calibrated on labelled documents that neither was
-fitted on, and their log-odds are added to score every document.
-
-The classifiers are fitted on bounded samples: at most ``max_labelled`` labelled
-and ``max_pool`` unlabelled documents, those with the smallest hashed ids.
-Scoring covers every document and whole texts.
+other, its words), the other nothing but the document's metadata (language,
+source, stated length).  Over some rounds each scores all unlabelled documents
+and labels those it is surest of for the other.  Both are calibrated on
+labelled documents that neither was fitted on, and their log-odds are added to
+score every document.
+
+The labelled documents that are fitted on are at most ``max_labelled``, those
+with the smallest hashed ids.  All else covers every document and whole texts:
+features are taken once and kept in the shared folder, and a round passes over
+all of them.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.llm.batches import arrow_map, binaries, sliced
+from tideweave.plans.lineage import stash
 
 MAX_LABELLED = 6000
-MAX_POOL = 4000
 ROUNDS = 4
 PER_ROUND = 200
 THRESHOLD = 0.5
@@ -37,8 +40,13 @@ KINDS = bytes(
     for b in range(256)
 )
 N_KINDS = 16
-N_LANGS, N_SOURCES = 16, 64
+N_CONTENT = N_KINDS * N_KINDS + 3
+N_LANGS, N_SOURCES, N_SIZES = 16, 64, 24
 CHUNK = 1 << 20
+#: Log-odds of what counts as sure: 9 to 1.
+SURE = 2.2
+#: Partitions that the last choice among all documents runs in.
+LAST_PARTS = 8
 
 
 # -------------------------------------------------------------------- features
@@ -55,21 +63,22 @@ def content_features(raw: bytes) -> np.ndarray:
     return np.concatenate([np.sqrt(counts / max(1.0, counts.sum())), stats])
 
 
-def metadata_features(raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Language, source, lengths and layout."""
-    out = np.zeros(N_LANGS + N_SOURCES + 6)
-    out[zlib.crc32((lang or "").encode()) % N_LANGS] = 1
-    out[N_LANGS + zlib.crc32((source or "").encode()) % N_SOURCES] = 1
-    lines = raw.split(b"\n")
-    size = max(1, len(raw))
-    out[-6:] = (
-        np.log1p(n_chars or 0) / 10,
-        np.log1p(len(lines)) / 5,
-        np.log1p(len(raw) / len(lines)) / 5,
-        1 - len(set(lines)) / len(lines),
-        min(2.0, (n_chars or 0) / size),
-        len(raw.translate(None, b" \n")) / size,
-    )
+def metadata_codes(lang: str | None, source: str | None, n_chars: int | None) -> tuple[int, int, float]:
+    """Hashed language and source, and the logarithm of the stated length (-1 if null)."""
+    size = -1.0 if n_chars is None else float(np.log2(1 + max(0, n_chars)))
+    return zlib.crc32((lang or "").encode()) % N_LANGS, zlib.crc32((source or "").encode()) % N_SOURCES, size
+
+
+def metadata_features(codes: np.ndarray) -> np.ndarray:
+    """Codes, a row each, as indicators of language, source and range of length, and the length."""
+    n = len(codes)
+    out = np.zeros((n, N_LANGS + N_SOURCES + N_SIZES + 1))
+    rows = np.arange(n)
+    size = codes[:, 2]
+    out[rows, codes[:, 0].astype(int)] = 1
+    out[rows, N_LANGS + codes[:, 1].astype(int)] = 1
+    out[rows, N_LANGS + N_SOURCES + np.clip(size.astype(int) + 1, 0, N_SIZES - 1)] = 1
+    out[:, -1] = size / 20
     return out
 
 
@@ -137,54 +146,74 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (*views, both))
 
 
+#: Of each view the surest documents: their key, features (content, codes) and label.
+Picks = list[list[tuple[int, np.ndarray, float]]]
+
+
+def surest(
+    models: list[Logistic], keys: np.ndarray, x: np.ndarray, quota: tuple[int, int], taken: frozenset[int]
+) -> Picks:
+    """Of each view the ``quota`` surest rows of either class, one row per key."""
+    out: Picks = []
+    keys, at = np.unique(keys, return_index=True)
+    free = np.array([k not in taken for k in keys.tolist()], bool)
+    keys, x = keys[free], x[at[free]]
+    views = (x[:, :N_CONTENT], metadata_features(x[:, N_CONTENT:])) if len(x) else ([], [])
+    for model, view in zip(models, views, strict=True):
+        picked = []
+        if len(x):
+            odds = np.round(model.odds(view), 9)  # alike in whatever batch a row stands
+            for label, order, n in ((0.0, odds, quota[0]), (1.0, -odds, quota[1])):
+                best = np.lexsort((keys, order))[:n]
+                picked += [(int(keys[i]), x[i], label) for i in best.tolist() if order[i] < -SURE]
+        out.append(picked)
+    return out
+
+
 def co_train(
-    content: np.ndarray,
-    metadata: np.ndarray,
+    x: np.ndarray,
     y: np.ndarray,
-    pool_content: np.ndarray,
-    pool_metadata: np.ndarray,
+    pool: Callable[[list[Logistic], tuple[int, int], frozenset[int]], Picks],
     rounds: int = ROUNDS,
     per_round: int = PER_ROUND,
 ) -> CoTrained:
-    """Fit both views; every fourth labelled row is left for calibration."""
+    """Fit both views on rows of content features and metadata codes.
+
+    Every fourth labelled row is left for calibration.  ``pool`` gives each
+    view's surest unlabelled documents, as :func:`surest` does.
+    """
     if len(set(y.tolist())) < 2 or min(np.bincount(y.astype(int), minlength=2)) < 8:
         return CoTrained()
     held = np.zeros(len(y), bool)
     for k in (0, 1):  # of both classes
         held[np.flatnonzero(y == k)[::4]] = True
     share = y.mean()
-    views = [content, metadata]
-    pools = [pool_content, pool_metadata]
-    taken = np.zeros(len(pool_content), bool)
-    extra: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
+    split = lambda rows: (rows[:, :N_CONTENT], metadata_features(rows[:, N_CONTENT:]))
+    views = split(x)
+    extra: Picks = [[], []]
 
     def fit(v: int) -> Logistic:
-        x = np.vstack([views[v][~held], *(pools[v][i] for i, _ in extra[v])])
-        t = np.concatenate([y[~held], *(t for _, t in extra[v])])
-        return Logistic.fit(x, t)
+        more = [split(np.array([row for _, row, _ in extra[v]]))[v]] if extra[v] else []
+        return Logistic.fit(
+            np.vstack([views[v][~held], *more]), np.concatenate([y[~held], [label for _, _, label in extra[v]]])
+        )
 
     models = [fit(0), fit(1)]
+    quota = max(1, round(per_round * (1 - share))), max(1, round(per_round * share))
+    taken: set[int] = set()
     exchanged = 0
     for _ in range(rounds):
+        picks = pool(models, quota, frozenset(taken))
         for v in (0, 1):
-            free = np.flatnonzero(~taken)
-            if not len(free):
-                break
-            odds = models[v].odds(pools[v][free])
-            order = np.argsort(odds, kind="stable")
-            low = order[: max(1, round(per_round * (1 - share)))]
-            high = order[::-1][: max(1, round(per_round * share))]
-            low, high = low[odds[low] < -2.2], high[odds[high] > 2.2]  # surer than 9 to 1
-            rows = np.concatenate([free[low], free[high]])
-            if len(rows):
-                labels = np.concatenate([np.zeros(len(low)), np.ones(len(high))])
-                extra[1 - v].append((rows, labels))
-                taken[rows] = True
-                exchanged += len(rows)
+            extra[1 - v] += picks[v]
+            taken.update(k for k, _, _ in picks[v])
+            exchanged += len(picks[v])
+        if not any(picks):
+            break
         models = [fit(0), fit(1)]
     scales = []
-    for model, x in zip(models, views, strict=True):
-        line = Logistic.fit(model.odds(x[held])[:, None], y[held], ridge=1e-4)
+    for model, view in zip(models, views, strict=True):
+        line = Logistic.fit(model.odds(view[held])[:, None], y[held], ridge=1e-4)
         scales.append((float(line.weights[0]), line.bias))
     prior = float(np.log(share / (1 - share)))
     return CoTrained(models[0], models[1], scales, prior, exchanged)
@@ -194,12 +223,11 @@ def co_train(
 TEXT = ["text", "lang", "source", "n_chars"]
 
 
-def _parts(part: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
+def features(part: pa.RecordBatch, at: int) -> np.ndarray:
+    """Content features and metadata codes of a batch with :data:`TEXT` from column ``at`` on."""
     raws = binaries(part.column(at))
-    lang, source, n_chars = (part.column(at + k).to_pylist() for k in (1, 2, 3))
-    content = np.array([content_features(r) for r in raws])
-    metadata = np.array([metadata_features(*r) for r in zip(raws, lang, source, n_chars, strict=True)])
-    return content, metadata
+    meta = zip(*(part.column(at + k).to_pylist() for k in (1, 2, 3)), strict=True)
+    return np.hstack([np.array([content_features(r) for r in raws]), np.array([metadata_codes(*m) for m in meta])])
 
 
 def _inputs(df: DataFrame) -> list:
@@ -210,43 +238,88 @@ def _inputs(df: DataFrame) -> list:
     ]
 
 
+def _stored(docs: DataFrame, known: DataFrame, id_col: str) -> DataFrame:
+    """``(id, y, key, x)`` of every document with an id; ``y`` is null if unlabelled.
+
+    ``x`` holds the features as 16-bit floats, ``key`` is a hash of it: copies
+    of a document have the same key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, column=1):
+            rows = [r.tobytes() for r in features(part, 1).astype(np.float16)]
+            keys = [xxhash.xxh64_intdigest(r, 3) >> 1 for r in rows]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(keys, pa.int64()), pa.array(rows, pa.binary())], names=["id", "key", "x"]
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    kept = docs.select(F.col(f"`{id_col}`").alias("id"), *_inputs(docs)).where("id is not null")
+    return stash(arrow_map(kept, run, f"id {kind}, key long, x binary").join(known, "id", "left"), "quality-features")
+
+
+def _matrix(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float64)
+
+
+def _pool(free: DataFrame) -> Callable[[list[Logistic], tuple[int, int], frozenset[int]], Picks]:
+    """:func:`surest` over all rows of ``(key, x)``, chosen in tasks, then among their choices."""
+    schema = "view int, label double, key long, x binary"
+    names = ["view", "label", "key", "x"]
+
+    def choose(models: list[Logistic], quota: tuple[int, int], taken: frozenset[int]) -> Picks:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, bytes] = {}
+            picks: Picks = [[], []]
+            for batch in batches:
+                at = batch.schema.get_field_index("key")
+                held.update(zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True))
+                if len(held) >= 8192:
+                    picks = surest(models, np.array(list(held)), _matrix(list(held.values())), quota, taken)
+                    held = {k: x.astype(np.float16).tobytes() for v in picks for k, x, _ in v}
+            if held:
+                picks = surest(models, np.array(list(held)), _matrix(list(held.values())), quota, taken)
+            rows = [(v, y, k, x.astype(np.float16).tobytes()) for v in (0, 1) for k, x, y in picks[v]]
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.int64(), pa.binary()), strict=True)],
+                    names=names,
+                )
+
+        best = arrow_map(free.select("key", "x"), run, schema)
+        best = arrow_map(best.repartition("key").select("key", "x"), run, schema)
+        best = arrow_map(best.repartition(LAST_PARTS, "key").select("key", "x"), run, schema)
+        # At most LAST_PARTS times the quota of rows.
+        got = {r["key"]: r["x"] for r in best.select("key", "x").collect()}
+        if not got:
+            return [[], []]
+        return surest(models, np.array(list(got), np.int64), _matrix(list(got.values())), quota, taken)
+
+    return choose
+
+
 def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
     label_col: str = "quality",
     max_labelled: int = MAX_LABELLED,
-    max_pool: int = MAX_POOL,
 ) -> CoTrained:
-    """Fit on the bounded samples; rows without an id or a 0/1 label are not used."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col(id_col).isNotNull()).distinct()
-    pool = ids.join(known, "id", "left_anti").orderBy(F.xxhash64("id"), "id").limit(max_pool)
-    # At most max_labelled + max_pool rows, so the table may be broadcast.
-    wanted = F.broadcast(chosen.unionByName(pool.withColumn("y", F.lit(-1))))
-    n_content = N_KINDS * N_KINDS + 3
+    """Fit on the bounded sample of labelled documents and on all unlabelled ones.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in sliced(batches, column=2):
-            content, metadata = _parts(part, 2)
-            rows = [r.astype(np.float32).tobytes() for r in np.hstack([content, metadata])]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(rows, pa.binary())], names=["id", "y", "x"]
-            )
-
-    picked = docs.select(F.col(id_col).alias("id"), *_inputs(docs)).join(wanted, "id")
-    picked = picked.select("id", "y", *(f"__{c}" for c in TEXT))
-    kind = dict(docs.dtypes)[id_col]
-    got = arrow_map(picked, run, f"id {kind}, y int, x binary").limit(2 * (max_labelled + max_pool)).toPandas()
+    Rows without an id or a 0/1 label are not used; of rows that share an id
+    with a label one is.
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
+    stored = _stored(docs, known, id_col)
+    one = stored.where("y is not null").groupBy("id", "y").agg(F.min(F.struct("key", "x")).alias("r"))
+    got = one.orderBy(F.xxhash64("id"), "id").limit(max_labelled).select("id", "y", "r.x").toPandas()
     if not len(got):
         return CoTrained()
-    got = got.sort_values(["id", "x"], kind="stable")
-    x = np.array([np.frombuffer(b, np.float32) for b in got["x"]], np.float64).reshape(len(got), -1)
-    y = got["y"].to_numpy()
-    a, b = x[:, :n_content], x[:, n_content:]
-    return co_train(a[y >= 0], b[y >= 0], y[y >= 0].astype(float), a[y < 0], b[y < 0])
+    got = got.sort_values(["id"], kind="stable")
+    y = got["y"].to_numpy().astype(float)
+    return co_train(_matrix(list(got["x"])), y, _pool(stored.where("y is null")))
 
 
 def score_quality(
@@ -264,7 +337,8 @@ def score_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=n):
-            views = model.score(*_parts(part, n))
+            x = features(part, n)
+            views = model.score(x[:, :N_CONTENT], metadata_features(x[:, N_CONTENT:]))
             columns = [*part.columns[:n], *(pa.array(v, pa.float64()) for v in views)]
             columns.append(pa.array(views[2] >= threshold, pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
