@@ -183,10 +183,11 @@ class PieceModel:
     def _exact(
         self, sym: np.ndarray, word: np.ndarray, top: np.ndarray, into: np.ndarray, hit: np.ndarray
     ) -> tuple[np.ndarray, list[int]]:
-        """Where a merge makes a pair as good as its own, merge only the leftmost.
+        """A word's occurrences up to the first whose merge makes a pair as good as its own.
 
         One at a time the leftmost best pair is merged; doing a word's
-        occurrences together is the same unless a new pair comes before them.
+        occurrences together is the same as long as no new pair comes before
+        the next of them.
         """
         owner = word[hit]
         several = np.flatnonzero(np.append(False, owner[1:] == owner[:-1]) | np.append(owner[1:] == owner[:-1], False))
@@ -210,8 +211,11 @@ class PieceModel:
             return hit, []
         tied = np.unique(word[mine[bad]])
         sizes = np.bincount(word, minlength=int(tied.max()) + 1)[tied]
-        first = np.append(True, owner[1:] != owner[:-1])
-        keep = first | ~np.isin(owner, tied)
+        before = np.cumsum(bad) - bad
+        start = np.append(True, word[mine[1:]] != word[mine[:-1]])
+        before -= before[np.flatnonzero(start)][np.cumsum(start) - 1]
+        keep = np.ones(len(hit), bool)
+        keep[several] = before == 0
         return hit[keep], tied[sizes > LONG_WORD].tolist()
 
     # ------------------------------------------------------------ decoding
