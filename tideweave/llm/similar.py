@@ -298,13 +298,14 @@ def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 # ------------------------------------------------------------- shingle sets
-#: Smallest shingle hashes kept per text: two texts at a Jaccard similarity of
-#: 0.8 share none of them with a probability of 0.2 ** 16.
-KEYS = 16
-#: Keys of which two texts at the similarity share at least as many, but for a chance of 1e-6 or less.
-LEAST_SHARED = 4
+#: Smallest shingle hashes that are keys: two texts at a Jaccard similarity of
+#: 0.8 share none of them with a probability of 0.2 ** 10.
+KEYS = 10
+#: Smallest shingle hashes kept as a sketch, and how many of them two texts at the
+#: similarity share at least, but for a chance of about 1e-7.
+SKETCH, LEAST_SHARED = 64, 34
 #: Members of a key of which all pairs are candidates, and of a chain.
-SMALL_GROUP = 6
+SMALL_GROUP = 32
 CHAIN = 4096
 
 
@@ -314,15 +315,16 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """``(id, mark, fp, node, n, keys)`` of rows ``(id, mark, text)``.
+    """``(id, mark, fp, node, n, keys, sketch)`` of rows ``(id, mark, text)``.
 
     ``fp`` is the fingerprint, ``node`` hashes the shingle set, ``n`` is its
-    size and ``keys`` its smallest hashes.
+    size, ``keys`` are its smallest hashes and ``sketch`` the low halves of
+    some more of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=2):
-            fps, nodes, sizes, keys = [], [], [], []
+            fps, nodes, sizes, keys, sketches = [], [], [], [], []
             for raw in binaries(part.column(2)):
                 hashes = np.array(shingle_hashes(raw, width), dtype=np.uint64)
                 fps.append(majority(hashes, np.array([len(hashes)]))[0])
@@ -330,26 +332,30 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), 7))
                 sizes.append(len(held))
                 keys.append(held[:KEYS].view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                sketches.append(held[:SKETCH].astype(np.uint32).view(np.int32))
             columns = [
                 part.column(0),
                 part.column(1),
                 pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)),
+                *(lists(values) for values in (keys, sketches)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "fp", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "fp", "node", "n", "keys", "sketch"])
 
-    return arrow_map(rows, run, "id long, mark long, fp long, node long, n long, keys array<long>")
+    def lists(values: list[np.ndarray]) -> pa.ListArray:
+        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+
+    schema = "id long, mark long, fp long, node long, n long, keys array<long>, sketch array<int>"
+    return arrow_map(rows, run, schema)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs ``(src, dst)`` whose sets have at least the Jaccard similarity.
 
-    Pairs that sizes or the kept hashes rule out are dropped before any text is
-    moved; the rest is decided on the whole sets.
+    Pairs that sizes or sketches rule out are dropped before any text is moved;
+    the rest is decided on the whole sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,12 +368,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, s
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (0, 1)], names=["src", "dst"])
 
-    held = nodes.select("node", "n", "keys", "mark")
+    held = nodes.select("node", "n", "sketch", "mark")
     both = pairs.join(held.toDF("src", "m", "x", "ma"), "src").join(held.toDF("dst", "n", "y", "mb"), "dst")
     sizes = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6
     shared = F.size(F.array_intersect("x", "y"))
-    few = F.least("m", "n") <= KEYS  # the kept hashes are a whole set
-    both = both.where(sizes).where(few | (shared >= LEAST_SHARED)).select("src", "dst", "ma", "mb")
+    # Sketches of small sets are whole; a few equal halves of hashes only let more pairs through.
+    whole = shared >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
+    plausible = F.when(F.greatest("m", "n") <= SKETCH, whole).otherwise(shared >= LEAST_SHARED)
+    both = both.where(sizes).where(plausible).select("src", "dst", "ma", "mb")
     both = stash(both, "near-pairs")
     marks = both.select(F.explode(F.array("ma", "mb")).alias("mark")).distinct()
     texts = rows.select("mark", "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
@@ -396,23 +404,29 @@ def _key_pairs(keyed: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
     ``keyed`` is ``(key, node, size)`` with the key's number of nodes.  All
     pairs of a small group; of a larger one each node with the next in a
     pseudo-random order, and from the second turn on also with the group's hub,
-    the node with most links so far.  Rows stay in proportion to ``keyed``.
+    the node with most links so far; small groups are done by then.  Rows stay
+    in proportion to ``keyed``.
     """
+    keyed = keyed if turn == 1 else keyed.where(F.col("size") > SMALL_GROUP)
     whole = keyed.join(parts, "node", "left").withColumns({"part": F.coalesce("part", "node"), "links": F.coalesce("links", F.lit(0))})
-    mixed = whole.groupBy("key").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("links", F.xxhash64("key", "node").alias("h"), "node")).alias("hub")
-    )
-    mixed = mixed.where("low <> high").select("key", F.col("hub.node").alias("hub"))
+    most = F.max(F.struct("links", F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "part"))
+    mixed = whole.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), most.alias("hub"))
+    mixed = mixed.where("low <> high").select("key", "hub")
     rows = stash(whole.join(mixed, "key"), f"near-open-{turn}")
+    large = rows.where(F.col("size") > SMALL_GROUP)
     group = [F.col("key"), F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("size") / CHAIN))]
     order = Window.partitionBy(*group).orderBy(F.xxhash64("key", "node", F.lit(-turn)), "node")
-    here = F.struct("node", "part")
-    ahead = {f"o{k}": F.lead(here, k).over(order) for k in range(1, SMALL_GROUP)}
-    some = F.when(F.col("size") <= SMALL_GROUP, F.array(*ahead)).otherwise(F.array("o1"))
-    pairs = rows.withColumns(ahead).select("node", "part", F.explode(some).alias("o"))
-    pairs = pairs.where("o is not null and o.part <> part").select("node", F.col("o.node").alias("other"))
+    chain = large.withColumn("o", F.lead(F.struct("node", "part")).over(order)).where("o is not null and o.part <> part")
+    pairs = chain.select("node", F.col("o.node").alias("other"))
     if turn > 1:
-        pairs = pairs.unionAll(rows.where(f"size > {SMALL_GROUP} and node <> hub").select("node", F.col("hub").alias("other")))
+        return _ordered(pairs.unionAll(large.where("part <> hub.part").select("node", F.col("hub.node").alias("other"))))
+    small = rows.where(F.col("size") <= SMALL_GROUP).groupBy("key").agg(F.collect_list(F.struct("node", "part")).alias("g"))
+    every = small.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, SMALL_GROUP)).alias("y"))
+    every = every.where("x.part <> y.part").select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
+    return _ordered(pairs.unionAll(every))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
 
 
@@ -457,7 +471,7 @@ def keep_one_per_similar(
     rows = df.select(own.alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     sketches = stash(_sketches(rows, width), "near-sketches")
     nodes = sketches.groupBy("node").agg(
-        F.min("n").alias("n"), F.min("fp").alias("fp"), F.min("mark").alias("mark"), F.first("keys").alias("keys")
+        *(F.min(c).alias(c) for c in ("n", "fp", "mark")), *(F.first(c).alias(c) for c in ("keys", "sketch"))
     )
     nodes = stash(nodes, "near-nodes")
     parts = connected_components(similar_links(nodes, rows, width, similarity)).toDF("node", "part")
