@@ -252,11 +252,11 @@ def keep_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     classes = exact_dedup(df, id_col, text_col)
     gone = classes.where(F.col(id_col) != F.col("keep_id")).select(
-        F.col(id_col).alias("__exact_id"), F.col("text_sha256").alias("__exact_sha")
+        F.col(id_col).alias("__exact_id"), F.xxhash64("text_sha256").alias("__exact_text")
     )
     gone = stash(gone.distinct(), "exact-gone")
-    sha = F.sha2(lowered(F.col(f"`{text_col}`")), 256)
-    same = (F.col(f"`{id_col}`").cast("long") == F.col("__exact_id")) & (sha == F.col("__exact_sha"))
+    own = F.xxhash64(F.sha2(lowered(F.col(f"`{text_col}`")), 256))
+    same = (F.col(f"`{id_col}`").cast("long") == F.col("__exact_id")) & (own == F.col("__exact_text"))
     return df.join(gone, same, "left_anti")
 
 

@@ -313,8 +313,10 @@ def fit_quality(
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1)).groupBy("id").agg(F.min("y").alias("y"))
     stored = _stored(docs, known, id_col)
-    one = stored.where("y is not null").groupBy("id", "y").agg(F.min(F.struct("key", "x")).alias("r"))
-    got = one.orderBy(F.xxhash64("id"), "id").limit(max_labelled).select("id", "y", "r.x").toPandas()
+    # The ids are chosen first, as every task sends what it would choose to the driver.
+    chosen = F.broadcast(known.select("id").orderBy(F.xxhash64("id"), "id").limit(max_labelled))
+    one = stored.join(chosen, "id", "left_semi").groupBy("id", "y").agg(F.min(F.struct("key", "x")).alias("r"))
+    got = one.select("id", "y", "r.x").toPandas()
     if not len(got):
         return CoTrained()
     got = got.sort_values(["id"], kind="stable")

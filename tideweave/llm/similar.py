@@ -351,7 +351,7 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
     return arrow_map(rows, run, schema)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs ``(src, dst)`` whose sets have at least the Jaccard similarity.
 
     Pairs that sizes or sketches rule out are dropped before any text is moved;
@@ -378,7 +378,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, s
     both = both.where(sizes).where(plausible).select("src", "dst", "ma", "mb")
     both = stash(both, "near-pairs")
     marks = both.select(F.explode(F.array("ma", "mb")).alias("mark")).distinct()
-    texts = rows.select("mark", "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+    texts = texts.join(marks, "mark", "left_semi")
     left, right = texts.toDF("ma", "x"), texts.toDF("mb", "y")
     joined = both.join(left, "ma").join(right, "mb").select("src", "dst", "x", "y")
     return arrow_map(joined, run, "src long, dst long")
@@ -438,15 +438,22 @@ def similar_links(nodes: DataFrame, rows: DataFrame, width: int, similarity: flo
     of their smallest shingle hashes are compared too, while their parts still
     differ: for ``turns`` turns, or until one finds no link.
     """
-    links = stash(_verified(_print_pairs(nodes).distinct(), nodes, rows, width, similarity), "near-links")
+    prints = stash(_print_pairs(nodes).distinct(), "near-print-pairs")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keyed = stash(keyed.join(sizes, "key"), "near-keys")
+    # Texts are moved once: those of nodes that have any candidate.
+    some = keyed.select("node").unionAll(prints.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
+    nodes = stash(nodes.select("node", "n", "sketch", "mark").join(some, "node", "left_semi"), "near-some")
+    marks = nodes.select("mark").distinct().hint("merge")  # a plan for any size: texts outgrow a broadcast
+    texts = rows.select("mark", "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
+    texts = stash(texts, "near-texts")
+    links = stash(_verified(prints, nodes, texts, width, similarity), "near-links")
     for turn in range(1, turns + 1):
         parts = connected_components(links).toDF("node", "part")
         degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
         pairs = _key_pairs(keyed, parts.join(degree, "node"), turn)
-        found = stash(_verified(pairs, nodes, rows, width, similarity), f"near-links-{turn}")
+        found = stash(_verified(pairs, nodes, texts, width, similarity), f"near-links-{turn}")
         if found.isEmpty():
             break
         links = links.unionAll(found)
