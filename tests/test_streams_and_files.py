@@ -1,6 +1,7 @@
 """Streams against batches, state read back, and text files."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,89 @@ def test_numbered_edges(spark, tmp_path):
         (folder / f"part-{p}.csv").write_text("".join(f"{100 * p + i},{i}\n" for i in range(5)))
     rows = sources.numbered_edges(spark, str(folder)).collect()
     assert sorted(r.edge_id for r in rows) == list(range(15))
-    for r in rows:  # consecutive within a file
-        same = [x for x in rows if x.src // 100 == r.src // 100]
-        assert r.edge_id - min(x.edge_id for x in same) == r.src % 100
+    for r in rows:  # in the order of files and lines
+        assert r.edge_id == 5 * (r.src // 100) + r.src % 100
+
+
+def test_numbered_edges_over_blocks(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("".join(f"{i},{i % 7}\n" for i in range(20_000)))
+    (tmp_path / "short.csv").write_text("50000,1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = sources.numbered_edges(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20_001 and all(r.edge_id == min(r.src, 20_000) for r in rows)
+
+
+def test_decoupled_state_and_modes(spark):
+    from tideweave.operators.state import GraphState
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables")
+    edges = sources.event_edges(spark, SF)
+    coupled = GraphState(edges, "3 days", "1 day")
+    apart = GraphState(edges, "3 days", "1 day", decoupled=True)
+    count = lambda live: live.groupBy("fire").count()
+    assert sorted(map(tuple, apart.run_decoupled(count).collect())) == sorted(map(tuple, coupled.run(count).collect()))
+    fires, table = apart.decoupled_output()
+    assert fires.agg(F.sum("n_edges")).first()[0] == table.count()
+    for wrong in (lambda: apart.run(count), coupled.decoupled_output, lambda: coupled.run_decoupled(count)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+@events_only
+def test_processing_time_purges_by_the_clock(spark, tmp_path):
+    stream = sources.stream_event_edges(spark, f"{SF}/events.parquet")
+    rows = []
+    query = (
+        stream_adjacency(stream, 1000, 1000, clock=True)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda df, k: rows.extend(df.collect()))
+        .option("checkpointLocation", str(tmp_path / "checkpoint"))
+        .trigger(processingTime="500 milliseconds")
+        .start()
+    )
+    distinct = sources.event_edges(spark, SF).select("src", "dst").distinct().count()
+    try:
+        until = time.time() + 60
+        while time.time() < until and sum(r.removed for r in rows) < distinct:
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert sum(r.added for r in rows) == distinct == sum(r.removed for r in rows)
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tideweave.plans import lineage
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    lone = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    with pytest.raises(ValueError):
+        lineage.shared_dir(lone)
+    before = lineage.made_so_far()
+    kept, gone = lineage.stash(spark.range(3), "kept"), lineage.stash(spark.range(3), "gone")
+    lineage.drop_made(spark, before, keep=kept)
+    assert kept.count() == 3 and os.path.isdir(kept._stashed_at) and not os.path.exists(gone._stashed_at)
+    assert lineage.made_so_far() == [*before, kept._stashed_at]
+
+
+def test_matching_runs_components_apart(spark):
+    from tideweave.model import edges_of
+    from tideweave.operators import sequential
+
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, 10 * c + rnd.randrange(10), 10 * c + rnd.randrange(10), float(rnd.randrange(1, 90))) for i in range(600) for c in [rnd.randrange(12)]]
+    df = spark.createDataFrame(rows, "edge_id long, src long, dst long, value double")
+    df = edges_of(df.withColumn("valid_from", F.timestamp_millis("edge_id").cast("timestamp_ntz")))
+    state, want = sequential.Matching(), []
+    for _, s, d, w in rows:
+        want += state.add(s, d, int(w))
+    got = sequential.weighted_matching_events(df, F.col("value")).orderBy("seq").collect()
+    assert [(r.op, r.src, r.dst, r.weight) for r in got] == want and [r.seq for r in got] == list(range(len(want)))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideweave.functions.ids import as_text
+from tideweave.functions.ids import as_text, hex_of_vertex, vertex_of_hex
+from tideweave.functions.ids import shared_neighbours as shared_count
 from tideweave.functions.properties import from_json_text, get_property, set_property
 from tideweave.model import ARRIVAL, TemporalGraph
 from tideweave.operators import bipartite, components, metrics, partitioning, sequential, summaries, transforms
@@ -17,7 +18,10 @@ from tideweave.operators.state import GraphState, inserted_in_batches
 from tideweave.plans.lineage import made_path
 from tideweave.sources import edges as sources
 from tideweave.sources import files
-from tideweave.streaming.runs import run_to_table
+from tideweave.sources.throttled import first_part, throttled_adjacency
+from tideweave.streaming.live_state import stream_adjacency
+from tideweave.streaming.matching import stream_matching
+from tideweave.streaming.runs import read_state, rocksdb, run_to_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,6 +204,31 @@ def vertex_count(spark, sf_dir):
     return metrics.vertex_count(_edges(spark, sf_dir))
 
 
+@query("select true as close")
+def vertex_count_approximate(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    both = metrics.vertex_count(edges, approximate=True).withColumnRenamed("n_vertices", "sketch")
+    both = both.withColumn("k", F.lit(1)).join(metrics.vertex_count(edges).withColumn("k", F.lit(1)), "k")  # single rows
+    return both.select((F.abs(F.col("sketch") - F.col("n_vertices")) <= 0.1 * F.col("n_vertices")).alias("close"))
+
+
+@query(f"""with {E} select id as edge_id, printf('%08x', src) || repeat('0', 16) as src_hex, src, dst from e""")
+def hex_ids(spark, sf_dir):
+    hexed = _edges(spark, sf_dir).withColumn("src_hex", hex_of_vertex(F.col("src")))
+    return hexed.select("edge_id", "src_hex", vertex_of_hex(F.col("src_hex")).alias("src"), "dst")
+
+
+@query(f"""with {E}, {BOTH} select p.src, p.dst, count(y.b) as shared
+    from (select distinct src, dst from e) p left join b x on x.a = p.src left join b y on y.a = p.dst and y.b = x.b
+    group by p.src, p.dst""")
+def shared_neighbours(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    near = metrics.neighborhoods(edges, "all")
+    pairs = edges.select("src", "dst").distinct()
+    pairs = pairs.join(near.toDF("src", "x"), "src").join(near.toDF("dst", "y"), "dst")
+    return pairs.select("src", "dst", shared_count(F.col("x"), F.col("y")).cast("long").alias("shared"))
+
+
 @query(f"""with {E}, {ENDS} select vertex, max(value) as largest, min(other) as nearest, count(distinct other) as others
     from n group by vertex""")
 def vertex_aggregate(spark, sf_dir):
@@ -259,6 +288,22 @@ def snapshot_reduce_all(spark, sf_dir):
     return _reduced(spark, sf_dir, "all")
 
 
+@query(f"""with {E}, {ENDS} select cast(date_trunc('day', ts) as timestamp) as window_start, vertex, min(value) as result
+    from n where side = 1 group by 1, 2""")
+def snapshot_reduce(spark, sf_dir):
+    return Snapshot(_edges(spark, sf_dir), "1 day", direction="in").reduce(F.min).drop("window_end")
+
+
+@query(f"""with {E}, {ENDS} select cast(date_trunc('day', ts) as timestamp) as window_start, vertex,
+    coalesce(max(value) filter (where value > 50), min(value)) as result from n group by 1, 2""")
+def snapshot_reduce_custom(spark, sf_dir):
+    def keep(a, b):  # the largest above 50, else the smallest
+        top = F.greatest(a, b)
+        return F.when(top > 50, top).otherwise(F.least(a, b))
+
+    return Snapshot(_edges(spark, sf_dir), "1 day", direction="all").reduce_pairs(keep).drop("window_end")
+
+
 @query(f"""with {E} select cast(date_trunc('day', ts) as timestamp) as window_start, src as vertex,
     string_agg(dst, '>' order by ts, id) as walk from e group by 1, 2""")
 def snapshot_fold(spark, sf_dir):
@@ -325,6 +370,20 @@ def triangles_per_vertex(spark, sf_dir):
     return tri.triangles_per_vertex(_edges(spark, sf_dir))
 
 
+_COMPLETED = """o as (select *, row_number() over (order by ts, id) as k from e),
+    f as (select least(src, dst) as a, greatest(src, dst) as b, min(k) as k from o where src <> dst group by 1, 2),
+    c as (select x.a, x.b, y.b as c, greatest(x.k, y.k, z.k) as k
+        from f x join f y on x.b = y.a join f z on z.a = x.a and z.b = y.b)"""
+
+
+@query(f"""with {E}, {_COMPLETED}, m as (select unnest([a, b, c, -1]) as vertex, k from c),
+    n as (select vertex, k, count(*) as n from m group by all)
+    select vertex, o.id as edge_id, cast(sum(n) over (partition by vertex order by n.k) as bigint) as triangles
+    from n join o on o.k = n.k""")
+def running_triangles(spark, sf_dir):
+    return tri.running_triangles(_edges(spark, sf_dir))
+
+
 @query(f"with {E}, {U}, {T} select cast(a % 4 as integer) as partition_id, count(*) as triangles from t group by 1")
 def triangles_per_partition(spark, sf_dir):
     return tri.triangles_per_partition(_edges(spark, sf_dir), partitioning.owner(F.col("vertex"), PARTS))
@@ -347,7 +406,18 @@ def estimate_triangles_with_loops(spark, sf_dir):
     return tri.estimate_expectation(_edges(spark, sf_dir), keep_loops=True)
 
 
-@query()
+_HASH = "({} + 7) * 2654435761 % 4294967296"
+
+
+@query(f"""with {E}, a as (select distinct * from (select src as u, dst as v from e union all select dst, src from e) where u <> v),
+    d as (select u, cast(count(*) as double) as d from a group by u),
+    s as (select x.u, x.v, cast(count(*) as double) as s from a x join a y on x.u = y.u join a z on z.u = y.v and z.v = x.v
+        where {_HASH.format('x.u')} < 429496729 group by 1, 2),
+    r as (select a.u, coalesce(s, 0.0) * du.d * dv.d / (3.0 * (du.d + dv.d)) as lam,
+            row_number() over (partition by a.u order by {_HASH.format('(a.u * 31 + a.v)')}, a.v) as k
+        from a left join s using (u, v) join d du on du.u = a.u join d dv on dv.u = a.v
+        where {_HASH.format('a.u')} < 429496729)
+    select round(coalesce(avg(lam) * (select count(*) from d), 0.0), 6) as triangles, count(*) as samples from r where k = 1""")
 def estimate_triangles_sampled(spark, sf_dir):
     return tri.estimate_sampled(_edges(spark, sf_dir))
 
@@ -391,7 +461,29 @@ def bipartite_sides(spark, sf_dir):
     return bipartite.bipartite_sides(edges.withColumn("dst", F.col("dst") + sources.BIPARTITE_OFFSET))
 
 
-@query()
+_NONE = "cast([] as struct(a bigint, b bigint, w bigint)[])"
+#: One edge after the other; the state is the list of matched edges.
+_MATCHING = f"""with recursive {E}, o as materialized (
+        select row_number() over (order by ts, id) as k, src, dst, cast(round(value * 100) as bigint) as w
+        from e where value is not null
+    ), s(k, m, hit, ok, src, dst, w) as (
+        select cast(0 as bigint), {_NONE}, {_NONE}, false, cast(0 as bigint), cast(0 as bigint), cast(0 as bigint)
+        union all
+        select k, case when ok then list_append(list_filter(m, lambda x: x.a not in (src, dst) and x.b not in (src, dst)),
+                {{'a': src, 'b': dst, 'w': w}}) else m end, case when ok then list_sort(hit) else [] end, ok, src, dst, w
+        from (select *, w > 2 * coalesce(list_sum(list_transform(hit, lambda x: x.w)), 0) as ok from (
+            select o.k, s.m, o.src, o.dst, o.w,
+                list_filter(s.m, lambda x: x.a in (o.src, o.dst) or x.b in (o.src, o.dst)) as hit
+            from s join o on o.k = s.k + 1))
+    ), v as (
+        select k, i, 'REMOVE' as op, h.a as src, h.b as dst, h.w as weight
+        from (select k, unnest(hit) as h, unnest(range(len(hit))) as i from s where ok)
+        union all select k, len(hit), 'ADD', src, dst, w from s where ok
+    )
+    select row_number() over (order by k, i) - 1 as seq, op, src, dst, weight from v"""
+
+
+@query(_MATCHING)
 def weighted_matching_events(spark, sf_dir):
     return sequential.weighted_matching_events(_edges(spark, sf_dir), F.round(F.col("value") * 100))
 
@@ -407,6 +499,31 @@ def summary_cumulative(spark, sf_dir):
     return summaries.cumulative_summary(per, {"n": F.sum, "largest": F.max})
 
 
+@query(f"""with {E} select cast(date_trunc('day', ts) as timestamp) as window_start, src % 10 as kind,
+    count(distinct src) as sources, count(*) as n from e group by 1, 2""")
+def summary_custom(spark, sf_dir):
+    import pandas as pd
+
+    def update(state, rows):
+        for src in rows["src"].tolist():
+            seen, n = state.get(src % 10, (frozenset(), 0))
+            state[src % 10] = (seen | {src}, n + 1)
+        return state
+
+    def combine(a, b):
+        for k, (seen, n) in b.items():
+            held, m = a.get(k, (frozenset(), 0))
+            a[k] = (held | seen, m + n)
+        return a
+
+    def transform(state):
+        rows = [(k, len(seen), n) for k, (seen, n) in sorted(state.items())]
+        return pd.DataFrame(rows, columns=["kind", "sources", "n"])
+
+    custom = summaries.SummaryAggregation(dict, update, combine, transform, "kind long, sources long, n long")
+    return custom.run(_edges(spark, sf_dir), "1 day")
+
+
 # ----------------------------------------------------------------- graph state
 def _state(spark: SparkSession, sf_dir: str, layout: str = "AL") -> GraphState:
     return GraphState(_edges(spark, sf_dir), "3 days", "1 day", layout, PARTS)
@@ -482,6 +599,85 @@ def al_edge_lookup(spark, sf_dir):
     return GraphState(edges, None).edge(transforms.reverse(edges))
 
 
+#: A range of live time, from the tables' own bounds: the middle third of the events' days.
+_RANGE = """r as (select min(ts) + (max(ts) - min(ts)) / 3 as lo, min(ts) + (max(ts) - min(ts)) / 3 * 2 as hi from events),
+    g as (select e.* from e, r where ts >= lo and ts < hi)"""
+
+
+def _between(edges: DataFrame):
+    lo, hi = edges.agg(F.min("valid_from"), F.max("valid_from")).first()
+    third = (hi - lo) / 3
+    return (F.col("valid_from") >= F.lit(lo + third).cast("timestamp_ntz")) & (
+        F.col("valid_from") < F.lit(lo + third * 2).cast("timestamp_ntz")
+    )
+
+
+@query(f"""with {E}, {_RANGE} select src, string_agg(distinct dst, ',' order by dst) as nbrs from g
+    where src in (select dst from e) group by src""")
+def al_vertex_lookup_range(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    found = GraphState(edges, None, layout="EL").neighbours(edges.select(F.col("dst").alias("vertex")), _between(edges))
+    return found.select("src", as_text(F.col("nbrs")).alias("nbrs"))
+
+
+@query(f"""with {E}, {_RANGE} select src, string_agg(distinct dst, ',' order by dst) as nbrs,
+    (select count(distinct src) from g) as n_live from g where src in (select dst from e) group by src""")
+def al_vertex_lookup_total_range(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    asked = edges.select(F.col("dst").alias("vertex"))
+    found = GraphState(edges, None, layout="EL").neighbours_with_total(asked, _between(edges))
+    return found.select("src", as_text(F.col("nbrs")).alias("nbrs"), "n_live")
+
+
+@query(f"""with {E}, {_RANGE} select q.src, q.dst,
+    case when exists (select 1 from g where g.src = q.src and g.dst = q.dst) then true
+    when exists (select 1 from g where g.src = q.src) then false end as present
+    from (select distinct dst as src, src as dst from e) q""")
+def al_edge_contains_range(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    asked = transforms.reverse(edges).select("src", "dst").distinct()
+    return GraphState(edges, None, layout="EL").contains(asked, _between(edges))
+
+
+@query(f"with {E}, {_RANGE} select distinct x.src, x.dst from g x join e y on x.src = y.dst and x.dst = y.src")
+def al_edge_lookup_range(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return GraphState(edges, None, layout="EL").edge(transforms.reverse(edges), _between(edges))
+
+
+@query(f"with {E}, {_RANGE} select distinct src from g")
+def al_vertex_list_range(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    return GraphState(edges, None, layout="EL").live_vertices(_between(edges))
+
+
+_FIRE_LOADS = f"""with {E}, {{hops}}, {{live}} select fire, count(*) as n_edges, count(distinct src) as sources from {{rows}} group by fire"""
+
+
+def _loads(live: DataFrame) -> DataFrame:
+    return live.groupBy("fire").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("sources"))
+
+
+@query(_FIRE_LOADS.format(hops=HOPS, live=LIVE, rows="l"))
+def state_run_el(spark, sf_dir):
+    return _state(spark, sf_dir, "EL").run(_loads)
+
+
+@query(_FIRE_LOADS.format(hops=HOPS, live=LIVE, rows="l"))
+def state_run_sorted_el(spark, sf_dir):
+    return _state(spark, sf_dir, "sortedEL").run(_loads)
+
+
+@query(_FIRE_LOADS.format(hops=HOPS, live=f"{LIVE}, {AL}", rows="al"))
+def state_run_al(spark, sf_dir):
+    return _state(spark, sf_dir).run(_loads)
+
+
+@query(_FIRE_LOADS.format(hops=HOPS, live=f"{LIVE}, {AL}", rows="al"))
+def state_run_decoupled(spark, sf_dir):
+    return GraphState(_edges(spark, sf_dir), "3 days", "1 day", "AL", PARTS, decoupled=True).run_decoupled(_loads)
+
+
 @query(f"""with {E}, p as (select *, cast(src % 4 as integer) as partition_id from e), k as (
         select *, (row_number() over (partition by partition_id order by ts, id) - 1) // 100 as batch from p
     ) select id as edge_id, partition_id, batch, min(ts) over (partition by partition_id, batch) as valid_from from k""")
@@ -524,7 +720,31 @@ def partition_quality(spark, sf_dir):
     return partitioning.partition_quality(partitioning.dbh_partition(_edges(spark, sf_dir), PARTS))
 
 
-@query()
+#: One vertex after the other, in order of id; the state is the list of the partitions so far.
+_FENNEL = f"""{E}, ends as (select distinct src as v, dst as u from e union select dst, src from e),
+    rank as materialized (select v, row_number() over (order by v) as k from (select distinct v from ends)),
+    near as materialized (
+        select r.k, list(q.k) as ns from ends join rank r on r.v = ends.v join rank q on q.v = ends.u group by r.k),
+    size as materialized (
+        select n, (power(4, 0.5) * power(n, 1.5) + m) / power(n, 1.5) * 1.5 as c, (1.1 * 4 + n) / 4 as room
+        from (select (select count(*) from rank) as n, (select count(*) from ends) // 2 as m)),
+    s(k, w) as (
+        select cast(0 as bigint), cast([] as integer[])
+        union all
+        select k, list_append(w, cast(list_position(scores, list_max(scores)) - 1 as integer)) from (
+            select near.k, s.w, list_transform([0, 1, 2, 3], lambda p: case
+                when len(list_filter(s.w, lambda x: x = p)) < size.room then
+                    len(list_filter(near.ns, lambda j: j < near.k and s.w[j] = p))
+                    - size.c * power(len(list_filter(s.w, lambda x: x = p)), 0.5)
+                else -1e300 end) as scores
+            from s join near on near.k = s.k + 1, size)
+    ), f as (
+        select rank.v as vertex, last.w[rank.k] as partition_id
+        from rank, (select w from s order by k desc limit 1) last
+    )"""
+
+
+@query(f"with recursive {_FENNEL} select vertex, partition_id from f")
 def partition_fennel(spark, sf_dir):
     edges = _edges(spark, sf_dir)
     adjacency = metrics.neighborhoods(edges, "all")
@@ -532,13 +752,36 @@ def partition_fennel(spark, sf_dir):
     return sequential.fennel_partition(adjacency, PARTS, size["n"], (size["m"] or 0) // 2)
 
 
-@query()
+@query(f"with recursive {_FENNEL} select e.id as edge_id, e.src, e.dst, f.partition_id from e join f on f.vertex = e.src")
 def vertex_partitioned_edges(spark, sf_dir):
     placement = partition_fennel(spark, sf_dir)
     return partitioning.by_vertex(_edges(spark, sf_dir).select("edge_id", "src", "dst"), placement)
 
 
-@query()
+#: One edge after the other; the state is the partition of each vertex and the loads.
+_LEAST = "list_position({0}, list_min({0})) - 1"
+
+
+@query(f"""with recursive {E},
+    rank as materialized (select v, row_number() over (order by v) as r from (select src as v from e union select dst from e)),
+    o as materialized (
+        select row_number() over (order by ts, id) as k, id, src, dst, x.r as sr, y.r as dr
+        from e join rank x on x.v = src join rank y on y.v = dst),
+    s(k, w, load, home, other) as (
+        select cast(0 as bigint), list_transform(range((select count(*) from rank)), lambda x: -1),
+            cast([0, 0, 0, 0] as bigint[]), cast(0 as bigint), cast(0 as bigint)
+        union all
+        select k, list_transform(w, lambda x, i: case when i = sr then home when i = dr then other else x end),
+            list_transform(load, lambda x, i: x + case when i - 1 in (home, other) then 1 else 0 end), home, other
+        from (select *, case when dr = sr then home when w[dr] >= 0 then w[dr]
+                when load[home + 1] > 0 and load[{_LEAST.format('load')} + 1] / load[home + 1] > 0.5 then home
+                else {_LEAST.format('load')} end as other
+            from (select o.k, s.w, s.load, o.sr, o.dr,
+                    case when s.w[o.sr] >= 0 then s.w[o.sr] else {_LEAST.format('s.load')} end as home
+                from s join o on o.k = s.k + 1))
+    )
+    select o.id as edge_id, o.src, o.dst, cast(p as integer) as partition_id
+    from (select k, unnest(list_distinct([home, other])) as p from s where k > 0) q join o on o.k = q.k""")
 def partition_balanced(spark, sf_dir):
     return sequential.balanced_partition(_edges(spark, sf_dir), PARTS)
 
@@ -570,17 +813,65 @@ def el_to_al(spark, sf_dir):
     return sources.adjacency_list(spark, f"{root}/al").select("src", as_text(F.col("nbrs")).alias("nbrs"))
 
 
-# -------------------------------------------------------------------- streaming
-CLOSED = "where window_start + interval 1 day <= (select max(ts) - interval 1 day from events)"
+def _text(lines: DataFrame, spark: SparkSession, name: str) -> str:
+    path = made_path(spark, name)
+    lines.write.text(path)
+    return path
+
+
+@query(f"""with {E} select src, dst + 1000000 as dst, floor(value) * 10 as value,
+    cast(date_trunc('second', ts) as timestamp) as valid_from from e""")
+def bipartite_file(spark, sf_dir):
+    edges = _edges(spark, sf_dir)
+    seconds = F.unix_seconds(F.col("valid_from").cast("timestamp"))
+    line = F.concat_ws("\t", "src", "dst", F.floor("value").cast("string"), seconds.cast("string"))
+    path = _text(edges.select(line.alias("value")), spark, "movies")
+    return sources.bipartite_csv(spark, path).select("src", "dst", "value", "valid_from")
+
+
+@query(f"""with {E}, o as (select src, dst, row_number() over (order by ts, id) - 1 as edge_id from e)
+    select edge_id, src, dst, cast(make_timestamp(edge_id * 1000) as timestamp) as valid_from from o""")
+def numbered_file(spark, sf_dir):
+    edges = metrics.running_total(_edges(spark, sf_dir), F.lit(1), alias="k").repartitionByRange(3, "k").sortWithinPartitions("k")
+    path = _text(edges.select(F.concat_ws(",", "src", "dst").alias("value")), spark, "numbered")
+    return sources.numbered_edges(spark, path).select("edge_id", "src", "dst", "valid_from")
+
+
+@query(f"""with {E} select src, dst, value, cast(date_trunc('second', ts) as timestamp) as valid_from from e where value > 50""")
+def weighted_file(spark, sf_dir):
+    edges = _edges(spark, sf_dir).where("value > 50")
+    seconds = F.unix_seconds(F.col("valid_from").cast("timestamp"))
+    line = F.concat_ws(" ", "src", "dst", F.col("value").cast("string"), seconds.cast("string"))
+    path = _text(edges.select(line.alias("value")), spark, "weighted")
+    return sources.weighted_edge_list(spark, path).select("src", "dst", "value", "valid_from")
+
 
+@query("""select i as src, i + s as dst, cast(make_timestamp((100 * i + 50 * (s - 1)) * 1000) as timestamp) as valid_from
+    from range(1, 501) t(i), (select unnest([1, 2]) as s)""")
+def sequence_source(spark, sf_dir):
+    return sources.sequence_edges(spark, 500).select("src", "dst", "valid_from")
 
-@query(f"""with {E}, d as (select cast(date_trunc('day', ts) as timestamp) as window_start, src as vertex,
-        count(*) as n, max(value) as largest from e group by 1, 2) select * from d {CLOSED}""")
+
+@query(f"with {E} select distinct src, dst from e")
+def throttled_stream(spark, sf_dir):
+    path = made_path(spark, "replay")
+    files.write_adjacency(files.adjacency_rows(_edges(spark, sf_dir)).coalesce(1), path)
+    stream = throttled_adjacency(spark, first_part(spark, path), 500)
+    rows, _ = run_to_table(stream.select("src", F.explode("nbrs").alias("dst")), name="throttled")
+    return rows
+
+
+# -------------------------------------------------------------------- streaming
+@query(f"""with {E} select cast(date_trunc('day', ts) as timestamp) as window_start, src as vertex,
+    count(*) as n, max(value) as largest from e group by 1, 2""")
 def stream_snapshot(spark, sf_dir):
+    """All windows, those that the watermark has not closed too: the last update of each."""
     edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
     snap = Snapshot(edges, "1 day").aggregate(F.count("*").alias("n"), F.max("value").alias("largest"))
-    done, _ = run_to_table(snap.drop("window_end"), name="snapshot")
-    return done.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz")})
+    done, _ = run_to_table(snap.drop("window_end"), "update", "snapshot")
+    last = F.max_by(F.struct("n", "largest"), "batch_id").alias("r")
+    done = done.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "vertex").agg(last)
+    return done.select("window_start", "vertex", "r.n", "r.largest")
 
 
 @query(f"with {E}, {ENDS} select vertex, count(*) as degree from n group by vertex")
@@ -591,6 +882,55 @@ def stream_degrees(spark, sf_dir):
     return done.groupBy("vertex").agg(F.max_by("degree", "batch_id").alias("degree"))
 
 
+@query(f"with {E}, {ENDS} select vertex, count(*) as degree from n group by vertex")
+def stream_state_lookup(spark, sf_dir):
+    """A running count read back from the stream's own state."""
+    edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    counts = transforms.endpoints(edges).groupBy("vertex").agg(F.count("*").alias("degree"))
+    _, checkpoint = run_to_table(counts, "update", "degrees")
+    return read_state(spark, checkpoint).select("key.vertex", F.col("value.count").alias("degree"))
+
+
+@query(_MATCHING)
+def stream_matching_events(spark, sf_dir):
+    edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    with rocksdb(spark):
+        events, _ = run_to_table(stream_matching(edges, F.round(F.col("value") * 100)), name="matching")
+    return events.drop("key")
+
+
+_DAY = 86_400_000
+#: An edge leaves three days after the end of its day, once the watermark has passed that.
+_LEAVING = f"""with {E}, p as (select src, dst, max(cast(date_trunc('day', ts) as timestamp)) + interval 4 day as ends from e group by 1, 2)
+    select cast(src % 4 as integer) as partition_id, count(*) as added,
+        count(*) filter (where ends <= (select max(ts) - interval 1 day from e)) as removed from p group by 1"""
+
+
+def _purged(spark: SparkSession, sf_dir: str, lazy_slide_ms: int | None) -> DataFrame:
+    edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    with rocksdb(spark):
+        rows, _ = run_to_table(stream_adjacency(edges, 3 * _DAY, _DAY, PARTS, lazy_slide_ms=lazy_slide_ms), "update", "adjacency")
+    return rows.groupBy("partition_id").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+
+
+@query(_LEAVING)
+def stream_active_purge(spark, sf_dir):
+    return _purged(spark, sf_dir, None)
+
+
+@query(_LEAVING)
+def stream_lazy_purge(spark, sf_dir):
+    return _purged(spark, sf_dir, _DAY)
+
+
+@query(f"with {E} select src, dst, 1 as batches from e group by src, dst, id")
+def ingestion_time(spark, sf_dir):
+    """A batch's edges share the time of their ingestion, so they fall into one window."""
+    edges = sources.ingested(_edges(spark, sf_dir))
+    counted = edges.agg(F.count_distinct("valid_from").cast("int").alias("batches")).withColumn("k", F.lit(1))
+    return edges.select("src", "dst").withColumn("k", F.lit(1)).join(F.broadcast(counted), "k").drop("k")  # one row
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

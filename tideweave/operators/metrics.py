@@ -1,8 +1,8 @@
 """Vertices, degrees, counts and neighbourhoods, final and running.
 
-Running results have one row per arrival.  Those of a vertex are windows over
-its own rows.  Global ones need a total order: they are summed in ranges of
-time first, so no task orders all rows (:func:`running_total`).
+Running results have one row per arrival and need an order.  They are summed in
+ranges of time first, so no task orders all rows, nor all rows of a hub
+(:func:`running_total`).
 """
 
 from __future__ import annotations
@@ -27,25 +27,37 @@ def degrees(edges: DataFrame, direction: str = "all") -> DataFrame:
 
 def running_degrees(edges: DataFrame, direction: str = "all") -> DataFrame:
     """A vertex's degree after each of its edges."""
-    w = Window.partitionBy("vertex").orderBy(*ARRIVAL, "side").rowsBetween(Window.unboundedPreceding, 0)
-    ends = endpoints(edges, direction)
-    return ends.select("edge_id", "vertex", "side", F.count("*").over(w).alias("degree"))
-
-
-def running_total(rows: DataFrame, amount: Column, order: tuple[str, ...] = ARRIVAL, alias: str = "total") -> DataFrame:
-    """``rows`` with the sum of ``amount`` up to each in the order given.
-
-    Rows are summed per hour first; the running sum of the hours is one small
-    row each, and within an hour a window orders only its own rows.
+    ends = endpoints(edges, direction).select("edge_id", "vertex", "side", "valid_from")
+    done = running_total(ends, F.lit(1), (*ARRIVAL, "side"), "degree", by=("vertex",))
+    return done.select("edge_id", "vertex", "side", "degree")
+
+
+def running_total(
+    rows: DataFrame,
+    amount: Column,
+    order: tuple[str, ...] = ARRIVAL,
+    alias: str = "total",
+    by: tuple[str, ...] = (),
+    grain: str = "hour",
+) -> DataFrame:
+    """``rows`` with the sum of ``amount`` up to each in the order given, per ``by``.
+
+    Rows are summed per key and ``grain`` of time first; the running sum of the
+    grains is one small row each, and within a grain a window orders only its
+    own rows.  ``grain`` is what ``date_trunc`` takes: one whose rows fit a task.
     """
-    hour = F.date_trunc("hour", F.col(order[0])).cast("timestamp_ntz")
-    part = rows.withColumns({"__h": F.coalesce(hour, F.lit("0001-01-01").cast("timestamp_ntz")), "__x": amount.cast("long")})
-    sums = part.groupBy("__h").agg(F.sum("__x").alias("__s"))
-    before = Window.orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("__h").alias("__k"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
-    within = Window.partitionBy("__h").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    done = part.withColumn("__w", F.sum("__x").over(within)).join(base, F.col("__h") == F.col("__k"))
-    return done.withColumn(alias, F.col("__w") + F.col("__b")).drop("__h", "__x", "__k", "__b", "__w")
+    at = F.date_trunc(grain, F.col(order[0])).cast("timestamp_ntz")
+    part = rows.withColumns({"__h": F.coalesce(at, F.lit("0001-01-01").cast("timestamp_ntz")), "__x": amount.cast("long")})
+    sums = part.groupBy(*by, "__h").agg(F.sum("__x").alias("__s"))
+    before = Window.partitionBy(*by).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(c).alias(f"__by_{c}") for c in by]
+    base = sums.select(*keys, F.col("__h").alias("__k"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    within = Window.partitionBy(*by, "__h").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("__h") == F.col("__k")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    done = part.withColumn("__w", F.sum("__x").over(within)).join(base, same)
+    return done.withColumn(alias, F.col("__w") + F.col("__b")).drop("__h", "__x", "__k", "__b", "__w", *(f"__by_{c}" for c in by))
 
 
 def running_edge_count(edges: DataFrame) -> DataFrame:
@@ -77,14 +89,14 @@ def vertex_aggregate(edges: DataFrame, *aggregates: Column, direction: str = "al
     return endpoints(edges, direction).groupBy("vertex").agg(*aggregates)
 
 
-def changes_only(rows: DataFrame, value: str, order: tuple[str, ...]) -> DataFrame:
+def changes_only(rows: DataFrame, value: str, order: tuple[str, ...], grain: str = "hour") -> DataFrame:
     """Rows whose value differs from that of the row before.
 
-    Rows are compared within days; a day's first row is compared with the last
-    one of the day before that has rows.
+    Rows are compared within a ``grain`` of time; its first row is compared
+    with the last one of the grain before that has rows.
     """
-    day = F.date_trunc("day", F.col(order[0])).cast("timestamp_ntz")
-    part = rows.withColumn("__d", day)
+    at = F.date_trunc(grain, F.col(order[0])).cast("timestamp_ntz")
+    part = rows.withColumn("__d", at)
     key = F.struct(*order)
     ends = part.groupBy("__d").agg(F.max_by(value, key).alias("__last"))
     before = Window.orderBy("__d")

@@ -32,6 +32,16 @@ class Snapshot:
         """An associative reduction of edge values by a built-in aggregate."""
         return self._grouped(reducer(F.col("value")).alias(alias))
 
+    def reduce_pairs(self, fn: Callable[[Column, Column], Column], alias: str = "result") -> DataFrame:
+        """Any associative, commutative reduction of two values to one, as an expression.
+
+        A (window, vertex) group's values are gathered; where a built-in
+        aggregate does the same, :meth:`reduce` combines before the shuffle.
+        """
+        values = F.array_compact(F.collect_list("value"))
+        first, rest = F.get(values, 0), F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0)))
+        return self._grouped(F.aggregate(rest, first, fn).alias(alias))
+
     def aggregate(self, *aggregates: Column) -> DataFrame:
         """Any aggregates over the edges of each vertex and window."""
         return self._grouped(*aggregates)

@@ -2,10 +2,14 @@
 
 At a fire time t the state holds the edges that became valid in [t - W, t), for
 t in steps of the slide.  Layouts: ``EL`` keeps edges, ``sortedEL`` edges by
-source, ``AL`` adjacency without repeats.  How state was fetched or purged in
-older designs (per edge, vertex or partition; actively or lazily) is a physical
-matter that the optimizer settles; those names are accepted and give the same
-rows.
+source, ``AL`` adjacency without repeats.  How state was fetched in older
+designs (per edge, vertex or partition) is a physical matter that the optimizer
+settles; those names are accepted and give the same rows.  Active and lazy
+purging differ on streams only (:mod:`tideweave.streaming.live_state`).
+
+An algorithm runs coupled, over the live edges themselves, or decoupled: the
+state is then a table of its own, and control rows, one per fire and partition,
+make a downstream query read it.
 """
 
 from __future__ import annotations
@@ -13,12 +17,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideweave.model import ARRIVAL
+from tideweave.operators.metrics import running_total
 from tideweave.operators.partitioning import owner
 from tideweave.operators.triangles import triangle_count
+from tideweave.plans.lineage import stash
 
 LAYOUTS = ("EL", "sortedEL", "AL")
 GRANULARITIES = ("edge", "vertex", "state")
@@ -33,8 +38,8 @@ class GraphState:
     slide: str | None = None
     layout: str = "AL"
     parts: int = 4
-    lazy_purge: bool = False
     granularity: str = "state"
+    decoupled: bool = False
 
     def __post_init__(self) -> None:
         if self.layout not in LAYOUTS or self.granularity not in GRANULARITIES:
@@ -65,16 +70,33 @@ class GraphState:
 
     def fires(self) -> DataFrame:
         """Control rows of decoupled algorithms: ``(partition_id, window_start, window_end)``."""
-        rows = self.live().groupBy("fire", "partition_id").agg(F.count("*").alias("n_edges"))
-        if self.size is None:
-            return rows.select("partition_id", F.lit(None).cast("timestamp_ntz").alias("window_start"), F.col("fire").alias("window_end"), "n_edges")
-        start = F.expr(f"fire - interval {self.size}")
+        return self._fires(self.live())
+
+    def _fires(self, live: DataFrame) -> DataFrame:
+        rows = live.groupBy("fire", "partition_id").agg(F.count("*").alias("n_edges"))
+        start = F.lit(None).cast("timestamp_ntz") if self.size is None else F.expr(f"fire - interval {self.size}")
         return rows.select("partition_id", start.alias("window_start"), F.col("fire").alias("window_end"), "n_edges")
 
     def run(self, algorithm: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """Run an algorithm over the live edges of all fires; the key is ``fire``."""
+        if self.decoupled:
+            raise ValueError("the state is decoupled: use run_decoupled")
         return algorithm(self.live())
 
+    def decoupled_output(self) -> tuple[DataFrame, DataFrame]:
+        """``(control rows, state table)``: what a downstream query needs."""
+        if not self.decoupled:
+            raise ValueError("the state is not decoupled: use run")
+        table = stash(self.live(), "state")
+        return self._fires(table), table
+
+    def run_decoupled(self, algorithm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """Run an algorithm over the state that the control rows make it read."""
+        fires, table = self.decoupled_output()
+        asked = fires.select("partition_id", F.col("window_end").alias("fire"))
+        same = (table["partition_id"] == asked["partition_id"]) & table["fire"].eqNullSafe(asked["fire"])
+        return algorithm(table.join(asked, same, "left_semi"))
+
     def size_per_partition(self) -> DataFrame:
         """``(fire, partition_id, n_entries)``."""
         return self.live().groupBy("fire", "partition_id").agg(F.count("*").alias("n_entries"))
@@ -132,9 +154,8 @@ def inserted_in_batches(edges: DataFrame, batch_size: int, parts: int) -> DataFr
     A batch is ``batch_size`` successive edges of one owner partition; the
     result's ``valid_from`` is the batch's, ``batch`` its number.
     """
-    own = owner(F.col("src"), parts)
-    order = Window.partitionBy("partition_id").orderBy(*ARRIVAL)
-    rows = edges.withColumn("partition_id", own)
-    rows = rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / batch_size).cast("long"))
+    rows = edges.withColumn("partition_id", owner(F.col("src"), parts))
+    rows = running_total(rows, F.lit(1), alias="__n", by=("partition_id",))
+    rows = rows.withColumn("batch", F.floor((F.col("__n") - 1) / batch_size).cast("long")).drop("__n")
     first = rows.groupBy("partition_id", "batch").agg(F.min("valid_from").alias("valid_from"))
     return rows.drop("valid_from").join(first, ["partition_id", "batch"])

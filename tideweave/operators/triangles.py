@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideweave.model import ARRIVAL
+from tideweave.operators.metrics import running_total
 from tideweave.operators.transforms import simple_edges
 
 
@@ -55,6 +57,33 @@ def triangles_per_vertex(edges: DataFrame, total_vertex: int | None = -1) -> Dat
     return rows.groupBy("vertex").agg(F.count("*").alias("triangles"))
 
 
+def completed_triangles(edges: DataFrame) -> DataFrame:
+    """``(a, b, c, valid_from, edge_id)``: triangles with the arrival that completes them.
+
+    An edge arrives with its first repeat in either direction.
+    """
+    pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
+    first = edges.where("src <> dst").groupBy(*pair).agg(F.min(F.struct(*ARRIVAL)).alias("at"))
+    out = triangles(first.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    for x, y in ("ab", "bc", "ac"):
+        out = out.join(first.toDF(x, y, f"at_{x}{y}"), [x, y])
+    last = F.greatest("at_ab", "at_bc", "at_ac").alias("at")
+    return out.select("a", "b", "c", last).select("a", "b", "c", "at.valid_from", "at.edge_id")
+
+
+def running_triangles(edges: DataFrame, total_vertex: int = -1) -> DataFrame:
+    """``(vertex, edge_id, triangles)``: the running counters of vertices and of all.
+
+    A row whenever an arrival completes triangles of the vertex; the vertex
+    ``total_vertex`` counts all triangles.
+    """
+    corners = F.array(*(F.col(c) for c in ("a", "b", "c")), F.lit(total_vertex).cast("long"))
+    rows = completed_triangles(edges).select(F.explode(corners).alias("vertex"), *ARRIVAL)
+    made = rows.groupBy("vertex", *ARRIVAL).agg(F.count("*").alias("n"))
+    done = running_total(made, F.col("n"), alias="triangles", by=("vertex",))
+    return done.select("vertex", "edge_id", "triangles")
+
+
 def triangles_per_partition(edges: DataFrame, owner: Column, alias: str = "partition_id") -> DataFrame:
     """Triangles by the owner of their smallest vertex; they add up to the total.
 
@@ -100,14 +129,20 @@ def estimate_expectation(edges: DataFrame, keep_loops: bool = False) -> DataFram
     return rows.agg(F.round(F.sum(F.col("lam") / F.col("du")), 6).alias("triangles"))
 
 
+def any_engine_hash(value: Column, seed: int) -> Column:
+    """A multiplicative hash of a small non-negative id, in 32 bits; any SQL engine can compute it."""
+    return (value + seed) * F.lit(2654435761) % F.lit(4294967296)
+
+
 def estimate_sampled(edges: DataFrame, fraction: float = 0.1, seed: int = 7) -> DataFrame:
     """The estimate from a seeded sample of vertices and one neighbour each."""
     rows = sampled_edges(edges)
-    pick = F.pmod(F.xxhash64("u", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000)
-    one = rows.where(pick).groupBy("u").agg(F.min_by("lam", F.xxhash64("u", "v", F.lit(seed))).alias("lam"))
+    pick = any_engine_hash(F.col("u"), seed) < int(fraction * 4294967296)
+    order = F.struct(any_engine_hash(F.col("u") * 31 + F.col("v"), seed), F.col("v"))
+    one = rows.where(pick).groupBy("u").agg(F.min_by("lam", order).alias("lam"))
     n = rows.select("u").distinct().agg(F.count("*").alias("n"))
     # Both sides are a single row.
     both = one.agg(F.avg("lam").alias("m"), F.count("*").alias("samples"), F.lit(1).alias("k")).join(
         n.withColumn("k", F.lit(1)), "k"
     )
-    return both.select(F.coalesce(F.col("m") * F.col("n"), F.lit(0.0)).alias("triangles"), "samples")
+    return both.select(F.round(F.coalesce(F.col("m") * F.col("n"), F.lit(0.0)), 6).alias("triangles"), "samples")

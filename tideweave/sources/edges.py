@@ -26,21 +26,23 @@ def edge_list(spark: SparkSession, path: str, sep: str = r"\s+") -> DataFrame:
 
 
 def numbered_edges(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """:func:`edge_list` with the edge's number in the file as id, and as time in ms.
+    """:func:`edge_list` with the edge's number as id, and as time in ms.
 
-    Lines are numbered without a sort: their place in a file part plus the
-    number of lines in the parts before, of which there is one row each.
+    Lines are numbered in the order of files and lines without a sort: a line's
+    place in its block of a file, plus the number of lines in the blocks
+    before, of which there is one row each.
     """
     parts = F.split(F.trim("value"), sep)
-    rows = _lines(spark, path).select(
-        F.monotonically_increasing_id().alias("m"), parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst")
+    block = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at")).alias("p")
+    lines = spark.read.text(path).select("value", block)
+    lines = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
+    rows = lines.select(
+        "p", F.monotonically_increasing_id().alias("m"), parts[0].cast("long").alias("src"), parts[1].cast("long").alias("dst")
     )
-    rows = rows.withColumns({"p": F.shiftright("m", 33), "k": F.col("m").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("low"))
     before = F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("p", F.coalesce(before, F.lit(0)).alias("first"))
-    number = (F.col("k") + F.col("first")).alias("edge_id")
-    rows = rows.join(starts, "p").select(number, "src", "dst")
+    starts = sizes.select("p", (F.coalesce(before, F.lit(0)) - F.col("low")).alias("shift"))
+    rows = rows.join(starts, "p").select((F.col("m") + F.col("shift")).alias("edge_id"), "src", "dst")
     return edges_of(rows.withColumn("valid_from", F.timestamp_millis("edge_id").cast("timestamp_ntz")))
 
 
@@ -128,6 +130,15 @@ def stream_event_edges(spark: SparkSession, path: str, delay: str = "1 day", fil
     return edges.withColumn("valid_from", F.col("valid_from").cast("timestamp")).withWatermark("valid_from", delay)
 
 
+def ingested(edges: DataFrame) -> DataFrame:
+    """Edges whose time is that of their ingestion, for batches and streams alike.
+
+    All edges of a batch or micro-batch have the same time; their order within
+    it is that of their ids.
+    """
+    return edges.withColumn("valid_from", F.current_timestamp().cast(edges.schema["valid_from"].dataType))
+
+
 def part_supplier_edges(spark: SparkSession, sf_dir: str, offset: int = BIPARTITE_OFFSET) -> DataFrame:
     """Parts linked with suppliers of their line items: bipartite by construction."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -77,6 +77,13 @@ class ReplaySource(DataSource):
         return ReplayReader(dict(self.options))
 
 
+def first_part(spark: SparkSession, path: str) -> str:
+    """The one file of a folder that a single task has written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found[0].getPath().toUri().getPath() if ":" not in path else found[0].getPath().toString()
+
+
 def throttled_adjacency(spark: SparkSession, path: str, lines_per_batch: int = 1000) -> DataFrame:
     """``(line, src, nbrs)`` of an adjacency file as a stream."""
     spark.dataSource.register(ReplaySource)

@@ -1,7 +1,10 @@
 """Adjacency state of a stream, with edges leaving when their window ends.
 
-State is kept per owner partition in a map from (src, dst) to the edge's last
-valid time; an event-time timer per time bucket purges what has ended.
+State is kept per owner partition and slice of its sources: a map from (src,
+dst) to the end of its window, and for each end the edges that leave then, so a
+purge reads those alone.  Purging is active (a timer per time bucket) or lazy (a
+timer per slide purges all buckets that have ended); the live edges at a slide
+are the same.  Time is the edges' own, or the clock's.
 """
 
 from __future__ import annotations
@@ -15,62 +18,107 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tideweave.operators.partitioning import owner
 
-OUT = "partition_id int, at timestamp, added long, removed long, live long"
+OUT = "partition_id int, slice int, at timestamp, added long, removed long, live long"
+SLICES = 16
 
 
 class AdjacencyState(StatefulProcessor):
     """Adds edges, purges buckets at their end, reports sizes."""
 
-    def __init__(self, window_ms: int, bucket_ms: int) -> None:
-        self.window_ms, self.bucket_ms = window_ms, bucket_ms
+    def __init__(self, window_ms: int, bucket_ms: int, slide_ms: int | None = None, clock: bool = False) -> None:
+        self.window_ms, self.bucket_ms, self.slide_ms, self.clock = window_ms, bucket_ms, slide_ms, clock
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.edges = handle.getMapState("edges", "src long, dst long", "valid_to long")
+        self.leaving = handle.getMapState("leaving", "at long, n long", "src long, dst long")
+        self.counts = handle.getMapState("counts", "at long", "n long")
         self.size = handle.getValueState("size", "live long")
 
     def _live(self) -> int:
         return self.size.get()[0] if self.size.exists() else 0
 
+    def _timer(self, end: int) -> int:
+        return end if self.slide_ms is None else -(-end // self.slide_ms) * self.slide_ms
+
+    def _row(self, key, ms: int, added: int, removed: int, live: int) -> pd.DataFrame:
+        row = (key[0], key[1], pd.Timestamp(ms, unit="ms"), added, removed, live)
+        return pd.DataFrame([row], columns=["partition_id", "slice", "at", "added", "removed", "live"])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         added, live, last = 0, self._live(), 0
+        now = timerValues.getCurrentProcessingTimeInMs() if self.clock else None
+        ends: dict[tuple[int, int], int] = {}
         for part in rows:
             for src, dst, ms in zip(part["src"], part["dst"], part["ms"], strict=True):
-                end = (int(ms) // self.bucket_ms + 1) * self.bucket_ms + self.window_ms
+                ms = int(ms) if now is None else now
+                end = (ms // self.bucket_ms + 1) * self.bucket_ms + self.window_ms
                 k = (int(src), int(dst))
-                held = self.edges.getValue(k) if self.edges.containsKey(k) else None
-                if held is None:
-                    live += 1
-                    added += 1
-                if held is None or held[0] < end:
-                    self.edges.updateValue(k, (end,))
-                    self.handle.registerTimer(end)
-                last = max(last, int(ms))
+                ends[k] = max(end, ends.get(k, 0))
+                last = max(last, ms)
+        counts: dict[int, int] = {}
+        for k, end in ends.items():
+            held = self.edges.getValue(k) if self.edges.containsKey(k) else None
+            if held is None:
+                live += 1
+                added += 1
+            if held is None or held[0] < end:
+                self.edges.updateValue(k, (end,))
+                if end not in counts:
+                    counts[end] = self.counts.getValue((end,))[0] if self.counts.containsKey((end,)) else 0
+                    self.handle.registerTimer(self._timer(end))
+                self.leaving.updateValue((end, counts[end]), k)
+                counts[end] += 1
+        for end, n in counts.items():
+            self.counts.updateValue((end,), (n,))
         self.size.update((live,))
-        yield pd.DataFrame(
-            {"partition_id": [key[0]], "at": [pd.Timestamp(last, unit="ms")], "added": [added], "removed": [0], "live": [live]}
-        )
+        yield self._row(key, last, added, 0, live)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = expiredTimerInfo.getExpiryTimeInMs()
-        ended = [k for k, (end,) in self.edges.iterator() if end <= now]
-        for k in ended:
-            self.edges.removeKey(k)
-        live = self._live() - len(ended)
+        removed = 0
+        for end, n in [(k[0], v[0]) for k, v in self.counts.iterator() if k[0] <= now]:
+            for i in range(n):
+                k = tuple(self.leaving.getValue((end, i)))
+                self.leaving.removeKey((end, i))
+                # An edge that came again stands in a later bucket too.
+                if self.edges.containsKey(k) and self.edges.getValue(k)[0] <= now:
+                    self.edges.removeKey(k)
+                    removed += 1
+            self.counts.removeKey((end,))
+        live = self._live() - removed
         self.size.update((live,))
-        yield pd.DataFrame(
-            {"partition_id": [key[0]], "at": [pd.Timestamp(now, unit="ms")], "added": [0], "removed": [len(ended)], "live": [live]}
-        )
+        yield self._row(key, now, 0, removed, live)
 
     def close(self) -> None:
         pass
 
 
-def stream_adjacency(edges: DataFrame, window_ms: int, bucket_ms: int, parts: int = 4) -> DataFrame:
-    """State changes of a watermarked edge stream; needs the RocksDB state store."""
+def stream_adjacency(
+    edges: DataFrame,
+    window_ms: int,
+    bucket_ms: int,
+    parts: int = 4,
+    slices: int = SLICES,
+    lazy_slide_ms: int | None = None,
+    clock: bool = False,
+) -> DataFrame:
+    """State changes of a watermarked edge stream; needs the RocksDB state store.
+
+    ``lazy_slide_ms`` purges once per slide; ``clock`` takes the processing
+    time instead of the edges' own, then no watermark is needed.
+    """
     rows = edges.select(
-        owner(F.col("src"), parts).alias("partition_id"), "src", "dst", "valid_from", F.unix_millis("valid_from").alias("ms")
+        owner(F.col("src"), parts).alias("partition_id"),
+        F.pmod(F.xxhash64("src"), F.lit(slices)).cast("int").alias("slice"),
+        "src",
+        "dst",
+        "valid_from",
+        F.unix_millis("valid_from").alias("ms"),
     )
-    return rows.groupBy("partition_id").transformWithStateInPandas(
-        statefulProcessor=AdjacencyState(window_ms, bucket_ms), outputStructType=OUT, outputMode="Update", timeMode="EventTime"
+    return rows.groupBy("partition_id", "slice").transformWithStateInPandas(
+        statefulProcessor=AdjacencyState(window_ms, bucket_ms, lazy_slide_ms, clock),
+        outputStructType=OUT,
+        outputMode="Update",
+        timeMode="ProcessingTime" if clock else "EventTime",
     )

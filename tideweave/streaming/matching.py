@@ -14,8 +14,34 @@ from tideweave.operators.sequential import Matching
 OUT = "key int, seq long, op string, src long, dst long, weight long"
 
 
+class HeldEdges(dict):
+    """Matched edges by vertex, read from state when first asked for."""
+
+    def __init__(self, state) -> None:
+        super().__init__()
+        self.state, self.read = state, {}
+
+    def __contains__(self, vertex: int) -> bool:
+        if vertex not in self.read:
+            held = tuple(self.state.getValue((vertex,))) if self.state.containsKey((vertex,)) else None
+            self.read[vertex] = held
+            if held is not None:
+                self[vertex] = held
+        return dict.__contains__(self, vertex)
+
+    def write(self) -> None:
+        """Bring the changes into state; every vertex touched has been read."""
+        for vertex in {*self.read, *self}:
+            new = self.get(vertex)
+            if new is None:
+                if self.read[vertex] is not None:
+                    self.state.removeKey((vertex,))
+            elif self.read.get(vertex) != new:
+                self.state.updateValue((int(vertex),), tuple(int(x) for x in new))
+
+
 class MatchingState(StatefulProcessor):
-    """Edges of a micro-batch are taken in order of arrival."""
+    """Edges of a micro-batch are taken in order of arrival; only their vertices' state is read."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.edges = handle.getMapState("edges", "vertex long", "src long, dst long, weight long")
@@ -24,18 +50,13 @@ class MatchingState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         batch = pd.concat(list(rows)).sort_values(["valid_from", "edge_id"], kind="stable")
         matching, n = Matching(), self.seq.get()[0] if self.seq.exists() else 0
-        held = {k[0]: tuple(v) for k, v in self.edges.iterator()}
-        matching.edge = dict(held)
+        matching.edge = HeldEdges(self.edges)
         out = []
         for r in batch.itertuples(index=False):
-            for event in matching.add(r.src, r.dst, r.weight):
+            for event in matching.add(int(r.src), int(r.dst), int(r.weight)):
                 out.append((key[0], n, *event))
                 n += 1
-        for vertex in held.keys() - matching.edge.keys():
-            self.edges.removeKey((vertex,))
-        for vertex, edge in matching.edge.items():
-            if held.get(vertex) != edge:
-                self.edges.updateValue((int(vertex),), tuple(int(x) for x in edge))
+        matching.edge.write()
         self.seq.update((n,))
         yield pd.DataFrame(out, columns=["key", "seq", "op", "src", "dst", "weight"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tideweave.plans.lineage import made_path
@@ -9,6 +12,18 @@ from tideweave.plans.lineage import made_path
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that operators with several state variables need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> tuple[DataFrame, str]:
     """Run what is available; returns the result table and the checkpoint's path.
 
