@@ -19,7 +19,6 @@ from tideweave.plans.lineage import made_path
 from tideweave.sources import edges as sources
 from tideweave.sources import files
 from tideweave.sources.throttled import first_part, throttled_adjacency
-from tideweave.streaming.live_state import stream_adjacency
 from tideweave.streaming.matching import stream_matching
 from tideweave.streaming.runs import read_state, rocksdb, run_to_table
 
@@ -899,28 +898,30 @@ def stream_matching_events(spark, sf_dir):
     return events.drop("key")
 
 
-_DAY = 86_400_000
 #: An edge leaves three days after the end of its day, once the watermark has passed that.
-_LEAVING = f"""with {E}, p as (select src, dst, max(cast(date_trunc('day', ts) as timestamp)) + interval 4 day as ends from e group by 1, 2)
-    select cast(src % 4 as integer) as partition_id, count(*) as added,
-        count(*) filter (where ends <= (select max(ts) - interval 1 day from e)) as removed from p group by 1"""
+_LEAVING = f"""with {E}, p as (select src, dst, max(cast(date_trunc('day', ts) as timestamp)) + interval 4 day as ends from e group by 1, 2),
+    w as (select max(ts) - interval 1 day as mark from e)
+    select cast(src % 4 as integer) as partition_id, count(*) as added, count(*) filter (where {{left}}) as removed
+    from p, w group by 1"""
 
 
-def _purged(spark: SparkSession, sf_dir: str, lazy_slide_ms: int | None) -> DataFrame:
+def _purged(spark: SparkSession, sf_dir: str, lazy: bool) -> DataFrame:
     edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    state = GraphState(_edges(spark, sf_dir), "3 days", "1 day", parts=PARTS, lazy_purge=lazy)
     with rocksdb(spark):
-        rows, _ = run_to_table(stream_adjacency(edges, 3 * _DAY, _DAY, PARTS, lazy_slide_ms=lazy_slide_ms), "update", "adjacency")
+        rows, _ = run_to_table(state.purging(edges), "update", "adjacency")
     return rows.groupBy("partition_id").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"))
 
 
-@query(_LEAVING)
+@query(_LEAVING.format(left="ends <= mark"))
 def stream_active_purge(spark, sf_dir):
-    return _purged(spark, sf_dir, None)
+    return _purged(spark, sf_dir, False)
 
 
-@query(_LEAVING)
+#: Lazily an edge waits for the next multiple of three days.
+@query(_LEAVING.format(left="epoch_ms(cast(ceil(epoch_ms(ends) / 259200000.0) as bigint) * 259200000) <= mark"))
 def stream_lazy_purge(spark, sf_dir):
-    return _purged(spark, sf_dir, _DAY)
+    return _purged(spark, sf_dir, True)
 
 
 @query(f"with {E} select src, dst, 1 as batches from e group by src, dst, id")

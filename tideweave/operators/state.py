@@ -5,7 +5,7 @@ t in steps of the slide.  Layouts: ``EL`` keeps edges, ``sortedEL`` edges by
 source, ``AL`` adjacency without repeats.  How state was fetched in older
 designs (per edge, vertex or partition) is a physical matter that the optimizer
 settles; those names are accepted and give the same rows.  Active and lazy
-purging differ on streams only (:mod:`tideweave.streaming.live_state`).
+purging differ on streams only (:meth:`GraphState.purging`).
 
 An algorithm runs coupled, over the live edges themselves, or decoupled: the
 state is then a table of its own, and control rows, one per fire and partition,
@@ -29,6 +29,16 @@ LAYOUTS = ("EL", "sortedEL", "AL")
 GRANULARITIES = ("edge", "vertex", "state")
 
 
+#: Units of window sizes, in milliseconds.
+UNITS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
+
+
+def milliseconds(size: str) -> int:
+    """A window size like ``3 days``."""
+    number, unit = size.split()
+    return int(number) * UNITS[unit.removesuffix("s")]
+
+
 @dataclass(frozen=True)
 class GraphState:
     """The live edges of every fire; ``slide`` of None is one fire over all."""
@@ -38,6 +48,7 @@ class GraphState:
     slide: str | None = None
     layout: str = "AL"
     parts: int = 4
+    lazy_purge: bool = False
     granularity: str = "state"
     decoupled: bool = False
 
@@ -97,6 +108,17 @@ class GraphState:
         same = (table["partition_id"] == asked["partition_id"]) & table["fire"].eqNullSafe(asked["fire"])
         return algorithm(table.join(asked, same, "left_semi"))
 
+    def purging(self, edges: DataFrame) -> DataFrame:
+        """Changes of this state over a watermarked stream of edges: added, removed, live.
+
+        Edges leave at the end of their slide's window, each slide apart, or
+        with ``lazy_purge`` all that have ended at the end of a window.
+        """
+        from tideweave.streaming.live_state import stream_adjacency
+
+        size, slide = milliseconds(self.size), milliseconds(self.slide or self.size)
+        return stream_adjacency(edges, size, slide, self.parts, lazy_slide_ms=size if self.lazy_purge else None)
+
     def size_per_partition(self) -> DataFrame:
         """``(fire, partition_id, n_entries)``."""
         return self.live().groupBy("fire", "partition_id").agg(F.count("*").alias("n_entries"))
