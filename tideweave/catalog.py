@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideweave.functions.ids import as_text, hex_of_vertex, vertex_of_hex
 from tideweave.functions.ids import shared_neighbours as shared_count
 from tideweave.functions.properties import from_json_text, get_property, set_property
-from tideweave.model import ARRIVAL, TemporalGraph
+from tideweave.model import ARRIVAL, TemporalGraph, edges_of
 from tideweave.operators import bipartite, components, metrics, partitioning, sequential, summaries, transforms
 from tideweave.operators import triangles as tri
 from tideweave.operators.snapshots import Snapshot
@@ -19,8 +19,9 @@ from tideweave.plans.lineage import made_path
 from tideweave.sources import edges as sources
 from tideweave.sources import files
 from tideweave.sources.throttled import first_part, throttled_adjacency
+from tideweave.streaming.live_state import stream_adjacency
 from tideweave.streaming.matching import stream_matching
-from tideweave.streaming.runs import read_state, rocksdb, run_to_table
+from tideweave.streaming.runs import read_state, rocksdb, run_to_table, run_until
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -924,6 +925,35 @@ def stream_lazy_purge(spark, sf_dir):
     return _purged(spark, sf_dir, True)
 
 
+@query(f"""with {E} select cast(src % 4 as integer) as partition_id, count(*) as added, count(*) as removed
+    from (select distinct src, dst from e) group by 1""")
+def stream_clock_purge(spark, sf_dir):
+    """By the clock: every edge enters now and has left a few seconds later."""
+    edges = sources.stream_event_edges(spark, f"{sf_dir}/events.parquet")
+    total = [F.sum("added").alias("added"), F.sum("removed").alias("removed")]
+
+    def gone(rows: DataFrame) -> bool:
+        seen = rows.agg(*total).first()
+        return bool(seen["added"]) and seen["added"] == seen["removed"]
+
+    with rocksdb(spark):
+        rows = run_until(stream_adjacency(edges, 1000, 1000, PARTS, slices=1, clock=True), gone)
+    return rows.groupBy("partition_id").agg(*total)
+
+
+#: The small graph of the legacy tests.
+SMALL = [(1, 2, 12.0), (1, 3, 13.0), (2, 3, 23.0), (3, 4, 34.0), (3, 5, 35.0), (4, 5, 45.0), (5, 1, 51.0)]
+
+
+@query(f"""with e(src, dst, value) as (values {", ".join(map(str, SMALL))}),
+    n as (select src as vertex, value from e union all select dst, value from e)
+    select cast(vertex as bigint) as vertex, count(*) as degree, cast(sum(value) as double) as total from n group by 1""")
+def in_memory_edges(spark, sf_dir):
+    edges = edges_of(spark.createDataFrame(SMALL, "src long, dst long, value double"))
+    ends = transforms.endpoints(edges)
+    return ends.groupBy("vertex").agg(F.count("*").alias("degree"), F.sum("value").alias("total"))
+
+
 @query(f"with {E} select src, dst, 1 as batches from e group by src, dst, id")
 def ingestion_time(spark, sf_dir):
     """A batch's edges share the time of their ingestion, so they fall into one window."""

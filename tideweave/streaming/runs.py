@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +49,33 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
     return spark.read.schema(schema).parquet(out), checkpoint
 
 
+def run_until(stream: DataFrame, enough: Callable[[DataFrame], bool], name: str = "clock", seconds: float = 120.0) -> DataFrame:
+    """Run by the clock until the rows so far are ``enough``; returns them.
+
+    For processing-time operators, which have no end of their own: timers go on
+    after the last input.  Stops with an error after ``seconds``.
+    """
+    spark = stream.sparkSession
+    root = made_path(spark, name)
+    out, checkpoint = f"{root}/out", f"{root}/checkpoint"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("append").parquet(out)
+
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    query = writer.foreachBatch(keep).trigger(processingTime="1 second").start()
+    rows = spark.read.schema(stream.schema)
+    until = time.monotonic() + seconds
+    try:
+        while query.lastProgress is None or not enough(rows.parquet(out)):
+            if query.exception() is not None or time.monotonic() > until:
+                raise TimeoutError(f"{name} has not come to its end: {query.exception()}")
+            time.sleep(1)
+    finally:
+        query.stop()
+    return rows.parquet(out)
+
+
 def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
     """A stopped or running stream's state as a table."""
     reader = spark.read.format("statestore")
