@@ -108,7 +108,7 @@ MOST_LANDMARK = 5.0
 MOST_TEXT = 2.5
 #: Capacity between neighbours under one parent, and its share where only one is in boilerplate by landmarks.
 SMOOTHNESS = 1.6
-CONTRAST = 0.2
+CONTRAST = 0.1
 SCALE = 1000
 
 
