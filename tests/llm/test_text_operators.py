@@ -539,7 +539,7 @@ def test_long_values_end(spark):
         "x" * 10_000 + "@example.org",
         "1" * 10_000,
         "4111 1111 1111 1111 " * 500,
-        "1 " * 20_000,
+        "1 " * 50_000,
         "DE89 3704 0044 0532 0130 00 " * 500,
     ]
     began = time.perf_counter()

@@ -345,7 +345,7 @@ def card_runs(start: int, found: str) -> list[tuple[int, int]]:
     spans = []
     for i, first in enumerate(groups):
         digits = ""
-        for last in groups[i:]:
+        for last in groups[i : i + 34]:  # no value has more groups
             digits += last[0]
             if len(digits) > 19:
                 break
@@ -362,7 +362,7 @@ def iban_runs(start: int, found: str) -> list[tuple[int, int]]:
         if not re.match(r"[A-Z]{2}[0-9]{2}", first[0]):
             continue
         plain = ""
-        for last in groups[i:]:
+        for last in groups[i : i + 34]:  # no value has more groups
             plain += last[0]
             if len(plain) > 34:
                 break
