@@ -84,7 +84,8 @@ def drop_made(spark: SparkSession, before: list[str] = (), keep: DataFrame | Non
     """Delete all made paths but those in ``before`` and the table ``keep``.
 
     For callers who have read or written what they wanted: results that are
-    still to be computed from a dropped table fail.
+    still to be computed from a dropped table fail, also those that other
+    threads of this process have begun since ``before``.
     """
     kept = {*before, getattr(keep, "_stashed_at", None)}
     for path in [p for p in _MADE if p not in kept]:
