@@ -218,5 +218,20 @@ def test_matching_runs_components_apart(spark):
     state, want = sequential.Matching(), []
     for _, s, d, w in rows:
         want += state.add(s, d, int(w))
-    got = sequential.weighted_matching_events(df, F.col("value")).orderBy("seq").collect()
-    assert [(r.op, r.src, r.dst, r.weight) for r in got] == want and [r.seq for r in got] == list(range(len(want)))
+    for task_rows in (0, 1000):
+        got = sequential.weighted_matching_events(df, F.col("value"), task_rows).orderBy("seq").collect()
+        assert [(r.op, r.src, r.dst, r.weight) for r in got] == want and [r.seq for r in got] == list(range(len(want)))
+
+
+@events_only
+@pytest.mark.parametrize("task_rows", [0, 9, 1_000_000])
+def test_hubs_are_summed_by_grains(spark, task_rows):
+    ends = transforms.endpoints(sources.event_edges(spark, SF)).select("edge_id", "vertex", "side", "valid_from")
+    ends = ends.unionAll(ends.where("edge_id < 5").withColumn("vertex", F.lit(None).cast("long")))
+    order = ("valid_from", "edge_id", "side")
+    got = metrics.running_total(ends, F.lit(1), order, "n", by=("vertex",), task_rows=task_rows).collect()
+    rows = sorted(ends.collect(), key=lambda r: (r.valid_from, r.edge_id, r.side))
+    seen, want = {}, {}
+    for r in rows:
+        seen[r.vertex] = want[r.edge_id, r.vertex, r.side] = seen.get(r.vertex, 0) + 1
+    assert len(got) == len(rows) and {(r.edge_id, r.vertex, r.side): r.n for r in got} == want

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tideweave.model import ARRIVAL
 from tideweave.operators.transforms import endpoints
+from tideweave.plans.lineage import stash
 
 
 def vertices(edges: DataFrame) -> DataFrame:
@@ -32,6 +33,10 @@ def running_degrees(edges: DataFrame, direction: str = "all") -> DataFrame:
     return done.select("edge_id", "vertex", "side", "degree")
 
 
+#: Rows of a key that one task orders at most.
+TASK_ROWS = 1_000_000
+
+
 def running_total(
     rows: DataFrame,
     amount: Column,
@@ -39,13 +44,34 @@ def running_total(
     alias: str = "total",
     by: tuple[str, ...] = (),
     grain: str = "hour",
+    task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """``rows`` with the sum of ``amount`` up to each in the order given, per ``by``.
 
-    Rows are summed per key and ``grain`` of time first; the running sum of the
-    grains is one small row each, and within a grain a window orders only its
-    own rows.  ``grain`` is what ``date_trunc`` takes: one whose rows fit a task.
+    Keys of up to ``task_rows`` rows are windows of their own.  Rows of larger
+    ones, or of the whole table, are summed per key and ``grain`` of time first;
+    the running sum of the grains is one small row each, and within a grain a
+    window orders only its own rows.  ``grain`` is what ``date_trunc`` takes:
+    one whose rows fit a task.
     """
+    if not by:
+        return _by_grains(rows, amount, order, alias, by, grain)
+    keys = [F.col(c).alias(f"__key_{c}") for c in by]
+    hubs = stash(rows.groupBy(*keys).count().where(F.col("count") > task_rows).drop("count"), "hubs")
+    own = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(amount.cast("long")).over(own)
+    if hubs.isEmpty():
+        return rows.withColumn(alias, total)
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"__key_{c}"))
+    light = rows.join(hubs, same, "left_anti").withColumn(alias, total)
+    return light.unionByName(_by_grains(rows.join(hubs, same, "left_semi"), amount, order, alias, by, grain))
+
+
+def _by_grains(
+    rows: DataFrame, amount: Column, order: tuple[str, ...], alias: str, by: tuple[str, ...], grain: str
+) -> DataFrame:
     at = F.date_trunc(grain, F.col(order[0])).cast("timestamp_ntz")
     part = rows.withColumns({"__h": F.coalesce(at, F.lit("0001-01-01").cast("timestamp_ntz")), "__x": amount.cast("long")})
     sums = part.groupBy(*by, "__h").agg(F.sum("__x").alias("__s"))
