@@ -57,11 +57,12 @@ def running_total(
     if not by:
         return _by_grains(rows, amount, order, alias, by, grain)
     keys = [F.col(c).alias(f"__key_{c}") for c in by]
-    hubs = stash(rows.groupBy(*keys).count().where(F.col("count") > task_rows).drop("count"), "hubs")
+    sizes = rows.groupBy(*keys).count()
     own = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     total = F.sum(amount.cast("long")).over(own)
-    if hubs.isEmpty():
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= task_rows:
         return rows.withColumn(alias, total)
+    hubs = stash(sizes.where(F.col("count") > task_rows).drop("count"), "hubs")
     same = F.lit(True)
     for c in by:
         same &= F.col(c).eqNullSafe(F.col(f"__key_{c}"))
