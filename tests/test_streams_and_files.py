@@ -127,6 +127,22 @@ def test_throttled_source(spark, tmp_path):
     assert rows == [(i, [i + 1, i + 2]) for i in range(25)]
 
 
+def test_throttled_source_to_its_end(spark, tmp_path):
+    """More lines than a batch takes, and over a block's border; a restart goes on where it stopped."""
+    from tideweave.sources.throttled import ReplayReader, throttled_adjacency
+
+    path = tmp_path / "al.txt"
+    path.write_text("# über\n" + "".join(f"{i}:[{i + 1}, {i + 2}]\n" for i in range(70)) + f"70:[{'7, ' * 400_000}7]")
+    rows, _ = run_to_table(throttled_adjacency(spark, str(path), 20), name="replay", throttled=True)
+    got = sorted((r.line, r.src, r.n) for r in rows.select("line", "src", F.size("nbrs").alias("n")).collect())
+    assert got == [(i + 1, i, 2 if i < 70 else 400_001) for i in range(71)]
+    reader, again = (ReplayReader({"path": str(path), "linesPerBatch": "20"}) for _ in range(2))
+    offsets = [reader.initialOffset()] + [reader.latestOffset() for _ in range(5)]
+    assert [o["line"] for o in offsets] == [0, 20, 40, 60, 72, 72]
+    (part,) = again.partitions(*offsets[1:3])
+    assert [k for k, _ in again.read(part)] == list(range(20, 40)) and again.latestOffset() == offsets[3]
+
+
 def test_numbered_edges(spark, tmp_path):
     folder = tmp_path / "parts"
     folder.mkdir()

@@ -857,7 +857,7 @@ def throttled_stream(spark, sf_dir):
     path = made_path(spark, "replay")
     files.write_adjacency(files.adjacency_rows(_edges(spark, sf_dir)).coalesce(1), path)
     stream = throttled_adjacency(spark, first_part(spark, path), 500)
-    rows, _ = run_to_table(stream.select("src", F.explode("nbrs").alias("dst")), name="throttled")
+    rows, _ = run_to_table(stream.select("src", F.explode("nbrs").alias("dst")), name="throttled", throttled=True)
     return rows
 
 

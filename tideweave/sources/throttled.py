@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,48 +17,54 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class Lines(InputPartition):
-    def __init__(self, start: int, end: int) -> None:
+    def __init__(self, start: dict, end: dict) -> None:
         self.start, self.end = start, end
 
 
 class ReplayReader(DataSourceStreamReader):
-    """Each batch takes the next ``linesPerBatch`` lines; offsets are line numbers."""
+    """Each batch takes the next ``linesPerBatch`` lines.
+
+    Offsets are line numbers with the byte that the line begins at, so a batch
+    reads its own lines and none before them.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.step = int(options.get("linesperbatch", options.get("linesPerBatch", "1000")))
-        self.at = 0
-        self.total: int | None = None
+        self.at = self.initialOffset()
 
-    def _lines(self) -> Iterator[str]:
+    def _lines(self, start: int) -> Iterator[tuple[str, int]]:
+        """The lines from a byte on, each with the byte after it."""
         store, path = _open(self.path)
-        with store.open_input_stream(path) as f:
+        with store.open_input_file(path) as f:
+            f.seek(start)
             rest = b""
             while block := f.read(1 << 20):
                 *whole, rest = (rest + block).split(b"\n")
-                yield from (line.decode("utf-8", "replace") for line in whole)
+                for line in whole:
+                    start += len(line) + 1
+                    yield line.decode("utf-8", "replace"), start
             if rest:
-                yield rest.decode("utf-8", "replace")
+                yield rest.decode("utf-8", "replace"), start + len(rest)
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"line": 0}
+        return {"line": 0, "byte": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        if self.total is None:
-            self.total = sum(1 for _ in self._lines())
-        self.at = min(self.total, self.at + self.step)
-        return {"line": self.at}
+        line, byte = self.at["line"], self.at["byte"]
+        for _, byte in islice(self._lines(byte), self.step):
+            line += 1
+        self.at = {"line": line, "byte": byte}
+        return self.at
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        self.at = max(self.at, end["line"])
-        return [Lines(start["line"], end["line"])]
+        self.at = max(self.at, end, key=lambda offset: offset["line"])
+        return [Lines(start, end)]
 
     def read(self, partition: Lines) -> Iterator[tuple[int, str]]:
-        for k, line in enumerate(self._lines()):
-            if k >= partition.end:
-                return
-            if k >= partition.start:
-                yield k, line
+        first, last = partition.start["line"], partition.end["line"]
+        for k, (line, _) in enumerate(islice(self._lines(partition.start["byte"]), last - first), first):
+            yield k, line
 
     def commit(self, end: dict) -> None:
         pass

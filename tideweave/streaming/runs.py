@@ -25,16 +25,21 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream") -> tuple[DataFrame, str]:
+def run_to_table(
+    stream: DataFrame, mode: str = "append", name: str = "stream", throttled: bool = False
+) -> tuple[DataFrame, str]:
     """Run what is available; returns the result table and the checkpoint's path.
 
     Append results go to Parquet, update and complete ones are kept per batch
-    with the column ``batch_id``.
+    with the column ``batch_id``.  A source that is ``throttled`` by itself
+    tells no more than the end of its next batch, where the available-now
+    trigger would stop; it is run until it has nothing new.
     """
     spark = stream.sparkSession
     root = made_path(spark, name)
     out, checkpoint = f"{root}/out", f"{root}/checkpoint"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = writer if throttled else writer.trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
         schema = stream.schema
@@ -45,7 +50,10 @@ def run_to_table(stream: DataFrame, mode: str = "append", name: str = "stream")
 
         query = writer.foreachBatch(keep).start()
         schema = stream.schema.add("batch_id", "long")
-    query.awaitTermination()
+    try:
+        query.processAllAvailable() if throttled else query.awaitTermination()
+    finally:
+        query.stop()
     return spark.read.schema(schema).parquet(out), checkpoint
 
 
