@@ -263,3 +263,20 @@ def test_changes_only(spark):
     df = df.withColumn("valid_from", F.timestamp_millis("ms").cast("timestamp_ntz")).drop("ms")
     got = sorted(r.edge_id for r in metrics.changes_only(df, "x", ("valid_from", "edge_id")).collect())
     assert got == [i for i in range(60) if i == 0 or rows[i][2] != rows[i - 1][2]]
+
+
+def test_shared_neighbours_of_edges(spark):
+    """Loops, repeats, reversed edges and null ends; a hub's neighbours don't move to its edges."""
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(30), rnd.randrange(12)) for _ in range(150)] + [(1, 1), (1, 1), (40, 40), (2, None), (None, 3), (None, None)]
+    edges = edges_of(spark.createDataFrame(rows, "src long, dst long"))
+    near = {}
+    for a, b in rows:
+        if a is not None and b is not None:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {(a, b): len(near.get(a, set()) & near.get(b, set())) if None not in (a, b) else 0 for a, b in rows}
+    done = tri.shared_neighbours(edges)
+    got = done.collect()
+    assert len(got) == len(want) and {(r.src, r.dst): r.shared for r in got} == want
+    assert "collect_" not in done._jdf.queryExecution().optimizedPlan().toString()

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideweave.functions.ids import as_text, hex_of_vertex, vertex_of_hex
-from tideweave.functions.ids import shared_neighbours as shared_count
 from tideweave.functions.properties import from_json_text, get_property, set_property
 from tideweave.model import ARRIVAL, TemporalGraph, edges_of
 from tideweave.operators import bipartite, components, metrics, partitioning, sequential, summaries, transforms
@@ -222,11 +221,7 @@ def hex_ids(spark, sf_dir):
     from (select distinct src, dst from e) p left join b x on x.a = p.src left join b y on y.a = p.dst and y.b = x.b
     group by p.src, p.dst""")
 def shared_neighbours(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    near = metrics.neighborhoods(edges, "all")
-    pairs = edges.select("src", "dst").distinct()
-    pairs = pairs.join(near.toDF("src", "x"), "src").join(near.toDF("dst", "y"), "dst")
-    return pairs.select("src", "dst", shared_count(F.col("x"), F.col("y")).cast("long").alias("shared"))
+    return tri.shared_neighbours(_edges(spark, sf_dir))
 
 
 @query(f"""with {E}, {ENDS} select vertex, max(value) as largest, min(other) as nearest, count(distinct other) as others

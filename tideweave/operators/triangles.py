@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideweave.model import ARRIVAL
 from tideweave.operators.metrics import running_total
-from tideweave.operators.transforms import simple_edges
+from tideweave.operators.transforms import endpoints, simple_edges
 
 
 def oriented(simple: DataFrame, *keys: str) -> DataFrame:
@@ -93,6 +93,33 @@ def triangles_per_partition(edges: DataFrame, owner: Column, alias: str = "parti
     return smallest.groupBy(owner.alias(alias)).agg(F.count("*").alias("triangles"))
 
 
+def triangles_per_edge(edges: DataFrame) -> DataFrame:
+    """``(lo, hi, t)``: the triangles on each simple edge that has any."""
+    sides = F.array(*(F.struct(F.col(x).alias("lo"), F.col(y).alias("hi")) for x, y in ("ab", "ac", "bc")))
+    per_edge = triangles(edges).select(F.explode(sides).alias("e")).groupBy("e.lo", "e.hi")
+    return per_edge.agg(F.count("*").alias("t"))
+
+
+def shared_neighbours(edges: DataFrame) -> DataFrame:
+    """``(src, dst, shared)``: how many neighbours the ends of each distinct edge share.
+
+    Counted from the triangles on the edge, so a hub's neighbours are never
+    moved to each of its edges.  A loop makes a vertex its own neighbour: it
+    adds one for either end that has one, and on the loop itself all
+    neighbours are shared.
+    """
+    pairs = edges.select("src", "dst").distinct()
+    pairs = pairs.withColumns({"lo": F.least("src", "dst"), "hi": F.greatest("src", "dst")})
+    ends = endpoints(pairs.select("src", "dst")).where("other is not null")
+    near = ends.join(pairs.where("src = dst").select(F.col("src").alias("vertex")), "vertex", "left_semi")
+    near = near.groupBy("vertex").agg(F.count_distinct("other").alias("d"))
+    rows = pairs.join(triangles_per_edge(pairs), ["lo", "hi"], "left")
+    rows = rows.join(near.toDF("src", "ds"), "src", "left").join(near.toDF("dst", "dd"), "dst", "left")
+    loops = F.col("ds").isNotNull().cast("long") + F.col("dd").isNotNull().cast("long")
+    apart = F.when(F.col("src") != F.col("dst"), F.coalesce("t", F.lit(0)) + loops).otherwise(F.lit(0))
+    return rows.select("src", "dst", F.when(F.col("src") == F.col("dst"), F.col("ds")).otherwise(apart).alias("shared"))
+
+
 def closing_probability(shared: Column, du: Column, dv: Column) -> Column:
     """What one sampled edge contributes: ``|N(u) & N(v)| d(u) d(v) / (3 (d(u) + d(v)))``."""
     return shared * du * dv / (3.0 * (du + dv))
@@ -112,9 +139,7 @@ def sampled_edges(edges: DataFrame, keep_loops: bool = False) -> DataFrame:
     degree = adj.groupBy("u").agg(
         F.count("*").cast("double").alias("du"), F.max((F.col("u") == F.col("v")).cast("double")).alias("lu")
     )
-    sides = F.array(*(F.struct(F.col(x).alias("lo"), F.col(y).alias("hi")) for x, y in ("ab", "ac", "bc")))
-    per_edge = triangles(edges).select(F.explode(sides).alias("e")).groupBy("e.lo", "e.hi")
-    per_edge = per_edge.agg(F.count("*").cast("double").alias("t"))
+    per_edge = triangles_per_edge(edges).withColumn("t", F.col("t").cast("double"))
     rows = adj.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).join(per_edge, ["lo", "hi"], "left")
     rows = rows.join(degree, "u").join(degree.toDF("v", "dv", "lv"), "v")
     shared = F.when(F.col("u") == F.col("v"), F.col("du")).otherwise(
