@@ -183,6 +183,64 @@ def test_decoupled_state_and_modes(spark):
             wrong()
 
 
+@pytest.mark.parametrize("slide", [None, 7])
+def test_adjacency_state_moves_blocks(slide):
+    """Far fewer calls of the state store than edges, and the live edges of a plain dictionary."""
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from tideweave.streaming.live_state import AdjacencyState
+
+    calls, timers = [0], set()
+
+    class Held(dict):
+        def counted(self, out=None):
+            calls[0] += 1
+            return out
+
+        def getValue(self, k):  # noqa: N802
+            return self.counted(self.get(k))
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.counted(self.__setitem__(k, v))
+
+        def removeKey(self, k):  # noqa: N802
+            self.counted(self.pop(k, None))
+
+        def containsKey(self, k):  # noqa: N802
+            return self.counted(k in self)
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    one = Held()
+    size = SimpleNamespace(exists=lambda: 0 in one, get=lambda: one[0], update=lambda v: one.__setitem__(0, v))
+    state = AdjacencyState(3, 2, slide)
+    maps = lambda *_: Held()
+    state.init(SimpleNamespace(getMapState=maps, getValueState=lambda *_: size, registerTimer=timers.add))
+    rnd, want, n = random.Random(5), {}, 0
+    for batch in range(6):
+        rows = [(rnd.randrange(-900, 900), rnd.randrange(9), rnd.randrange(4 * batch, 4 * batch + 9)) for _ in range(4000)]
+        n += len(rows)
+        before = len(want)
+        for src, dst, ms in rows:
+            want[src, dst] = max(want.get((src, dst), 0), (ms // 2 + 1) * 2 + 3)
+        parts = [pd.DataFrame(rows[i : i + 1500], columns=["src", "dst", "ms"]) for i in range(0, 4000, 1500)]
+        (out,) = state.handleInputRows((0, 0), iter(parts), None)
+        assert out["added"][0] == len(want) - before and out["live"][0] == len(want)
+        for at in sorted(t for t in timers if t <= 4 * batch + 3):
+            timers.remove(at)
+            before = len(want)
+            want = {k: end for k, end in want.items() if end > at}
+            (out,) = state.handleExpiredTimer((0, 0), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+            assert out["removed"][0] == before - len(want) and out["live"][0] == len(want)
+    assert calls[0] < n / 2
+    held = [((s, d), e) for block in state.edges.values() for s, d, e in zip(*block, strict=True)]
+    assert len(held) == len(want) > 0 and dict(held) == want
+
+
 @events_only
 def test_processing_time_purges_by_the_clock(spark, tmp_path):
     stream = sources.stream_event_edges(spark, f"{SF}/events.parquet")

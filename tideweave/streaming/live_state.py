@@ -1,16 +1,19 @@
 """Adjacency state of a stream, with edges leaving when their window ends.
 
-State is kept per owner partition and slice of its sources: a map from (src,
-dst) to the end of its window, and for each end the edges that leave then, so a
-purge reads those alone.  Purging is active (a timer per time bucket) or lazy (a
-timer per slide purges all buckets that have ended); the live edges at a slide
-are the same.  Time is the edges' own, or the clock's.
+State is kept per owner partition and slice of its sources.  A call to the state
+store costs far more than an edge, so edges lie in blocks by a hash of (src,
+dst), each a value of a map: arrays of sources, targets and ends of windows.
+For each end the blocks that have edges leaving then are kept, so a purge reads
+those alone.  Purging is active (a timer per time bucket) or lazy (a timer per
+slide purges all buckets that have ended); the live edges at a slide are the
+same.  Time is the edges' own, or the clock's.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,24 @@ from tideweave.operators.partitioning import owner
 
 OUT = "partition_id int, slice int, at timestamp, added long, removed long, live long"
 SLICES = 16
+#: Blocks of a slice's edges; what enters or leaves rewrites its block, so larger states want more slices.
+BLOCKS = 256
+Arrays = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _blocks(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The block of each edge."""
+    mixed = (src.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ dst.view(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((mixed >> np.uint64(40)) % np.uint64(BLOCKS)).astype(np.int64)
+
+
+def _latest(src: np.ndarray, dst: np.ndarray, end: np.ndarray) -> Arrays:
+    """Each edge once, in order, with its last end."""
+    order = np.lexsort((end, dst, src))
+    src, dst, end = src[order], dst[order], end[order]
+    last = np.append((src[1:] != src[:-1]) | (dst[1:] != dst[:-1]), True)[: len(src)]
+    return src[last], dst[last], end[last]
 
 
 class AdjacencyState(StatefulProcessor):
@@ -30,9 +51,8 @@ class AdjacencyState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.edges = handle.getMapState("edges", "src long, dst long", "valid_to long")
-        self.leaving = handle.getMapState("leaving", "at long, n long", "src long, dst long")
-        self.counts = handle.getMapState("counts", "at long", "n long")
+        self.edges = handle.getMapState("edges", "block int", "src array<bigint>, dst array<bigint>, valid_to array<bigint>")
+        self.leaving = handle.getMapState("leaving", "at long", "blocks array<int>")
         self.size = handle.getValueState("size", "live long")
 
     def _live(self) -> int:
@@ -45,47 +65,60 @@ class AdjacencyState(StatefulProcessor):
         row = (key[0], key[1], pd.Timestamp(ms, unit="ms"), added, removed, live)
         return pd.DataFrame([row], columns=["partition_id", "slice", "at", "added", "removed", "live"])
 
+    def _held(self, block: int) -> Arrays:
+        found = self.edges.getValue((block,)) or ([], [], [])
+        return tuple(np.array(v, dtype=np.int64) for v in found)
+
+    def _hold(self, block: int, edges: Arrays) -> None:
+        if len(edges[0]):
+            self.edges.updateValue((block,), tuple(v.tolist() for v in edges))
+        else:
+            self.edges.removeKey((block,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        added, live, last = 0, self._live(), 0
+        added, last = 0, 0
         now = timerValues.getCurrentProcessingTimeInMs() if self.clock else None
-        ends: dict[tuple[int, int], int] = {}
+        parts = [(np.empty(0, np.int64),) * 3]
         for part in rows:
-            for src, dst, ms in zip(part["src"], part["dst"], part["ms"], strict=True):
-                ms = int(ms) if now is None else now
-                end = (ms // self.bucket_ms + 1) * self.bucket_ms + self.window_ms
-                k = (int(src), int(dst))
-                ends[k] = max(end, ends.get(k, 0))
-                last = max(last, ms)
-        counts: dict[int, int] = {}
-        for k, end in ends.items():
-            held = self.edges.getValue(k) if self.edges.containsKey(k) else None
-            if held is None:
-                live += 1
-                added += 1
-            if held is None or held[0] < end:
-                self.edges.updateValue(k, (end,))
-                if end not in counts:
-                    counts[end] = self.counts.getValue((end,))[0] if self.counts.containsKey((end,)) else 0
-                    self.handle.registerTimer(self._timer(end))
-                self.leaving.updateValue((end, counts[end]), k)
-                counts[end] += 1
-        for end, n in counts.items():
-            self.counts.updateValue((end,), (n,))
+            src, dst = (part[c].astype("int64").to_numpy() for c in ("src", "dst"))
+            ms = part["ms"].astype("int64").to_numpy() if now is None else np.full(len(src), now, dtype=np.int64)
+            last = max(last, int(ms.max(initial=0)))
+            end = (ms // self.bucket_ms + 1) * self.bucket_ms + self.window_ms
+            parts.append(_latest(src, dst, end))
+        new = _latest(*(np.concatenate(v) for v in zip(*parts, strict=True)))
+        block = _blocks(new[0], new[1])
+        order = np.argsort(block, kind="stable")
+        block, new = block[order], tuple(v[order] for v in new)
+        cuts = np.concatenate([np.flatnonzero(np.diff(block, prepend=-1)), [len(block)]])
+        leaving: dict[int, set[int]] = {}
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            k = int(block[lo])
+            held = self._held(k)
+            both = _latest(*(np.concatenate([h, v[lo:hi]]) for h, v in zip(held, new, strict=True)))
+            added += len(both[0]) - len(held[0])
+            self._hold(k, both)
+            for end in np.unique(new[2][lo:hi]).tolist():
+                leaving.setdefault(end, set()).add(k)
+        for end, more in leaving.items():
+            known = self.leaving.getValue((end,))
+            self.leaving.updateValue((end,), (sorted(more.union(known[0] if known else ())),))
+            self.handle.registerTimer(self._timer(end))
+        live = self._live() + added
         self.size.update((live,))
         yield self._row(key, last, added, 0, live)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
         now = expiredTimerInfo.getExpiryTimeInMs()
         removed = 0
-        for end, n in [(k[0], v[0]) for k, v in self.counts.iterator() if k[0] <= now]:
-            for i in range(n):
-                k = tuple(self.leaving.getValue((end, i)))
-                self.leaving.removeKey((end, i))
-                # An edge that came again stands in a later bucket too.
-                if self.edges.containsKey(k) and self.edges.getValue(k)[0] <= now:
-                    self.edges.removeKey(k)
-                    removed += 1
-            self.counts.removeKey((end,))
+        ended = [(k[0], v[0]) for k, v in self.leaving.iterator() if k[0] <= now]
+        for block in sorted({b for _, blocks in ended for b in blocks}):
+            held = self._held(block)
+            # An edge that came again leaves later.
+            stay = held[2] > now
+            removed += len(stay) - int(stay.sum())
+            self._hold(block, tuple(v[stay] for v in held))
+        for end, _ in ended:
+            self.leaving.removeKey((end,))
         live = self._live() - removed
         self.size.update((live,))
         yield self._row(key, now, 0, removed, live)

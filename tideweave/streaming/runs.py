@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideweave.plans.lineage import made_path
 
@@ -85,6 +86,16 @@ def run_until(stream: DataFrame, enough: Callable[[DataFrame], bool], name: str
 
 
 def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
-    """A stopped or running stream's state as a table."""
+    """A stopped or running stream's state as a table.
+
+    A map whose values are arrays side by side (blocks of edges) has a row per
+    element.
+    """
     reader = spark.read.format("statestore")
-    return (reader.option("stateVarName", variable) if variable else reader).load(checkpoint)
+    state = (reader.option("stateVarName", variable) if variable else reader).load(checkpoint)
+    value = dict(zip(state.columns, state.schema, strict=True)).get("user_map_value")
+    fields = value.dataType.names if value is not None else []
+    if len(fields) < 2 or any(f.dataType.typeName() != "array" for f in value.dataType):
+        return state
+    zipped = F.explode(F.arrays_zip(*(F.col(f"user_map_value.{f}").alias(f) for f in fields)))
+    return state.withColumn("user_map_value", zipped)
