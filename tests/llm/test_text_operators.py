@@ -222,6 +222,52 @@ def test_similar_texts_meet_jaccard(spark, odd, none):
     assert similar.keep_one_per_similar(none).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_bits_never_rule_out_similar_sets():
+    rnd = np.random.default_rng(3)
+    for n in (1, 4, 15, 16, 40, 130, 700, 9000):
+        for share in (0, 0.02, 0.1, 0.11, 0.13, 0.3):
+            base = rnd.integers(0, 1 << 64, n + 1, dtype=np.uint64)
+            cut = int(n * share)
+            x, y = np.unique(base), np.unique(np.concatenate([base[cut:], rnd.integers(0, 1 << 64, cut, dtype=np.uint64)]))
+            bits = [similar.parity_bits(v) for v in (x, y)]
+            words = min(len(b) for b in bits)
+            differ = len(np.setxor1d(x, y))
+            for w in {1, max(1, words // 8), words}:
+                assert similar.differing(*(similar.folded(b[None], w) for b in bits))[0] <= differ
+            may = similar.may_be_similar(*([b.tobytes()] for b in bits), np.array([len(x) + len(y)]), 0.8)[0]
+            assert may or jaccard(set(x.tolist()), set(y.tolist())) < 0.8
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_large_groups_lose_no_link(spark, block, monkeypatch):
+    """Texts that all share their keys, in classes that sampling partners of a large group would miss."""
+    monkeypatch.setattr(similar, "BLOCK", block, raising=False)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for _ in range(45):
+        mine = list(base)
+        for place in rnd.sample(range(90), 2):
+            mine[place] = f"c{rnd.randrange(10**6)}"
+        for _ in range(3):
+            copy = list(mine)
+            copy[rnd.randrange(90)] = f"d{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [frozenset(similar.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    least = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8:
+                low, high = sorted((least[i], least[j]))
+                least = [low if c == high else c for c in least]
+    got = similar.keep_one_per_similar(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(least)) and 1 < len(got) < len(rows)
+
+
 # --------------------------------------------------------------------- packing
 @lru_cache
 def token_library():

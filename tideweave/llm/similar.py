@@ -301,12 +301,17 @@ def keep_one_per_class(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 #: Smallest shingle hashes that are keys: two texts at a Jaccard similarity of
 #: 0.8 share none of them with a probability of 0.2 ** 10.
 KEYS = 10
-#: Smallest shingle hashes kept as a sketch, and how many of them two texts at the
-#: similarity share at least, but for a chance of about 1e-7.
-SKETCH, LEAST_SHARED = 64, 34
-#: Members of a key of which all pairs are candidates, and of a chain.
+#: Members of a key of which all pairs are candidates at once.
 SMALL_GROUP = 32
+#: Nodes of a fingerprint in a chain.
 CHAIN = 4096
+#: Members, and bytes of their bits, on either side of a task of a larger key.
+BLOCK = 2048
+BLOCK_BYTES = 16 << 20
+#: Words of bits that go with a pair.
+FOLD = 32
+#: Words, and members of one side, that are compared at a time.
+AT_ONCE, ROWS = 1 << 21, 128
 
 
 def shingle_set(raw: bytes, width: int) -> np.ndarray:
@@ -314,17 +319,154 @@ def shingle_set(raw: bytes, width: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(raw, width), dtype=np.uint64))
 
 
+def parity_bits(held: np.ndarray) -> np.ndarray:
+    """A set of hashes as 8 to 16 bits a hash: which bits an odd number of them falls on.
+
+    Of two sets at most as many bits differ as hashes, however the bits are
+    folded, so the bound of :func:`most_differing` never rules out a similar pair.
+    """
+    words = 1 << (len(held) // 8).bit_length()
+    on = np.bincount((held & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
+    return np.packbits((on & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(rows: np.ndarray, words: int) -> np.ndarray:
+    """Rows of bits cut to ``words`` words."""
+    while rows.shape[1] > words:
+        half = rows.shape[1] // 2
+        rows = rows[:, :half] ^ rows[:, half:]
+    return rows
+
+
+def matrix(values: list[bytes], words: int) -> np.ndarray:
+    """Bits of several lengths as rows of ``words`` words."""
+    out = np.empty((len(values), words), dtype=np.uint64)
+    sizes = np.array([len(v) for v in values])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = folded(np.frombuffer(b"".join(values[i] for i in at), dtype=np.uint64).reshape(len(at), -1), words)
+    return out
+
+
+def most_differing(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """How many hashes two similar sets differ in at most, by the sum of their sizes."""
+    return (1 - similarity) / (1 + similarity) * sizes + 1e-6
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def may_be_similar(xs: list[bytes], ys: list[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the bits of each pair leave it open that the sets are similar."""
+    words = np.array([min(len(x), len(y)) // 8 for x, y in zip(xs, ys, strict=True)], dtype=np.int64)
+    most = most_differing(sizes, similarity)
+    out = np.zeros(len(xs), dtype=bool)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        out[at] = differing(matrix([xs[i] for i in at], w), matrix([ys[i] for i in at], w)) <= most[at]
+    return out
+
+
+class Members:
+    """One side of a block: members by the length of their bits."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes]) -> None:
+        self.sizes, self.by_words = sizes, {}
+        words = np.array([len(v) // 8 for v in bits], dtype=np.int64)
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            self.by_words[w] = at, matrix([bits[i] for i in at], w)
+
+
+def plausible(x: Members, y: Members, open_pairs, similarity: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(i, j, share)`` of pairs of the two sides that may be similar and ``open_pairs(i, j)``.
+
+    ``share`` is the differing bits by those that sets just at the similarity
+    are expected to differ in.  A fold of the bits is compared first.
+    """
+    for v, (xs, xbits) in x.by_words.items():
+        for w in (v // 2, v, 2 * v):  # sizes further apart are never similar
+            if w not in y.by_words:
+                continue
+            ys, ybits = y.by_words[w]
+            words = min(v, w)
+            xfull, yfull = folded(xbits, words), folded(ybits, words)
+            coarse = max(1, words // 8)
+            xfold, yfold = folded(xfull, coarse), folded(yfull, coarse)
+            m = y.sizes[ys]
+            rows = max(1, min(ROWS, AT_ONCE // (coarse * len(ys))))
+            for lo in range(0, len(xs), rows):
+                n = x.sizes[xs[lo : lo + rows], None]
+                keep = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
+                keep &= differing(xfold[lo : lo + rows, None], yfold[None]) <= most_differing(n + m, similarity)
+                keep &= open_pairs(xs[lo : lo + rows, None], ys[None])
+                i, j = np.nonzero(keep)
+                i += lo
+                step = max(1, AT_ONCE // words)
+                bits = [differing(xfull[i[k : k + step]], yfull[j[k : k + step]]) for k in range(0, len(i), step)]
+                bits = np.concatenate(bits) if bits else np.empty(0, np.int64)
+                most = most_differing(x.sizes[xs[i]] + m[j], similarity)
+                good = bits <= most
+                expected = 32 * words * (1 - np.exp(-most / (32 * words)))
+                yield xs[i[good]], ys[j[good]], (bits / expected)[good]
+
+
+def block_pairs(
+    x: Members, y: Members, xpart: np.ndarray, ypart: np.ndarray, same: bool, every: bool, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``(i, j)`` between members of different parts that may be similar.
+
+    ``every``: all of them.  Otherwise a forest over the parts, of pairs that
+    are likely to be similar, the likelier the earlier.
+    """
+    parts, label = np.unique(np.concatenate([xpart, ypart]), return_inverse=True)
+    parent = np.arange(len(parts))
+    sides = [label[: len(xpart)], label[len(xpart) :]]
+
+    def find(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = parent[parent[p]]
+            p = parent[p]
+        return p
+
+    def open_pairs(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = sides[0][i] != sides[1][j]
+        return apart & (i < j) if same else apart
+
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j, share in plausible(x, y, open_pairs, similarity):
+        if not every and len(i):
+            likely = np.flatnonzero(share <= 1)
+            likely = likely[np.argsort(share[likely], kind="stable")]
+            ends = np.stack([sides[0][i[likely]], sides[1][j[likely]]])
+            _, first = np.unique(ends.min(axis=0) * len(parts) + ends.max(axis=0), return_index=True)
+            took = []
+            for k in likely[np.sort(first)].tolist():
+                p, q = find(sides[0][i[k]]), find(sides[1][j[k]])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    took.append(k)
+            i, j = i[took], j[took]
+            if took:
+                while (parent != parent[parent]).any():
+                    parent[:] = parent[parent]
+                sides = [parent[side] for side in sides]
+        left.append(i)
+        right.append(j)
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _sketches(rows: DataFrame, width: int) -> DataFrame:
-    """``(id, mark, fp, node, n, keys, sketch)`` of rows ``(id, mark, text)``.
+    """``(id, mark, fp, node, n, keys, bits)`` of rows ``(id, mark, text)``.
 
     ``fp`` is the fingerprint, ``node`` hashes the shingle set, ``n`` is its
-    size, ``keys`` are its smallest hashes and ``sketch`` the low halves of
-    some more of them.
+    size, ``keys`` are its smallest hashes and ``bits`` its :func:`parity_bits`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=2):
-            fps, nodes, sizes, keys, sketches = [], [], [], [], []
+            fps, nodes, sizes, keys, bits = [], [], [], [], []
             for raw in binaries(part.column(2)):
                 hashes = np.array(shingle_hashes(raw, width), dtype=np.uint64)
                 fps.append(majority(hashes, np.array([len(hashes)]))[0])
@@ -332,32 +474,39 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(held.tobytes(), 7))
                 sizes.append(len(held))
                 keys.append(held[:KEYS].view(np.int64))
-                sketches.append(held[:SKETCH].astype(np.uint32).view(np.int32))
+                bits.append(parity_bits(held).tobytes())
             columns = [
                 part.column(0),
                 part.column(1),
                 pa.array(np.array(fps, dtype=np.uint64).view(np.int64)),
                 pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                 pa.array(sizes, pa.int64()),
-                *(lists(values) for values in (keys, sketches)),
+                lists(keys),
+                pa.array(bits, pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "fp", "node", "n", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "mark", "fp", "node", "n", "keys", "bits"])
 
     def lists(values: list[np.ndarray]) -> pa.ListArray:
         ends = np.concatenate([[0], np.cumsum([len(v) for v in values])])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
 
-    schema = "id long, mark long, fp long, node long, n long, keys array<long>, sketch array<int>"
+    schema = "id long, mark long, fp long, node long, n long, keys array<long>, bits binary"
     return arrow_map(rows, run, schema)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs ``(src, dst)`` whose sets have at least the Jaccard similarity.
 
-    Pairs that sizes or sketches rule out are dropped before any text is moved;
-    the rest is decided on the whole sets.
+    Pairs that sizes or bits rule out are dropped before any text is moved; the
+    rest is decided on the whole sets.
     """
 
+    def open_still(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            sizes = part.column(4).to_numpy()
+            keep = pa.array(may_be_similar(part.column(5).to_pylist(), part.column(6).to_pylist(), sizes, similarity), pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in range(4)], names=["src", "dst", "ma", "mb"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, column=2):
             good = []
@@ -368,14 +517,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(i).filter(keep) for i in (0, 1)], names=["src", "dst"])
 
-    held = nodes.select("node", "n", "sketch", "mark")
+    held = nodes.select("node", "n", "fold", "mark")
     both = pairs.join(held.toDF("src", "m", "x", "ma"), "src").join(held.toDF("dst", "n", "y", "mb"), "dst")
-    sizes = F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6
-    shared = F.size(F.array_intersect("x", "y"))
-    # Sketches of small sets are whole; a few equal halves of hashes only let more pairs through.
-    whole = shared >= similarity / (1 + similarity) * (F.col("m") + F.col("n")) - 1e-6
-    plausible = F.when(F.greatest("m", "n") <= SKETCH, whole).otherwise(shared >= LEAST_SHARED)
-    both = both.where(sizes).where(plausible).select("src", "dst", "ma", "mb")
+    both = both.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6)
+    both = both.select("src", "dst", "ma", "mb", (F.col("m") + F.col("n")).alias("n"), "x", "y")
+    both = arrow_map(both, open_still, "src long, dst long, ma long, mb long")
     both = stash(both, "near-pairs")
     marks = both.select(F.explode(F.array("ma", "mb")).alias("mark")).distinct()
     texts = texts.join(marks, "mark", "left_semi")
@@ -398,45 +544,76 @@ def _print_pairs(nodes: DataFrame) -> DataFrame:
     return same.unionAll(to_rep).unionAll(across.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-def _key_pairs(keyed: DataFrame, parts: DataFrame, turn: int) -> DataFrame:
-    """Candidates among nodes that share a key and lie in different parts, each once.
+def _with_fold(nodes: DataFrame) -> DataFrame:
+    """``(node, n, mark, bits, fold)``: ``fold`` is the bits cut to what goes with a pair."""
 
-    ``keyed`` is ``(key, node, size)`` with the key's number of nodes.  All
-    pairs of a small group; of a larger one each node with the next in a
-    pseudo-random order, and from the second turn on also with the group's hub,
-    the node with most links so far; small groups are done by then.  Rows stay
-    in proportion to ``keyed``.
-    """
-    keyed = keyed if turn == 1 else keyed.where(F.col("size") > SMALL_GROUP)
-    whole = keyed.join(parts, "node", "left").withColumns({"part": F.coalesce("part", "node"), "links": F.coalesce("links", F.lit(0))})
-    most = F.max(F.struct("links", F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "part"))
-    mixed = whole.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), most.alias("hub"))
-    mixed = mixed.where("low <> high").select("key", "hub")
-    rows = stash(whole.join(mixed, "key"), f"near-open-{turn}")
-    large = rows.where(F.col("size") > SMALL_GROUP)
-    group = [F.col("key"), F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("size") / CHAIN))]
-    order = Window.partitionBy(*group).orderBy(F.xxhash64("key", "node", F.lit(-turn)), "node")
-    chain = large.withColumn("o", F.lead(F.struct("node", "part")).over(order)).where("o is not null and o.part <> part")
-    pairs = chain.select("node", F.col("o.node").alias("other"))
-    if turn > 1:
-        return _ordered(pairs.unionAll(large.where("part <> hub.part").select("node", F.col("hub.node").alias("other"))))
-    small = rows.where(F.col("size") <= SMALL_GROUP).groupBy("key").agg(F.collect_list(F.struct("node", "part")).alias("g"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches, column=3):
+            fold = []
+            for v in part.column(3).to_pylist():
+                fold.append(v if len(v) <= 8 * FOLD else matrix([v], FOLD).tobytes())
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fold, pa.binary())], names=["node", "n", "mark", "bits", "fold"])
+
+    return arrow_map(nodes.select("node", "n", "mark", "bits"), run, "node long, n long, mark long, bits binary, fold binary")
+
+
+def _small_pairs(keyed: DataFrame, parts: DataFrame) -> DataFrame:
+    """All pairs of nodes that share a key of few nodes and lie in different parts."""
+    whole = keyed.where(F.col("size") <= SMALL_GROUP).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    ends = F.min("part").alias("low"), F.max("part").alias("high")
+    small = whole.groupBy("key").agg(F.collect_list(F.struct("node", "part")).alias("g"), *ends).where("low <> high")
     every = small.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, SMALL_GROUP)).alias("y"))
-    every = every.where("x.part <> y.part").select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
-    return _ordered(pairs.unionAll(every))
+    return every.where("x.part <> y.part").select(F.col("x.node").alias("node"), F.col("y.node").alias("other"))
+
+
+def _large_pairs(keyed: DataFrame, nodes: DataFrame, parts: DataFrame, similarity: float, every: bool) -> DataFrame:
+    """Pairs of nodes of a larger key in different parts that may be similar, by :func:`block_pairs`.
+
+    Each pair of blocks of a key is a task of its own, but for pairs of blocks
+    within the key's largest part, which hold no open pair.
+    """
+    whole = keyed.where(F.col("size") > SMALL_GROUP).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    largest = whole.groupBy("key", "part").count().groupBy("key")
+    largest = largest.agg(F.max(F.struct("count", "part"))["part"].alias("top"), F.count("*").alias("parts"))
+    rows = whole.join(largest.where("parts > 1"), "key").select("key", "node", "part", (F.col("part") != F.col("top")).alias("minor"))
+    rows = stash(rows.join(nodes.select("node", "n", "bits"), "node"), "near-open")
+
+    def slots(of: Column) -> Column:
+        held = F.sum(F.when(of, F.length("bits")).otherwise(0)) / BLOCK_BYTES
+        return F.ceil(F.greatest(F.count_if(of) / BLOCK, held)).cast("long")
+
+    dealt = rows.groupBy("key").agg(slots(F.col("minor")).alias("few"), slots(~F.col("minor")).alias("more"))
+    few, more, at = F.col("few"), F.col("more"), F.xxhash64("node", "key")
+    slot = F.when(F.col("minor"), F.pmod(at, few)).otherwise(few + F.pmod(at, more))
+    rows = rows.join(dealt, "key").withColumn("slot", slot)
+    met = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("minor"), few + more).otherwise(few) - 1))
+    rows = rows.select("key", "slot", "node", "part", "n", "bits", met.alias("t"))
+    rows = rows.select("key", F.least("slot", "t").alias("a"), F.greatest("slot", "t").alias("b"), "slot", "node", "part", "n", "bits")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = (k.as_py() for k in key[1:])
+        slot, node, part, n = (table.column(c).to_numpy() for c in ("slot", "node", "part", "n"))
+        bits = table.column("bits").to_pylist()
+        at = [np.flatnonzero(slot == k) for k in (a, b)]
+        x, y = (Members(n[k], [bits[i] for i in k.tolist()]) for k in at)
+        i, j = block_pairs(x, y, part[at[0]], part[at[1]], a == b, every, similarity)
+        return pa.table({"node": node[at[0][i]], "other": node[at[1][j]]})
+
+    return rows.groupBy("key", "a", "b").applyInArrow(run, "node long, other long")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")).distinct()
 
 
-def similar_links(nodes: DataFrame, rows: DataFrame, width: int, similarity: float, turns: int = 3) -> DataFrame:
-    """``(src, dst)`` between nodes that are similar, by SimHash and beyond its radius.
+def similar_links(nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(src, dst)`` between similar nodes, enough to connect all that share a key.
 
     First the SimHash links, each verified on the whole sets.  Texts at the
     similarity often lie further apart than the radius, so nodes that share one
     of their smallest shingle hashes are compared too, while their parts still
-    differ: for ``turns`` turns, or until one finds no link.
+    differ: all pairs of small groups and a forest of likely pairs of larger
+    ones, then every pair of the larger ones that is left open.
     """
     prints = stash(_print_pairs(nodes).distinct(), "near-print-pairs")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -444,19 +621,17 @@ def similar_links(nodes: DataFrame, rows: DataFrame, width: int, similarity: flo
     keyed = stash(keyed.join(sizes, "key"), "near-keys")
     # Texts are moved once: those of nodes that have any candidate.
     some = keyed.select("node").unionAll(prints.select(F.explode(F.array("src", "dst")).alias("node"))).distinct()
-    nodes = stash(nodes.select("node", "n", "sketch", "mark").join(some, "node", "left_semi"), "near-some")
+    nodes = stash(_with_fold(nodes.join(some, "node", "left_semi")), "near-some")
     marks = nodes.select("mark").distinct().hint("merge")  # a plan for any size: texts outgrow a broadcast
     texts = rows.select("mark", "text").join(marks, "mark", "left_semi").dropDuplicates(["mark"])
     texts = stash(texts, "near-texts")
     links = stash(_verified(prints, nodes, texts, width, similarity), "near-links")
-    for turn in range(1, turns + 1):
+    for every in (False, True):
         parts = connected_components(links).toDF("node", "part")
-        degree = links.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-        pairs = _key_pairs(keyed, parts.join(degree, "node"), turn)
-        found = stash(_verified(pairs, nodes, texts, width, similarity), f"near-links-{turn}")
-        if found.isEmpty():
-            break
-        links = links.unionAll(found)
+        pairs = _large_pairs(keyed, nodes, parts, similarity, every)
+        pairs = pairs if every else pairs.unionAll(_small_pairs(keyed, parts))
+        found = _verified(_ordered(pairs), nodes, texts, width, similarity)
+        links = links.unionAll(stash(found, f"near-links-{'all' if every else 'likely'}"))
     return links
 
 
@@ -478,7 +653,7 @@ def keep_one_per_similar(
     rows = df.select(own.alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     sketches = stash(_sketches(rows, width), "near-sketches")
     nodes = sketches.groupBy("node").agg(
-        *(F.min(c).alias(c) for c in ("n", "fp", "mark")), *(F.first(c).alias(c) for c in ("keys", "sketch"))
+        *(F.min(c).alias(c) for c in ("n", "fp", "mark")), *(F.first(c).alias(c) for c in ("keys", "bits"))
     )
     nodes = stash(nodes, "near-nodes")
     parts = connected_components(similar_links(nodes, rows, width, similarity)).toDF("node", "part")
